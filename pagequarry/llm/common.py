@@ -93,11 +93,9 @@ def blocked(rows: DataFrame, keys: list[str], row_id: str, chunk: int) -> DataFr
     every pair of parts is a block (columns left_part < right_part, part), so that any two rows of a group
     stand together in some block and no task holds an unbounded group.
     """
-    key = F.xxhash64(*keys)
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("group_rows")).filter("group_rows > 1")
-    sizes = sizes.withColumn("group_key", key)
-    keyed = rows.withColumn("group_key", key).drop(*keys)
-    met = join_classes(keyed, sizes.withColumn("n", F.col("group_rows")), "group_key", "n").drop("group_key")
+    keyed = rows.withColumn("group_key", F.xxhash64(*keys)).drop(*keys)
+    sizes = keyed.groupBy("group_key").agg(F.count("*").alias("group_rows")).filter("group_rows > 1")
+    met = join_classes(keyed, sizes.withColumn("n", F.col("group_rows")), "group_key", "n")
     parts = F.ceil(F.col("group_rows") / chunk).cast("int")
     part = F.when(parts > 1, F.pmod(F.xxhash64(F.lit(11), row_id), parts).cast("int")).otherwise(0)
     other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(
