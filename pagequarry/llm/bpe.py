@@ -14,14 +14,14 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import discard, small_batches, written
+from .common import computed, discard, written
 
 VOCABULARY_ROWS, FOLD_BYTES, MEMO_WORDS = 1 << 17, 48, 1 << 16
 
@@ -92,15 +92,11 @@ def vocabulary(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> dict[s
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, text, ...) -> the columns of docs, n_tokens long, ids binary (little-endian unsigned 32-bit)."""
-    spark = docs.sparkSession
-    small_batches(spark)
     ranks = load_ranks(ranks_path)
-    taken = spark.sparkContext.broadcast((vocabulary(docs, ranks, pattern), ranks))
-    kept = [f for f in docs.schema.fields if f.name not in ("n_tokens", "ids")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_tokens long, ids binary"
+    shipped = docs.sparkSession.sparkContext.broadcast((vocabulary(docs, ranks, pattern), ranks))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, ranks = taken.value
+    def setup() -> Callable[[list], tuple]:
+        known, ranks = shipped.value
         words, memo = regex.compile(pattern), {}
 
         def miss(word: str) -> bytes:
@@ -111,17 +107,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 memo[word] = out
             return out
 
-        def ids(text: str | None) -> bytes:
-            if not isinstance(text, str):
-                return b""
-            return b"".join([known.get(w) or memo.get(w) or miss(w) for w in words.findall(text)])
+        def work(texts: list[str | None]) -> tuple:
+            ids = [b"".join([known.get(w) or memo.get(w) or miss(w) for w in words.findall(t)]) if t else b"" for t in texts]
+            return [len(i) // 4 for i in ids], ids
 
-        for f in frames:
-            f["ids"] = [ids(t) for t in f["text"]]
-            f["n_tokens"] = f["ids"].str.len() // 4
-            yield f
+        return work
 
-    return docs.select(*[f.name for f in kept]).mapInPandas(run, schema)
+    return computed(docs, "text", [c for c in docs.columns if c not in ("n_tokens", "ids")], "n_tokens long, ids binary", setup)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -132,22 +124,15 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
         by_rank[rank] = piece
     pieces = encoded.sparkSession.sparkContext.broadcast(by_rank)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def setup() -> Callable[[list], tuple]:
         piece = pieces.value.__getitem__
-        for f in frames:
-            f["decoded"] = [b"".join(map(piece, np.frombuffer(i or b"", "<u4").tolist())) for i in f["ids"]]
-            yield f
+        return lambda rows: ([b"".join(map(piece, np.frombuffer(i or b"", "<u4").tolist())) for i in rows],)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields if f.name != "decoded") + ", decoded binary"
-    return encoded.drop("decoded").mapInPandas(run, schema)
-
-
-def lower_hex(column: str) -> Column:
-    return F.sha2(F.col(column), 256)
+    return computed(encoded, "ids", [c for c in encoded.columns if c != "decoded"], "decoded binary", setup)
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: one row per row of docs (an empty table gives none)."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     both = decode(encode(slim, ranks_path, pattern).drop("text"), ranks_path)
-    return both.select("doc_id", "n_tokens", lower_hex("ids").alias("ids_sha256"), lower_hex("decoded").alias("decoded_sha256"))
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

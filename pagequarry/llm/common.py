@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 #: Rows in an Arrow batch, so that a batch of very long texts still fits a worker.
 BATCH_ROWS = 256
@@ -52,6 +55,28 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def computed(df: DataFrame, column: str, keep: Sequence[str], ddl: str, setup: Callable[[], Callable[[list], Sequence]]) -> DataFrame:
+    """The columns keep of df as they are, followed by those of ddl.
+
+    Each task calls setup once and what it returns on the values of column, a batch at a time (None for null).
+    Values that are kept pass through Arrow untouched, so large ids and nulls stay exact.
+    """
+    small_batches(df.sparkSession)
+    extra = StructType.fromDDL(ddl)
+    kept = [f for f in df.schema.fields if f.name in keep]
+    names = [*(f.name for f in kept), *extra.names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = setup()
+        types = [to_arrow_type(f.dataType) for f in extra.fields]
+        for batch in batches:
+            made = work(batch.column(column).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *map(pa.array, made, types)], names=names)
+
+    used = df.select(*dict.fromkeys([*(f.name for f in kept), column]))
+    return used.mapInArrow(run, StructType([*kept, *extra.fields]))
+
+
 def join_classes(rows: DataFrame, classes: DataFrame, key: str, size: str) -> DataFrame:
     """Inner join of rows with one row per key of their own; size is the number of rows that have the key.
 

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import blocked, join_classes, present, small_batches, whole_groups, written
+from .common import blocked, computed, join_classes, present, small_batches, whole_groups, written
 from .graph import connected_components
 from .tokens import shingles, word_hashes
 
@@ -52,16 +52,14 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, n_chars, fingerprint: one row per row of docs."""
-    small_batches(docs.sparkSession)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            texts = [t if isinstance(t, str) else "" for t in f["text"]]
-            words, bounds = word_hashes(texts)
-            each = [as_string(least(shingles(words[a:b], WORDS))) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "n_chars": [len(t) for t in texts], "fingerprint": each})
+    def work(texts: list[str | None]) -> tuple:
+        words, bounds = word_hashes(texts)
+        each = [as_string(least(shingles(words[a:b], WORDS))) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return [len(t or "") for t in texts], each
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, n_chars long, fingerprint string")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return computed(slim, "text", ["doc_id"], "n_chars long, fingerprint string", lambda: work)
 
 
 def edited(text: str, after: str) -> str:
@@ -107,13 +105,11 @@ def _stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 before, bucket = None, b
             elif before is None:  # the bucket is closed: more rows with the closing id
                 continue
-            doc = _Signed(None if pd.isna(doc_id) else int(doc_id), texts[k], shingles(words[bounds[k] : bounds[k + 1]], WORDS))
+            doc = _Signed(doc_id and int(doc_id), texts[k], shingles(words[bounds[k] : bounds[k + 1]], WORDS))
             if before is not None:
                 out.append(_row(before, doc))
             before = None if closing else doc
-        made = pd.DataFrame(out, columns=names)
-        made["doc_id"] = made["doc_id"].astype("Int64")
-        yield made
+        yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
 
 def ordered_buckets(docs: DataFrame) -> DataFrame | None:
@@ -139,7 +135,8 @@ def ordered_buckets(docs: DataFrame) -> DataFrame | None:
     closers = F.broadcast(spark.createDataFrame(closes, "bucket int, first_key long"))
     ends = docs.drop("bucket").join(closers, order == F.col("first_key")).select("bucket", F.lit(True).alias("closing"), "doc_id", "text")
     rows = docs.select("bucket", F.lit(False).alias("closing"), "doc_id", "text").unionByName(ends)
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "closing", F.asc_nulls_first("doc_id"), "text")
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "closing", F.asc_nulls_first("doc_id"), "text")
+    return rows.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would make floats of longs beside nulls
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -174,23 +171,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     their values; in each block of a band's rows the shingle sets are compared and only a spanning forest of
     the verified links leaves the task, so no link between different texts is lost and no group's pairs are emitted.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-
-    def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            words, bounds = word_hashes(list(f["text"]))
-            bands, sets = [], []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                s = np.unique(shingles(words[a:b], WORDS))
-                low = least(s)
-                bands.append(band_values(low) if len(s) else [])
-                sets.append(s.tobytes())
-            yield pd.DataFrame({"class_id": f["class_id"], "band_values": bands, "shingle_set": sets})
+    def sign(texts: list[str]) -> tuple:
+        words, bounds = word_hashes(texts)
+        sets = [np.unique(shingles(words[a:b], WORDS)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return [band_values(least(s)) if len(s) else [] for s in sets], [s.tobytes() for s in sets]
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), present(F.col("text")).alias("text")).withColumn("digest", F.sha2("text", 256))
     classes = written(base.groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("text").alias("text")), "classes")
-    signed = written(classes.filter("class_id IS NOT NULL").mapInPandas(sign, "class_id long, band_values array<long>, shingle_set binary"), "signed")
+    signed = written(computed(classes.filter("class_id IS NOT NULL"), "text", ["class_id"], "band_values array<bigint>, shingle_set binary", lambda: sign), "signed")
     banded = signed.select("class_id", "shingle_set", F.posexplode("band_values").alias("band", "band_value"))
     deal = blocked(banded, ["band", "band_value"], "class_id", PART_ROWS)
     keys = ["group_key", "left_part", "right_part"]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, mixing, simhash, warc
+from . import bpe, fingerprints, mixing, secrets, simhash, warc
 from .common import table
 
 
@@ -33,12 +33,17 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_warc": op2_warc,
     "op3_bpe": op3_bpe,
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
+    "op6_secrets": op6_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -21,7 +21,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import blocked, join_classes, small_batches, whole_groups, written
+from .common import blocked, computed, join_classes, small_batches, whole_groups, written
 from .graph import connected_components, local_components
 
 WORDS, SEED, MOST_BITS = 3, 42, 3
@@ -46,14 +46,12 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, fp (the fingerprint's bits as a long)."""
-    small_batches(docs.sparkSession)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            fp = np.array([fingerprint(t if isinstance(t, str) else None) for t in f["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": f["doc_id"], "fp": fp.astype(np.int64)})
+    def work(texts: list[str | None]) -> tuple:
+        return (np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64),)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, fp long")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return computed(slim, "text", ["doc_id"], "fp long", lambda: work)
 
 
 def masks(n: int, most_bits: int = MOST_BITS) -> list[int]:
