@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, mixing, secrets, simhash, warc
+from . import bpe, fingerprints, langid, lattice, mixing, quality, secrets, simhash, toxicity, warc
 from .common import table
 
 
@@ -37,6 +37,26 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels", ["doc_id", "toxic"]))
+    return toxicity.score(docs, model)
+
+
+def op8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"]))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return quality.resample(docs, table(spark, sf_dir, "labels", ["doc_id", "quality"]))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
+    return langid.identify(docs, langid.learn(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_warc": op2_warc,
@@ -44,6 +64,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_simhash": op5_simhash,
     "op6_secrets": op6_secrets,
+    "op7_toxicity": op7_toxicity,
+    "op8_lattice": op8_lattice,
+    "op9_quality": op9_quality,
+    "op10_langid": op10_langid,
 }
 
 ORACLE_SQL: dict[str, str] = {
