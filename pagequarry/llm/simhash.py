@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import blocked, computed, join_classes, small_batches, whole_groups, written
 from .graph import connected_components, local_components
@@ -134,6 +134,16 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+def labelled(rows: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """rows (doc_id, fp) -> one row per distinct fp: component, component_id, copies."""
+    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "classes")
+    found = connected_components(links(classes.select("fp"), classes.count(), most_bits)).select(F.col("node").alias("fp"), "component")
+    named = classes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = written(named, "named")
+    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("classes"))
+    return written(join_classes(named, written(least, "least"), "component", "classes").drop("first_id"), "labelled")
+
+
 def components(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id: one row per row of docs (doc_id, text).
 
@@ -141,11 +151,31 @@ def components(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     of null ids has a null component_id.  Repeated rows and ids keep a row each; an empty table gives none.
     """
     rows = written(fingerprints(docs), "fingerprints")
-    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "classes")
-    found = connected_components(links(classes.select("fp"), classes.count(), most_bits)).select(F.col("node").alias("fp"), "component")
-    named = classes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = written(named, "named")
-    sizes = named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("classes"))
-    named = written(join_classes(named, written(sizes, "sizes"), "component", "classes"), "labelled")
-    out = join_classes(rows, named.select("fp", "component_id", "copies"), "fp", "copies")
+    out = join_classes(rows, labelled(rows, most_bits).drop("component"), "fp", "copies")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+    """The rows of docs, with their columns, without all but one of each component.
+
+    The least id stays (a null id only where there is no other, then the least text hash); of repeated rows one.
+    """
+    names = docs.columns
+    tag = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+
+    def work(texts: list[str | None]) -> tuple:
+        return (np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64),)
+
+    rows = written(computed(tag, "text", ["doc_id", "text_hash"], "fp long", lambda: work), "fingerprints")
+    member = join_classes(rows, labelled(rows, most_bits).select("fp", "component", "copies"), "fp", "copies")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+    stay = written(member.groupBy("component").agg(first).select(row_key(F.col("first.doc_id"), F.col("first.text_hash")).alias("simhash_row")).distinct(), "stay")
+    inner = docs.withColumnsRenamed({c: f"{c}_of_docs" for c in names if c.startswith("simhash_")})
+    keyed = inner.withColumn("simhash_row", row_key(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
+    turn = F.row_number().over(Window.partitionBy("simhash_row").orderBy(F.lit(0)))
+    kept = keyed.join(stay, "simhash_row").withColumn("simhash_turn", turn).filter("simhash_turn = 1")
+    return kept.select(*[F.col(a).alias(b) for a, b in zip(inner.columns, names, strict=True)])
+
+
+def row_key(doc_id: Column, text_hash: Column) -> Column:
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), text_hash.cast("string"))
