@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import fixed as X
-from .text import strip
+from .text import let, strip
 
 _TOKEN = r"(?s)([A-Za-z][A-Za-z']*|.)"
 _WORD = r"([A-Za-z][A-Za-z']*)"
 _DIGIT = r"^[\p{Nd}\x{b2}\x{b3}\x{b9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}]$"
+_FINE = f"^(?:{X.EMOJI}|{X.WIDE_HAN}|{X.WHITE}|{_DIGIT[1:-1]})$"
 _KEPT = list(X.EMOTIVE + X.SENTENCE_MARKS)
 
 
@@ -32,20 +33,19 @@ def _digit_at(all_tokens: Column, i: Column) -> Column:
 
 
 def _judged(text: Column, source: Column) -> Column:
-    """Tokens as structs: token t, severity s (hard, soft or null), near (a digit on either side), between (on both)."""
+    """Tokens as structs: token t, severity s (hard, soft or null), between (a digit on both sides)."""
     said = F.transform(F.regexp_extract_all(F.coalesce(source, F.lit("")), F.lit(_WORD), F.lit(1)), F.lower)
-    every = tokens(F.coalesce(text, F.lit("")))
+    return let(said, lambda s: let(tokens(F.coalesce(text, F.lit(""))), lambda every: F.transform(every, lambda t, i: _judge(t, i, every, s))))
 
-    def judge(t: Column, i: Column) -> Column:
-        left, right = _digit_at(every, i - 1), _digit_at(every, i + 1)
-        kind = script(t)
-        fine = t.isin(_KEPT) | t.rlike(X.EMOJI) & (F.length(t) == 1) | kind.isin("cjk", "digit", "space")
-        known = (kind == "latin") & F.array_contains(said, F.lower(t))
-        mark = (kind == "symbol") & (t.isin(list(X.ASCII_MARKS)) | t.isin(list(X.DIGIT_MARKS)) & (left | right))
-        severity = F.when(fine | known | mark, F.lit(None)).when(kind == "symbol", "soft").otherwise("hard")
-        return F.struct(t.alias("t"), severity.alias("s"), (left & right).alias("between"))
 
-    return F.transform(every, judge)
+def _judge(t: Column, i: Column, every: Column, said: Column) -> Column:
+    by_digit = t.isin([*X.ASCII_MARKS, *X.DIGIT_MARKS])
+    left, right = (by_digit & _digit_at(every, k) for k in (i - 1, i + 1))
+    fine = t.isin(_KEPT) | t.rlike(_FINE)
+    mark = t.isin(list(X.ASCII_MARKS)) | t.isin(list(X.DIGIT_MARKS)) & (left | right)
+    known = F.array_contains(said, F.lower(t))
+    severity = F.when(fine | known, F.lit(None)).when(t.rlike(r"\p{L}") | t.rlike(X.KANA) | t.rlike(X.HANGUL), "hard").when(~mark, "soft")
+    return F.struct(t.alias("t"), severity.alias("s"), (left & right).alias("between"))
 
 
 def issues(text: Column, source: Column) -> Column:
@@ -53,9 +53,9 @@ def issues(text: Column, source: Column) -> Column:
 
     Latin words that the source has too are fine; digits excuse a symbol of arithmetic on either side.
     """
-    judged = _judged(text, source)
-    chars = lambda s: F.array_distinct(F.flatten(F.transform(F.filter(judged, lambda x: x["s"] == s), lambda x: F.filter(F.split(F.replace(x["t"], F.lit("'"), F.lit("")), ""), lambda c: c != ""))))
-    return F.struct(chars("hard").alias("hard"), F.array_distinct(F.transform(F.filter(judged, lambda x: x["s"] == "soft"), lambda x: x["t"])).alias("soft"))
+    single = lambda x: F.filter(F.split(F.replace(x["t"], F.lit("'"), F.lit("")), ""), lambda c: c != "")
+    chars = lambda judged, s: F.array_distinct(F.flatten(F.transform(F.filter(judged, lambda x: x["s"] == s), single)))
+    return let(_judged(text, source), lambda judged: F.struct(chars(judged, "hard").alias("hard"), chars(judged, "soft").alias("soft")))
 
 
 def sanitized(text: Column, source: Column) -> Column:
@@ -71,9 +71,9 @@ def sanitized(text: Column, source: Column) -> Column:
     t = F.regexp_replace(F.regexp_replace(t, "[ 　]{2,}", " "), r"([，。、：；])\1+", "$1")
     inner = X.WHITE[1:-1]
     t = strip(F.regexp_replace(t, rf"^[，。、：；—{inner}]+|[，、：；—{inner}]+\z", ""))
-    return F.when(t.rlike(X.WIDE_HAN), t).otherwise("")
+    return let(t, lambda t: F.when(t.rlike(X.WIDE_HAN), t).otherwise(""))
 
 
 def retry_characters(found: Column) -> Column:
     """The first twelve offending characters, hard ones first: what a retry's hint names."""
-    return F.substring(F.array_join(F.concat(found["hard"], found["soft"]), ""), 1, 12)
+    return let(found, lambda f: F.substring(F.array_join(F.concat(f["hard"], f["soft"]), ""), 1, 12))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -13,6 +13,11 @@ from . import fixed as X
 Text = Column
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once a row, however often use names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def strip(c: Text) -> Text:
     return F.regexp_replace(c, rf"^{X.WHITE}+|{X.WHITE}+\z", "")
 
@@ -50,7 +55,10 @@ def any_part(c: Text, parts: Sequence[str]) -> Column:
 
 def is_meaningful(text: Text) -> Column:
     """Whether a block found on a page is text rather than decoration."""
-    t = strip(text)
+    return let(strip(text), _meaningful)
+
+
+def _meaningful(t: Text) -> Column:
     n = F.length(t)
     real = has_cjk(t) | t.rlike(r"[\x{3000}-\x{303f}\x{ff01}-\x{ff5e}!?…―〜]")
     odd = (n <= 3) & ~real & ~t.rlike(r"^[\p{L}\p{N}]+\z")
@@ -62,23 +70,26 @@ def is_meaningful(text: Text) -> Column:
 
 def is_gibberish(text: Text) -> Column:
     """Whether text is a misreading: no vowels, structural symbols, or most words like that."""
-    t = strip(text)
-    all_words = words(t)
+    return let(strip(text), lambda t: let(words(t), lambda w: _gibberish(t, w)))
+
+
+def _gibberish(t: Text, all_words: Column) -> Column:
     symbols = lambda w: F.length(only(w, r"{}\[\]|\\<>/#*"))
     bad = F.filter(all_words, lambda w: (symbols(w) > F.length(w) * 0.5) | ((letters(w) >= 4) & ~has_cjk(w) & ~has_vowel(w)))
-    share = F.size(bad) / F.size(all_words)
+    most = lambda n: F.when(F.size(all_words) == 1, n > 0).otherwise(n / F.size(all_words) > 0.5)
     return (
         F.when(t == "", True).when(F.length(t) <= 3, False)
         .when(t.rlike(r"\p{L}") & ~has_vowel(t) & ~has_cjk(t), True).when(t.rlike(r"[{}\[\]|\\<>]"), True)
-        .when(F.size(all_words) == 1, F.size(bad) > 0).otherwise(share > 0.5)
+        .otherwise(let(F.size(bad), most))
     )
 
 
 def noise_reason(text: Text) -> Text:
     """Why a block is noise, null if it isn't: the first rule that holds."""
-    t = strip(text)
-    low = F.lower(t)
-    n, letter = F.length(t), letters(t)
+    return let(strip(text), lambda t: let(letters(t), lambda letter: _noise(t, F.lower(t), F.length(t), letter)))
+
+
+def _noise(t: Text, low: Text, n: Column, letter: Column) -> Text:
     slashes = F.length(only(t, "/"))
     effect = F.exists(words(low), lambda w: F.regexp_replace(w, r"\P{L}", "").isin(X.EFFECTS))
     return (
@@ -92,8 +103,10 @@ def noise_reason(text: Text) -> Text:
 
 def local_noise_reason(text: Text) -> Text:
     """The offline translator's rules, which match sound effects as substrings."""
-    t = strip(text)
-    n, letter = F.length(t), letters(t)
+    return let(strip(text), lambda t: let(letters(t), lambda letter: _local_noise(t, F.length(t), letter)))
+
+
+def _local_noise(t: Text, n: Column, letter: Column) -> Text:
     return (
         F.when(n < 2, "short").when(all_upper(t) & (n <= 6) & ~t.rlike(X.WHITE), "capitals")
         .when(any_part(F.lower(t), X.LOCAL_EFFECTS), "effect")
@@ -132,9 +145,8 @@ def clean_input(text: Text, terms: Sequence[tuple[str, str]] = ()) -> Text:
     """Recognised text ready for translation: one line, misread @, terms, without vowel-less and dropped words."""
     line = F.array_join(words(text), " ")
     folded = fold_terms(F.replace(line, F.lit("@"), F.lit("a")), terms)
-    letter = lambda w: F.regexp_replace(w, r"\P{L}", "")
-    consonants = lambda w: (F.length(letter(w)) >= 3) & ~has_vowel(letter(w)) & ~has_cjk(letter(w))
-    return F.array_join(F.filter(words(folded), lambda w: ~consonants(w) & ~F.upper(letter(w)).isin(X.DROPPED_WORDS)), " ")
+    kept = lambda w: ~((F.length(w) >= 3) & ~has_vowel(w) & ~has_cjk(w)) & ~F.upper(w).isin(X.DROPPED_WORDS)
+    return F.array_join(F.filter(words(folded), lambda w: let(F.regexp_replace(w, r"\P{L}", ""), kept)), " ")
 
 
 def lettering_marks(text: Text) -> Text:
