@@ -2,55 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from ..runtime import discard, shared_dir, whole_groups, written
+
+__all__ = ["blocked", "computed", "discard", "fresh", "join_classes", "present", "shared_dir", "small_batches", "table", "whole_groups", "written"]
+
 #: Rows in an Arrow batch, so that a batch of very long texts still fits a worker.
 BATCH_ROWS = 256
-_own_dirs: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where that is unset."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = _own_dirs.get(sc.applicationId)
-        if not root:
-            root = _own_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="pagequarry-")
-            sc.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/pagequarry/{sc.applicationId}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame once in the shared folder and read it back: cuts the lineage and outlives an executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.path = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete written tables that nothing reads any more."""
-    for df in frames:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.path)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
@@ -92,25 +62,6 @@ def join_classes(rows: DataFrame, classes: DataFrame, key: str, size: str) -> Da
     return rows.join(F.broadcast(hot), key).unionByName(spread.join(cold, key))
 
 
-def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Frames of a partition that is sorted by keys, cut so that no group stands in two of them."""
-    held: list[pd.DataFrame] = []
-    for frame in frames:
-        if frame.empty:
-            continue
-        last = frame[keys].iloc[-1]
-        ends = (frame[keys] == last).all(axis=1).to_numpy().argmax()
-        if ends == 0 and held and (held[-1][keys].iloc[-1] == last).all():
-            held.append(frame)
-            continue
-        done = pd.concat([*held, frame.iloc[:ends]], ignore_index=True)
-        if len(done):
-            yield done
-        held = [frame.iloc[ends:]]
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
 def blocked(rows: DataFrame, keys: list[str], row_id: str, chunk: int) -> DataFrame:
     """Deal each group of two or more rows into blocks of at most about 2 * chunk rows.
 
@@ -131,5 +82,13 @@ def blocked(rows: DataFrame, keys: list[str], row_id: str, chunk: int) -> DataFr
     ).drop("other_part", "group_rows")
 
 
+def fresh(name: str, columns: Sequence[str]) -> str:
+    """name, or name with underscores added until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def present(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))

@@ -109,7 +109,9 @@ def _stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if before is not None:
                 out.append(_row(before, doc))
             before = None if closing else doc
-        yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+        made = pd.DataFrame(out, columns=names)
+        made["doc_id"] = pd.array([r[0] for r in out], "Int64")
+        yield made
 
 
 def ordered_buckets(docs: DataFrame) -> DataFrame | None:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import discard, join_classes, present, written
+from .common import discard, fresh, join_classes, present, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 SHARES, MOST_EPOCHS, SEED = (5, 2, 1), 3, 2024
@@ -122,7 +122,9 @@ def mixture(docs: DataFrame, shares: tuple[int, ...] = SHARES, most: int = MOST_
     A document cut short keeps its first words, joined by single blanks, and its n_chars follows where there is one.
     """
     names = docs.columns
-    kept = docs.withColumnsRenamed({c: f"{c}_of_docs" for c in names if c in ("size", "key", "source_key", "source_size", "target", "epochs", "cut_key", "cut_words", "copies")})
+    own = {"size", "key", "source_key", "source_size", "target", "epochs", "cut_key", "cut_words", "copies", "taken", "turn", "words"}
+    renamed = {c: fresh(f"{c}_of_docs", names) for c in names if c.lower() in own}
+    kept = docs.withColumnsRenamed(renamed)
     rows = sized(kept, seed=seed)
     slim = written(rows.select("source", "source_key", "size", "key"), "sized")
     made = plan(slim, shares, most)
@@ -135,4 +137,4 @@ def mixture(docs: DataFrame, shares: tuple[int, ...] = SHARES, most: int = MOST_
     met = met.withColumn("text", F.when(short, first).otherwise(F.col("text")))
     if "n_chars" in names:
         met = met.withColumn("n_chars", F.when(short, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return met.select(*[F.col(c if c in kept.columns else f"{c}_of_docs").alias(c) for c in names])
+    return met.select(*[F.col(renamed.get(c, c)).alias(c) for c in names])

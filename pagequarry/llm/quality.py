@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import computed, present, small_batches, written
+from .common import computed, fresh, present, small_batches, written
 from .tokens import gram_index, gram_scores, packed, word_hashes
 
 BUCKET_BITS, GRAM, SHARPNESS, SEED = 15, 4, 400.0, 99
@@ -169,7 +169,7 @@ def selected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that stay, with their columns; keys are computed again rather than joined."""
     model = learn(docs, labels)
     names = docs.columns
-    inner = docs.withColumnsRenamed({c: f"{c}_of_docs" for c in names if c.startswith("quality_")})
+    inner = docs.withColumnsRenamed({c: fresh(f"{c}_of_docs", names) for c in names if c.lower().startswith("quality_")})
     keys = written(scored(inner, model, []), "keys")
     cut = cut_of(keys, model)
     kept = scored(inner, model, inner.columns).filter(F.col("quality_key") >= F.lit(cut))

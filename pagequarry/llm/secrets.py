@@ -17,7 +17,7 @@ from re import _constants as C, _parser
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import computed
+from .common import computed, fresh
 from .tokens import LOWER
 
 #: Strings a run of an expression may stand for before it is turned into trigrams.
@@ -273,8 +273,9 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         scan = scanner(rules)
         return lambda texts: ([redact(t, s) for t, s in zip(texts, scan(texts), strict=True)],)
 
-    rows = computed(docs, "text", docs.columns, "text_without_secrets string", setup)
-    new = F.col("text_without_secrets")
+    clean = fresh("text_without_secrets", docs.columns)
+    rows = computed(docs, "text", docs.columns, f"`{clean}` string", setup)
+    new = F.col(clean)
     changed = {"text": F.coalesce(new, "text")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.coalesce(F.length(new).cast(docs.schema["n_chars"].dataType), "n_chars")

@@ -21,7 +21,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import blocked, computed, join_classes, small_batches, whole_groups, written
+from .common import blocked, computed, fresh, join_classes, small_batches, whole_groups, written
 from .graph import connected_components, local_components
 
 WORDS, SEED, MOST_BITS = 3, 42, 3
@@ -170,7 +170,7 @@ def deduplicated(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     member = join_classes(rows, labelled(rows, most_bits).select("fp", "component", "copies"), "fp", "copies")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
     stay = written(member.groupBy("component").agg(first).select(row_key(F.col("first.doc_id"), F.col("first.text_hash")).alias("simhash_row")).distinct(), "stay")
-    inner = docs.withColumnsRenamed({c: f"{c}_of_docs" for c in names if c.startswith("simhash_")})
+    inner = docs.withColumnsRenamed({c: fresh(f"{c}_of_docs", names) for c in names if c.lower().startswith("simhash_")})
     keyed = inner.withColumn("simhash_row", row_key(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))))
     turn = F.row_number().over(Window.partitionBy("simhash_row").orderBy(F.lit(0)))
     kept = keyed.join(stay, "simhash_row").withColumn("simhash_turn", turn).filter("simhash_turn = 1")
