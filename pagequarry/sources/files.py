@@ -10,8 +10,6 @@ from pyspark.sql.types import ArrayType, DataType, StructType
 
 from ..functions import fixed as X, text as T
 
-PAGE_ERROR = "path string, page_num int, error string"
-
 
 def binary_documents(spark: SparkSession, path: str) -> DataFrame:
     """path, md5, content of each document file."""
@@ -36,7 +34,8 @@ def split_pages(documents: DataFrame, splitter: Callable[[bytes, list[int] | Non
                         rows += [{"path": path, "page_num": page, **b} for b in blocks]
                 except Exception as e:  # a bad document must not stop the others
                     rows.append({"path": path, "error": f"{type(e).__name__}: {e}"})
-                yield pd.DataFrame(rows, columns=["path", "page_num", "error", *names]).astype({"page_num": "Int32"})
+                columns = ["path", "page_num", "error", *names]
+                yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in columns})
 
     return documents.select("path", "content").mapInPandas(run, f"path string, page_num int, error string, {schema}")
 
