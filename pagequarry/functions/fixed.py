@@ -74,3 +74,6 @@ DETECTOR_CONFIDENCE, MOVED_POINTS, SPAN_SHARE = 0.35, 1.0, 0.70
 CHUNK_LINES, CACHE_KEY, EDITOR_TEXT, EDITOR_ROWS, REPORT_ROWS = 12, 20, 2000, 5000, 8
 FONT_POINTS, DIRECTIONS = (4.0, 150.0), ["horizontal", "vertical", "vertical_rtl", "auto"]
 SHEET_COLUMNS = ["页码", "气泡", "原文 (OCR)", "译文 (可修改)", "x0", "y0", "x1", "y1"]
+
+# Marks that never begin a line, as the inside of a character class.
+CLOSING = r")\]}>）】〉｝，。、；：？！”’"

@@ -73,3 +73,26 @@ def clean_font_size(value: Column) -> Column:
     good = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")) & (v > 0)
     low, high = X.FONT_POINTS
     return F.when(good, F.bround(F.least(F.greatest(v, F.lit(low)), F.lit(high)), 1)).otherwise(F.lit(0.0))
+
+
+def character_shape(w: Column, h: Column, page_w: Column, page_h: Column) -> Column:
+    """Whether a region may be a character: neither a line nor a blob."""
+    aspect = w / (h + 1e-5)
+    return (aspect > 0.15) & (aspect < 8.0) & (w < page_w * 0.2) & (h < page_h * 0.2)
+
+
+def line_shape(w: Column, h: Column, page_w: Column, page_h: Column) -> Column:
+    return (w > 15) & (h > 8) & (w < page_w * 0.95) & (h < page_h * 0.95)
+
+
+def window(b: Column, width: Column, height: Column, size: int = 512) -> Column:
+    """A box grown to a window of size around its centre, moved inside the image; larger sides stay."""
+
+    def side(low: Column, high: Column, limit: Column) -> tuple[Column, Column]:
+        room = F.least(F.lit(size), limit)
+        start = F.greatest(F.lit(0), F.least(F.floor((low + high) / 2) - F.floor(room / 2), limit - room))
+        fits = high - low >= room
+        return F.when(fits, low).otherwise(start), F.when(fits, high).otherwise(start + room)
+
+    (x0, x1), (y0, y1) = side(b["x0"], b["x1"], width), side(b["y0"], b["y1"], height)
+    return F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))

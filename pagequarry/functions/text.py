@@ -214,3 +214,18 @@ def safe_file_name(key: Text) -> Text:
 
 def joined_lines(lines: Column, japanese: Column) -> Text:
     return F.when(japanese, F.array_join(lines, "")).otherwise(F.array_join(lines, " "))
+
+
+def wrapped(text: Text, width: int) -> Column:
+    """Lines of width characters, each as wide as the next; closing marks hang on the line before them.
+
+    A typed line break starts a line; blank lines go unless there is nothing else.
+    """
+    typed = F.filter(F.split(text, r"\r\n|\r|\n"), lambda p: strip(p) != "")
+    line = F.lit(rf"(?s)(.{{{width}}}[{X.CLOSING}]*|.+)")
+    lines = F.flatten(F.transform(typed, lambda p: F.regexp_extract_all(p, line, F.lit(1))))
+    return let(lines, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.regexp_replace(text, r"^[\r\n]+|[\r\n]+\z", ""))))
+
+
+def one_of(value: Text, allowed: Sequence[str], default: str) -> Text:
+    return F.when(value.isin(list(allowed)), value).otherwise(default)

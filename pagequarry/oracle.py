@@ -302,3 +302,14 @@ a AS (SELECT CASE WHEN hard = '' AND soft = '' THEN 'fine' WHEN hard <> '' AND i
 SELECT action, retries, count(*) AS n_lines FROM a GROUP BY ALL"""
 ORACLE_SQL["q_union_issues"] = f"""WITH {JUDGED}, pages AS (SELECT page_num, flatten(list(h ORDER BY id)) AS h FROM chars GROUP BY 1)
 SELECT page_num, array_to_string(list_filter(h, lambda c, i: list_position(h, c) = i), '') AS hard FROM pages"""
+ORACLE_SQL["q_wrapped"] = f"""WITH {BLOCKS} SELECT page_num, id, CASE WHEN t = '' THEN text ELSE array_to_string(regexp_extract_all(text, {q(f'(?s).{{12}}[{X.CLOSING}]*|.+')}), chr(10)) END AS lines FROM t0"""
+ORACLE_SQL["q_joined_lines"] = f"""WITH {BLOCKS} SELECT page_num, md5(CASE WHEN lang = 'xx' THEN string_agg(text, '' ORDER BY id) ELSE string_agg(text, ' ' ORDER BY id) END) AS text_md5, CASE WHEN lang IN ('en', 'fr') THEN lang ELSE 'other' END AS lang FROM t0 GROUP BY page_num, t0.lang"""
+
+
+def grown(low: str, high: str, limit: int) -> list[str]:
+    start = f"greatest(0, least(({low} + {high}) // 2 - 32, {limit} - 64))"
+    return [f"CASE WHEN {high} - {low} >= 64 THEN {low} ELSE {start} END AS w_{low}", f"CASE WHEN {high} - {low} >= 64 THEN {high} ELSE {start} + 64 END AS w_{high}"]
+
+
+ORACLE_SQL["q_box_shapes"] = f"""WITH {BOXES}, s AS (SELECT *, x1 - x0 AS w, y1 - y0 AS h FROM boxes) SELECT page_num, ord, w / (h + 1e-5) > 0.15 AND w / (h + 1e-5) < 8 AND w < 60 AND h < 50 AS character,
+w > 15 AND h > 8 AND w < 285 AND h < 237.5 AS line, {', '.join(grown('x0', 'x1', 300) + grown('y0', 'y1', 250))} FROM s"""

@@ -500,3 +500,25 @@ def union_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = T.let(K.issues(F.col("text"), F.col("raw")), lambda f: f["hard"])
     lines = _lines(spark, sf_dir).select("page_num", F.struct("id", found.alias("hard")).alias("x")).groupBy("page_num").agg(F.array_sort(F.collect_list("x")).alias("l"))
     return lines.select("page_num", F.array_join(F.array_distinct(F.flatten(F.transform("l", lambda x: x["hard"]))), "").alias("hard"))
+
+
+@query
+def wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = T.wrapped(F.col("text"), 12)
+    return R.blocks(spark, sf_dir).select("page_num", "id", F.array_join(lines, "\n").alias("lines"))
+
+
+@query
+def joined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = R.blocks(spark, sf_dir).groupBy("page_num", "lang").agg(F.array_sort(F.collect_list(F.struct("id", "text"))).alias("l"))
+    text = T.joined_lines(F.transform("l", lambda x: x["text"]), F.col("lang") == "xx")
+    return pages.select("page_num", F.md5(text).alias("text_md5"), T.one_of(F.col("lang"), ["en", "fr"], "other").alias("lang"))
+
+
+@query
+def box_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = F.col("box")
+    w, h = b["x1"] - b["x0"], b["y1"] - b["y0"]
+    size = F.lit(300), F.lit(250)
+    at = G.window(b, *size, 64)
+    return R.boxes(spark, sf_dir).select("page_num", "ord", G.character_shape(w, h, *size).alias("character"), G.line_shape(w, h, *size).alias("line"), *[at[c].cast("long").alias(f"w_{c}") for c in ("x0", "y0", "x1", "y1")])
