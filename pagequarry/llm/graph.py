@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import discard, written
+from .common import discard, join_classes, written
 
 
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -26,22 +26,23 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges (a, b) -> (node, component), component being the smallest node reachable.
 
-    Alternating large-star and small-star steps; each round is written to the shared folder.  Self loops and
-    repeated edges do no harm; rows with a null end are left out; no edges give no rows.
+    Alternating large-star and small-star steps; each round is written to the shared folder, and the rows of a
+    hub don't meet in one task.  Self loops and repeated edges do no harm; rows with a null end are left out; no
+    edges give no rows.
     """
     link = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     link = written(link.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     was = None
     for _ in range(max_rounds):
         both = link.unionByName(link.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(
-            F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        new = written(small.select("e.u", "e.v").filter("u <> v").distinct(), "edges")
+        around = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "around")
+        large = join_classes(both, around, "u", "n").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(large.distinct(), "large")
+        below = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "below")
+        small = join_classes(large, below, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = written(small.unionByName(below.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
         now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        discard(link)
+        discard(link, around, large, below)
         link = new
         if now == was:
             break
