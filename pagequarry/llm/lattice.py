@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import FloatType
 
 from .common import blocked, join_classes, small_batches, whole_groups, written
 from .graph import connected_components, local_components
@@ -91,6 +92,13 @@ def usable() -> Column:
     return F.coalesce(every, F.lit(False))
 
 
+def normalised(raw: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision; the largest component goes first, so that no square under- or overflows."""
+    x = raw.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def compare(units: np.ndarray, shared: np.ndarray, weight: np.ndarray, part: np.ndarray, cell: int, parts: tuple[int, int], count: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links of one block: for each row the weight of its links counted here, and the pairs (i, j) that link."""
     links = np.zeros(len(units), np.int64)
@@ -120,8 +128,10 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY) -> DataF
     it stands alone.  kept: vec_id = component_id (both null counts as equal).  An empty table gives no rows.
     """
     spark = vectors.sparkSession
+    kind = vectors.schema["embedding"].dataType.elementType
+    dtype = np.float32 if isinstance(kind, FloatType) else np.float64
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
-    name = F.sha2(F.concat_ws("|", F.col("label"), F.array_join(F.transform("embedding", lambda x: F.hex(F.xxhash64(x + 0.0))), "")), 256)
+    name = F.substring(F.sha2(F.concat_ws("|", F.col("label"), F.array_join(F.transform("embedding", lambda x: F.hex(F.xxhash64(x + 0.0))), "")), 256), 1, 32)
     rows = written(base.filter(usable()).withColumn("class", name).select("vec_id", "class", "label", "embedding"), "vectors")
     classes = written(rows.groupBy("class").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding")), "classes")
     small_batches(spark, 4_096)
@@ -129,22 +139,16 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY) -> DataF
     def enter(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         maps: dict[int, np.ndarray] = {}
         for f in frames:
-            size = f["embedding"].str.len()
-            for d, g in f.groupby(size):
-                units = np.stack(g["embedding"].to_list()).astype(np.float64)
-                units /= np.abs(units).max(axis=1, keepdims=True)
-                units /= np.linalg.norm(units, axis=1, keepdims=True)
+            for d, g in f.groupby(f["embedding"].str.len()):
+                raw = np.stack(g["embedding"].to_list())
                 if d not in maps:
                     maps[d] = projections(d)
-                all_cells = cells(units, maps[d])
-                packed = pd.Series([u.tobytes() for u in units], index=g.index)
-                shared = pd.Series([c.tobytes() for c in all_cells], index=g.index)
-                for k in range(all_cells.shape[1]):
-                    on = all_cells[:, k] != 0
-                    yield pd.DataFrame({"class": g["class"][on], "copies": g["copies"][on], "label": g["label"][on], "size": d, "cell": all_cells[on, k].view(np.int64), "unit": packed[on], "shared": shared[on]})
-
-    entered = classes.select("class", "copies", "label", "embedding").mapInPandas(enter, "class string, copies long, label string, size int, cell long, unit binary, shared binary")
-    entered = written(entered, "entered")
+                own = cells(normalised(raw), maps[d])
+                yield pd.DataFrame({"class": g["class"], "copies": g["copies"], "label": g["label"], "size": d, "vector": [v.astype(dtype).tobytes() for v in raw], "cells": list(own.view(np.int64))})
+
+    schema = "class string, copies long, label string, size int, vector binary, cells array<bigint>"
+    prepared = written(classes.select("class", "copies", "label", "embedding").mapInPandas(enter, schema), "prepared")
+    entered = written(prepared.select("class", "label", "size", F.explode("cells").alias("cell")).filter("cell <> 0"), "entered")
     dealt = blocked(entered.withColumn("the_cell", F.col("cell")), ["label", "size", "cell"], "class", PART_ROWS)
     keys = ["group_key", "left_part", "right_part"]
 
@@ -153,9 +157,10 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY) -> DataF
             out = []
             for key, g in f.groupby(keys, sort=False):
                 names = g["class"].to_numpy()
-                units = np.frombuffer(b"".join(g["unit"]), np.float64).reshape(len(g), -1)
-                shared = np.frombuffer(b"".join(g["shared"]), np.uint64).reshape(len(g), -1)
-                links, a, b = compare(units, shared, g["copies"].to_numpy(), g["part"].to_numpy(), g["the_cell"].iloc[0].astype(np.int64).view(np.uint64), (key[1], key[2]), int(g["parts"].iloc[0]), similarity)
+                units = normalised(np.frombuffer(b"".join(g["vector"]), dtype).reshape(len(g), -1))
+                shared = np.stack(g["cells"].to_list()).astype(np.int64).view(np.uint64)
+                cell = g["the_cell"].iloc[0].astype(np.int64).view(np.uint64)
+                links, a, b = compare(units, shared, g["copies"].to_numpy(), g["part"].to_numpy(), cell, (key[1], key[2]), int(g["parts"].iloc[0]), similarity)
                 if len(a):
                     root = local_components(len(g), a, b)
                     on = np.unique(np.concatenate((a, b)))
@@ -163,7 +168,8 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY) -> DataF
             if out:
                 yield pd.concat(out, ignore_index=True)
 
-    found = dealt.select(*keys, "class", "copies", "part", "parts", "the_cell", "unit", "shared").repartition(*keys).sortWithinPartitions(*keys)
+    slim = dealt.select(*keys, "class", "part", "parts", "the_cell")  # vectors join what is left after lone entries went
+    found = slim.join(prepared.select("class", "copies", "vector", "cells"), "class").repartition(*keys).sortWithinPartitions(*keys)
     found = written(found.mapInPandas(verify, "class string, links long, near string"), "found")
     comps = connected_components(found.select(F.col("class").alias("a"), F.col("near").alias("b"))).select(F.col("node").alias("class"), "component")
     linked = found.groupBy("class").agg(F.sum("links").alias("links"))
