@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..runtime import spread
+
 #: Lines of scripts that the tables don't hold, as (id, text).
 SAMPLE_LINES = [
     (1, "こんにちは"), (2, "こん"), (3, "魔術師の塔"), (4, "안녕하세요"), (5, "え...!?"), (6, "はい、"), (7, "やめて~"),
@@ -38,7 +40,7 @@ def sample_terms(spark: SparkSession) -> DataFrame:
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text block per line of a document, and the sample lines on page -1."""
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_num"), "lang", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    docs = spread(read(spark, sf_dir, "documents")).select(F.col("doc_id").alias("page_num"), "lang", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     lines = docs.select("page_num", (F.col("pos") + 1).cast("long").alias("id"), "text", "lang")
     return lines.unionByName(sample_lines(spark).select(F.lit(-1).cast("long").alias("page_num"), F.col("id").cast("long"), "text", F.lit("xx").alias("lang")))
 

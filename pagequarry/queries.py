@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .functions import check as K, fixed as X, geometry as G, text as T
 from .operators import batching as B, cascade as C, layout as L, matching as M
 from .plans import relations as R
-from .runtime import new_path
+from .runtime import new_path, spread
 from .sources import files as S, replies as P
 from .streaming import pages as W
 
@@ -183,7 +183,7 @@ def prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Translated lines: the sample's, against a source, and every turn of the conversations against its first 40 characters."""
     sample = R.sample_lines(spark).select(F.lit(-1).cast("long").alias("page_num"), F.col("id").cast("long"), F.lit("OK!? Don't").alias("raw"), "text")
-    said = R.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("page_num"), F.col("turn").cast("long").alias("id"), F.substring("text", 1, 40).alias("raw"), F.concat(F.lit("好"), "text").alias("text"))
+    said = spread(R.read(spark, sf_dir, "conversations")).select(F.col("conv_id").alias("page_num"), F.col("turn").cast("long").alias("id"), F.substring("text", 1, 40).alias("raw"), F.concat(F.lit("好"), "text").alias("text"))
     return sample.unionByName(said)
 
 
