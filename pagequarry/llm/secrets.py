@@ -187,7 +187,7 @@ class Index:
         k = 0
         while k < len(blobs):
             n, size = k, 0
-            while n < len(blobs) and (n == k or size + len(blobs[n]) <= 1 << 22):
+            while n < len(blobs) and (n == k or size + len(blobs[n]) <= 1 << 20):
                 size += len(blobs[n])
                 n += 1
             data = LOWER[np.frombuffer(b"\0\0".join(blobs[k:n]) + b"\0\0", np.uint8)].astype(np.uint32)

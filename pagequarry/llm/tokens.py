@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Bytes hashed together; a longer text is cut at white space.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 
@@ -50,8 +50,9 @@ def hash_words(data: np.ndarray, gap: np.ndarray = WHITE) -> tuple[np.ndarray, n
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts
 
 
-def cut(blob: bytes, limit: int = CHUNK) -> Iterator[bytes]:
+def cut(blob: bytes, limit: int | None = None) -> Iterator[bytes]:
     """Pieces of at most about limit bytes that end at ASCII white space; a longer word stays whole."""
+    limit = limit or CHUNK
     while len(blob) > limit:
         at = max(blob.rfind(c, 1, limit) for c in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f"))
         if at < 0:
@@ -63,8 +64,9 @@ def cut(blob: bytes, limit: int = CHUNK) -> Iterator[bytes]:
     yield blob
 
 
-def packed(texts: Iterable[str | None], limit: int = CHUNK) -> Iterator[tuple[list[int], list[bytes]]]:
+def packed(texts: Iterable[str | None], limit: int | None = None) -> Iterator[tuple[list[int], list[bytes]]]:
     """Pieces of texts with the position of their text, in groups of about limit bytes."""
+    limit = limit or CHUNK
     where, blobs, held = [], [], 0
     for k, text in enumerate(texts):
         for piece in cut((text or "").encode("utf-8", "surrogatepass"), limit):
