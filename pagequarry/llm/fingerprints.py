@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import blocked, computed, join_classes, present, small_batches, whole_groups, written
 from .graph import connected_components
-from .tokens import shingles, word_hashes
+from .tokens import mix, shingles, word_hashes
 
 PERMUTATIONS, WORDS, SIMILARITY, BANDS = 128, 5, 0.8, 16
 #: Rows of an ordered bucket, and buckets at most: their bounds are all the driver holds.
@@ -42,12 +42,17 @@ def signature(text: str | None) -> np.ndarray:
 
 
 def as_string(low: np.ndarray) -> str:
-    """Sixteen bits of each least value, in hexadecimal; the empty set's are all ones."""
-    return (low >> np.uint64(48)).astype(">u2").tobytes().hex()
+    """Sixteen bits of a hash of each whole least value, in hexadecimal; the empty set's are all ones.
+
+    The first bits of the least values themselves won't do: the least of n values is about 2**64 / n, so those of
+    long texts nearly all begin with zeros.
+    """
+    return (np.where(low == _EMPTY, low, mix(low)) >> np.uint64(48)).astype(">u2").tobytes().hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    return float(((a >> np.uint64(48)) == (b >> np.uint64(48))).mean())
+    """Share of least values that agree in all bits, an estimate of the Jaccard similarity."""
+    return float((a == b).mean())
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -51,6 +51,15 @@ def test_likeness_estimates_jaccard():
         assert abs(fingerprints.likeness(fingerprints.least(a), fingerprints.least(b)) - share / (2 - share)) < 0.13
 
 
+@pytest.mark.parametrize("n", [20_000, 200_000])
+def test_unrelated_long_texts_are_unlike(n):
+    a, b = (fingerprints.signature(" ".join(f"{name}{k * 7919 % 100_003}" for k in range(n))) for name in "ab")
+    assert fingerprints.likeness(a, b) < 0.02 and fingerprints.likeness(a, a) == 1
+    stored = [np.frombuffer(bytes.fromhex(fingerprints.as_string(x)), ">u2") for x in (a, b)]
+    assert (stored[0] == stored[1]).mean() < 0.02
+    assert len(set(stored[0].tolist())) > 120  # the slots of a long text tell it apart
+
+
 def test_near_duplicates_by_bands(spark):
     base = [f"w{k}" for k in range(200)]
     near = [*base[:198], "other", "end"]
