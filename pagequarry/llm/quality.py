@@ -20,8 +20,8 @@ from .common import computed, fresh, present, small_batches, written
 from .tokens import gram_index, gram_scores, packed, word_hashes
 
 BUCKET_BITS, GRAM, SHARPNESS, SEED = 15, 4, 400.0, 99
-#: Labelled rows of each kind that are learned from at most, and the code points of each that are read.
-SAMPLE_ROWS, SAMPLE_CHARS = 4_000, 20_000
+#: Labelled rows of each kind that are learned from at most; each is read whole.
+SAMPLE_ROWS = 4_000
 SAME, NEXT = 1 << BUCKET_BITS, (1 << BUCKET_BITS) + 1
 BUCKETS = NEXT + 1
 
@@ -100,18 +100,25 @@ def bar_between(ratio: np.ndarray, good: np.ndarray, margin: float = 0.3) -> flo
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """Model from all texts of docs (doc_id, text) and labels (doc_id, quality 0 or 1), a bounded sample of each."""
+    """Model from all texts of docs (doc_id, text) and labels (doc_id, quality 0 or 1), a bounded sample of each kind.
+
+    Executors count and score the sampled texts whole; the driver gets a number per bucket, and one for each of at
+    most 2 * SAMPLE_ROWS rows.
+    """
     marked = labels.filter("quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     few = marked.filter("quality = 1").orderBy(*order).limit(SAMPLE_ROWS).unionByName(marked.filter("quality = 0").orderBy(*order).limit(SAMPLE_ROWS))
-    rows = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(few), "doc_id")
-    rows = rows.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "quality").orderBy("doc_id", "text").limit(2 * SAMPLE_ROWS).collect()
-    good = np.array([r["quality"] == 1 for r in rows], bool)
-    texts = [r["text"] for r in rows]
+    few = written(few, "few")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").join(F.broadcast(few), "doc_id")
     raw = corpus_counts(docs)
-    target = counts([t for t, g in zip(texts, good, strict=True) if g]) if good.any() else raw
+    target = corpus_counts(rows.filter("quality = 1"))
+    if not target.any():
+        target = raw
     model = Model(log_ratio(target, raw), 0.0)
-    return Model(model.ratio, bar_between(model.mean_ratio(texts), good))
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    rated = computed(rows, "text", ["doc_id", "quality"], "ratio double", lambda: lambda texts: (shipped.value.mean_ratio(texts),))
+    rated = rated.select("doc_id", "ratio", "quality").orderBy("doc_id", "ratio", "quality").limit(2 * SAMPLE_ROWS).collect()
+    return Model(model.ratio, bar_between(np.array([r["ratio"] for r in rated]), np.array([r["quality"] == 1 for r in rated], bool)))
 
 
 def kth_largest(rows: DataFrame, column: str, k: int, most: int = 4_096) -> float:

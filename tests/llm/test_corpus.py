@@ -295,6 +295,22 @@ def test_quality_keeps_clean_documents(spark, hostile, nothing, labels, no_label
     assert quality.resample(nothing, no_labels).collect() == [] and quality.selected(nothing, labels).collect() == []
 
 
+def test_quality_reads_labelled_texts_whole(spark):
+    rng = np.random.default_rng(2)
+    vocabulary = np.array(["".join(rng.choice(["th", "er", "ing", "on", "ou", "st"], int(rng.integers(1, 4)))) for _ in range(500)])
+    clean = lambda n: " ".join(rng.choice(vocabulary, n))
+    rows = [(k, clean(5_000) + (" " + clean(7_000).upper().replace(" ", "!! ") if k % 4 == 0 else " " + clean(7_000))) for k in range(60)]
+    assert min(t.find("!!") for k, t in rows if k % 4 == 0) > 20_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    marks = spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(60) if k % 8 < 5], "doc_id long, quality int")
+    model = quality.learn(docs, marks)
+    ratio = dict(zip([k for k, _ in rows], model.mean_ratio([t for _, t in rows]), strict=True))
+    marked = {r.doc_id: r.quality == 1 for r in marks.collect()}
+    assert model.ratio.tolist() == quality.log_ratio(quality.counts([t for k, t in rows if marked.get(k)]), quality.counts([t for _, t in rows])).tolist()
+    assert model.bar == quality.bar_between(np.array([ratio[k] for k in sorted(marked)]), np.array([marked[k] for k in sorted(marked)]))
+    assert {r.doc_id for r in quality.resample(docs, marks).collect() if r.kept} == {k for k in range(60) if k % 4}
+
+
 def test_kth_largest(spark):
     values = [float(x) for x in np.random.default_rng(0).normal(size=3000)] + [0.5] * 200
     rows = spark.createDataFrame([(v,) for v in values], "v double")
