@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import tempfile
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from ..runtime import discard, shared_dir, whole_groups, written
 
-__all__ = ["blocked", "computed", "discard", "fresh", "join_classes", "present", "shared_dir", "small_batches", "table", "whole_groups", "written"]
+__all__ = ["blocked", "computed", "discard", "fresh", "join_classes", "present", "shared_dir", "shelved", "small_batches", "table", "whole_groups", "written"]
 
 #: Rows in an Arrow batch, so that a batch of very long texts still fits a worker.
 BATCH_ROWS = 256
@@ -47,6 +49,22 @@ def computed(df: DataFrame, column: str, keep: Sequence[str], ddl: str, setup: C
     return used.mapInArrow(run, StructType([*kept, *extra.fields]))
 
 
+def shelved(rows: Iterable[Row], types: dict[str, type]) -> tuple[list[Row], dict[str, list[np.ndarray]]]:
+    """Rows without the binary columns of types, and those columns as arrays in mapped temporary files of the driver."""
+    files, sizes, rest = {c: tempfile.TemporaryFile() for c in types}, {c: [] for c in types}, []
+    for r in rows:
+        rest.append(Row(**{c: v for c, v in r.asDict().items() if c not in types}))
+        for c, file in files.items():
+            file.write(r[c])
+            sizes[c].append(len(r[c]) // np.dtype(types[c]).itemsize)
+    out = {}
+    for c, file in files.items():
+        file.flush()
+        whole = np.memmap(file, types[c], "r").view(np.ndarray) if sum(sizes[c]) else np.zeros(0, types[c])
+        out[c] = np.split(whole, np.cumsum(sizes[c])[:-1])[: len(rest)]
+    return rest, out
+
+
 def join_classes(rows: DataFrame, classes: DataFrame, key: str, size: str) -> DataFrame:
     """Inner join of rows with one row per key of their own; size is the number of rows that have the key.
 

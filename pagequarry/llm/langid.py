@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import computed
-from .tokens import NOT_LETTER, gram_index, gram_scores
+from .tokens import NOT_LETTER, gram_index, gram_scores, packed
 
 #: Rows a model is fitted on at most, the code points of each that training reads, and the folds of row ids.
 SAMPLE_ROWS, SAMPLE_CHARS, FOLDS, HELD_OUT = 4_000, 5_000, 5, 0
@@ -34,6 +34,11 @@ class Model:
         sums, n = gram_scores(texts, self.table, GRAM, NOT_LETTER, True)
         return (sums / np.maximum(n, 1)[:, None] + self.bias) / self.heat
 
+    def logits_of(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """logits() from features()."""
+        sums = np.array([share @ self.table[ids] for ids, share in rows]).reshape(len(rows), len(self.bias))
+        return (sums + self.bias) / self.heat
+
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
         return softmax(self.logits(texts))
 
@@ -43,20 +48,31 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    index = gram_index([text.encode("utf-8", "surrogatepass")], GRAM, NOT_LETTER, True, np.uint64(64 - BUCKET_BITS))[1]
-    ids, n = np.unique(index, return_counts=True)
-    return ids, n / max(1, n.sum())
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a whole text's trigrams and the share of each."""
+    n = np.zeros(1 << BUCKET_BITS, np.int64)
+    for _, blobs in packed([text]):
+        n += np.bincount(gram_index(blobs, GRAM, NOT_LETTER, True, np.uint64(64 - BUCKET_BITS))[1], minlength=len(n))
+    ids = np.flatnonzero(n)
+    return ids.astype(np.uint16), n[ids] / max(1, n.sum())
+
+
+#: features() as columns of a table, and their types.
+GRAMS, GRAM_TYPES = "gram_ids binary, gram_shares binary", {"gram_ids": np.uint16, "gram_shares": np.float64}
+
+
+def gram_columns(texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
+    each = [features(t) for t in texts]
+    return [ids.tobytes() for ids, _ in each], [share.tobytes() for _, share in each]
 
 
-def train(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 20.0, seed: int = 7) -> Model:
-    """Fit a model; every tenth row sets the temperature and the bar.  One language or none needs no descent."""
+def train(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], epochs: int = 6, rate: float = 20.0, seed: int = 7) -> Model:
+    """Fit a model on features() of texts; every tenth row sets the temperature and the bar.  One language or none needs no descent."""
     languages = tuple(sorted(set(langs)))
     rng = np.random.default_rng(seed)
     embedding = rng.normal(0, 0.1, (1 << BUCKET_BITS, DIMENSIONS))
     weight, bias = rng.normal(0, 0.1, (DIMENSIONS, len(languages))), np.zeros(len(languages))
     label = np.array([languages.index(x) for x in langs], np.int64)
-    rows = [features(t) for t in texts]
     kept = np.arange(len(rows)) % 10 == 9 if len(rows) >= 100 else np.zeros(len(rows), bool)
     if len(languages) > 1:
         fit = np.flatnonzero(~kept)
@@ -75,7 +91,7 @@ def train(texts: list[str], langs: list[str], epochs: int = 6, rate: float = 20.
     check = np.flatnonzero(kept) if kept.any() else np.arange(len(rows))
     if len(languages) < 2 or not len(check):
         return model
-    z = model.logits([texts[k] for k in check])
+    z = model.logits_of([rows[k] for k in check])
     loss = lambda heat: -np.log(softmax(z / heat)[np.arange(len(check)), label[check]] + 1e-12).mean()
     heat = min((0.5, 1.0, 2.0, 4.0), key=loss)
     p = softmax(z / heat)
@@ -124,5 +140,5 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def learn(docs: DataFrame) -> Model:
     """A model from (doc_id, text, lang) rows outside the held-out fold."""
     rows = sample(docs, "lang")
-    return train([t for t, _ in rows], [str(x) for _, x in rows])
+    return train([features(t) for t, _ in rows], [str(x) for _, x in rows])
 

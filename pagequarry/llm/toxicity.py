@@ -10,17 +10,18 @@ descent, one for each language that langid predicts from the text, so a score de
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from . import langid
-from .common import computed
+from .common import computed, discard, shelved, written
 from .tokens import LOWER, NOT_WORD, _power, cut, mix
 
 BUCKET_BITS, DIMENSIONS, FILTERS, WIDTHS, PREFIXES = 15, 8, 8, (1, 2, 3), (4, 5, 6)
-#: Labelled rows that are learned from at most, and the code points of each that training reads.
-SAMPLE_ROWS, SAMPLE_CHARS = 6_000, 20_000
+#: Labelled rows that are learned from at most; each is read whole.
+SAMPLE_ROWS = 6_000
 #: Toxic rows of a language from which it gets a threshold of its own.
 LEAST_TOXIC = 10
 
@@ -120,10 +121,9 @@ def log_odds(features: list[np.ndarray], label: np.ndarray, prior: float = 2.0)
     return (np.log((count[1] + prior * rate) / ((count[0] + prior) * rate)) / 4).astype(np.float32)
 
 
-def fit(texts: list[str], label: np.ndarray, epochs: int = 3, seed: int = 5) -> tuple[Network, np.ndarray]:
-    """A trained network and the logits of all texts, those of every fifth from outside the descent."""
-    features = [word_features(t) for t in texts]
-    kept = np.arange(len(texts)) % 5 == 4
+def fit(features: list[np.ndarray], label: np.ndarray, epochs: int = 3, seed: int = 5) -> tuple[Network, np.ndarray]:
+    """A network trained on word_features() and the logits of all texts, those of every fifth from outside the descent."""
+    kept = np.arange(len(features)) % 5 == 4
     rng = np.random.default_rng(seed)
     size = 1 << BUCKET_BITS
     embedding = rng.normal(0, 0.02, (size, DIMENSIONS)).astype(np.float32)
@@ -174,28 +174,42 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def hashed(texts: list[str]) -> tuple:
+    """Features of whole texts for the network and for the language model."""
+    return [word_features(t).astype(np.uint16).tobytes() for t in texts], *langid.gram_columns(texts)
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from documents (doc_id, text, lang) and labels (doc_id, toxic), outside the held-out fold only."""
+    """A model from documents (doc_id, text, lang) and labels (doc_id, toxic), outside the held-out fold only.
+
+    Executors hash the sampled texts whole; the driver maps their features (8 bytes a word) from a temporary file.
+    """
     marked = labels.select("doc_id", "toxic").filter("toxic IN (0, 1)")
     ids = marked.filter(langid.remainder() != langid.HELD_OUT).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     few = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    picked = docs.select("doc_id", "text", "lang").filter("text IS NOT NULL").join(F.broadcast(few), "doc_id")
-    rows = picked.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang", "toxic")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_ROWS).collect()
-    return train([r["text"] for r in rows], [r["lang"] for r in rows], np.array([r["toxic"] for r in rows], float))
-
-
-def train(texts: list[str], langs: list[str | None], label: np.ndarray) -> Model:
+    picked = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang").filter("text IS NOT NULL").join(F.broadcast(few), "doc_id")
+    picked = picked.withColumn("text_hash", F.xxhash64("text"))
+    rows = written(computed(picked, "text", ["doc_id", "text_hash", "lang", "toxic"], f"words binary, {langid.GRAMS}", lambda: hashed), "hashed")
+    order = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash", "lang", "toxic")
+    marks, made = shelved(islice(order.toLocalIterator(), SAMPLE_ROWS), {"words": np.uint16, **langid.GRAM_TYPES})
+    discard(rows)
+    features = [w.reshape(-1, 1 + len(PREFIXES)) for w in made["words"]]
+    grams = list(zip(made["gram_ids"], made["gram_shares"], strict=True))
+    return train(features, grams, [r["lang"] for r in marks], np.array([r["toxic"] for r in marks], float))
+
+
+def train(features: list[np.ndarray], grams: list[tuple[np.ndarray, np.ndarray]], langs: list[str | None], label: np.ndarray) -> Model:
+    """A model from word_features() and langid.features() of whole texts."""
     known = [k for k, x in enumerate(langs) if x is not None]
-    language = langid.train([texts[k][: langid.SAMPLE_CHARS] for k in known], [langs[k] for k in known])
+    language = langid.train([grams[k] for k in known], [langs[k] for k in known])
     if len(label) < 2 or len(set(label.tolist())) < 2:
         return Model(None, language, {}, 0.0)
-    network, z = fit(texts, label)
+    network, z = fit(features, label)
     network.moments = {}
-    kept = np.arange(len(texts)) % 5 == 4
+    kept = np.arange(len(features)) % 5 == 4
     if len(set(label[kept].tolist())) < 2:
         kept[:] = True
-    at = language.logits(texts).argmax(axis=1) if language.languages else np.zeros(len(texts), int)
+    at = language.logits_of(grams).argmax(axis=1) if language.languages else np.zeros(len(grams), int)
     every = threshold(z[kept], label[kept])
     cuts = {}
     for k, name in enumerate(language.languages):

@@ -193,3 +193,29 @@ def test_toxicity(spark, hostile, nothing, no_labels):
     assert len(odd) == len(ROWS) and all(r.score is not None and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in odd)
     assert toxicity.score(nothing, toxicity.learn(nothing, no_labels)).collect() == []
     assert {r.predicted for r in toxicity.score(hostile, toxicity.learn(hostile, no_labels)).collect()} == {0}
+
+
+def test_toxicity_is_learned_from_whole_texts(spark):
+    rng = np.random.default_rng(4)
+    plain = np.array(" ".join(lines("en", 60, 30)).split())
+    rows, marks = [], []
+    for k in range(240):
+        words = rng.choice(plain, 6_000).tolist()
+        if toxic := int(k % 3 == 0):
+            words[-int(rng.integers(1, 300))] = str(rng.choice(["idiotish", "scummy", "vilewort"]))
+        rows.append((k, " ".join(words), "en"))
+        marks.append((k, toxic))
+    assert min(len(" ".join(t.split()[:-300])) for _, t, _ in rows) > 20_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    out = toxicity.score(docs, model).filter("held_out").join(labels, "doc_id").collect()
+    assert len(out) > 30 and np.mean([r.predicted == r.toxic for r in out]) > 0.95
+
+
+def test_language_features_are_of_whole_texts():
+    text = "Every word of the text " * 40_000
+    ids, share = langid.features(text)
+    table = np.random.default_rng(0).normal(size=(1 << langid.BUCKET_BITS, 3))
+    model = langid.Model(("a", "b", "c"), table, np.zeros(3), 1.0, 0.0)
+    assert np.allclose(model.logits([text]), model.logits_of([(ids, share)])) and abs(share.sum() - 1) < 1e-9
