@@ -68,6 +68,17 @@ def test_near_duplicates_by_bands(spark):
     assert out == {1: (1, 1), 2: (2, 1), 3: (1, 1), 4: (4, 4), 5: (5, 5), 6: (5, 5), 7: (7, 7)}
 
 
+def test_bands_find_pairs_at_the_least_similarity(spark):
+    rows = []
+    for k in range(150):  # of 200 shingles 22 differ: Jaccard 178 / 222, just above 0.8
+        words = [f"w{k}x{j}" for j in range(204)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:182] + [f"v{k}x{j}" for j in range(22)]))]
+    a, b = (np.unique(tokens.shingles(tokens.word_hashes([t])[0], fingerprints.WORDS)) for _, t in rows[:2])
+    assert 0.8 <= fingerprints.jaccard(a, b) < 0.81
+    out = fingerprints.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in out} == {k: k - k % 2 for k in range(300)}
+
+
 def test_word_hashes_do_not_depend_on_the_batch():
     texts = [t for _, t, *_ in ROWS]
     together, bounds = tokens.word_hashes(texts)
