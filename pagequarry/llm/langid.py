@@ -11,13 +11,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import computed
+from .common import computed, discard, shelved, written
 from .tokens import NOT_LETTER, gram_index, gram_scores, packed
 
-#: Rows a model is fitted on at most, the code points of each that training reads, and the folds of row ids.
-SAMPLE_ROWS, SAMPLE_CHARS, FOLDS, HELD_OUT = 4_000, 5_000, 5, 0
+#: Rows a model is fitted on, dealt to languages by their shares, and those that each language has at least if there
+#: are so many (on top of the others); each is read whole.  The folds of row ids.
+SAMPLE_ROWS, LEAST_ROWS, FOLDS, HELD_OUT = 4_000, 100, 5, 0
 BUCKET_BITS, DIMENSIONS, GRAM = 14, 16, 3
 UNKNOWN, ACCURACY = "und", 0.99
 
@@ -105,12 +106,27 @@ def remainder(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % FOLDS, F.lit(HELD_OUT))
 
 
-def sample(docs: DataFrame, label: str, most: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, object]]:
-    """(text, label) of at most `most` rows with both, outside the held-out fold, chosen by a hash of the id."""
-    rows = docs.filter(F.col(label).isNotNull() & F.col("text").isNotNull() & (remainder() != HELD_OUT))
-    ids = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    picked = rows.join(F.broadcast(ids), "doc_id").select("doc_id", F.substring("text", 1, chars).alias("text"), label)
-    return [(r["text"], r[label]) for r in picked.orderBy("doc_id", "text", label).limit(most).collect()]
+def sample(docs: DataFrame, label: str) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[object]]:
+    """features() of whole texts and labels of a bounded sample per label outside the held-out fold, by a hash of the id."""
+    spark = docs.sparkSession
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col(label).cast("string").alias("label"))
+    rows = rows.filter(F.col("label").isNotNull() & F.col("text").isNotNull() & (remainder() != HELD_OUT))
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    total, quotas = sum(sizes.values()), []
+    for name, n in sizes.items():
+        quota = min(n, max(LEAST_ROWS, -(-SAMPLE_ROWS * n // total)))
+        # twice as many hashes as needed, so that few rows meet in a label's task
+        quotas.append((name, quota, 2**63 - 1 if 2 * quota >= n else -(2**63) + (2**64 * 2 * quota) // n))
+    few = F.broadcast(spark.createDataFrame(quotas, "label string, quota long, most_hash long"))
+    picked = rows.withColumn("id_hash", F.xxhash64("doc_id")).join(few, "label").filter("id_hash <= most_hash")
+    picked = picked.withColumn("text_hash", F.xxhash64("text"))
+    keep = ["doc_id", "label", "quota", "id_hash", "text_hash"]
+    hashed = written(computed(picked, "text", keep, GRAMS, lambda: gram_columns), "hashed")
+    place = F.row_number().over(Window.partitionBy("label").orderBy("id_hash", "doc_id", "text_hash"))
+    chosen = hashed.withColumn("place", place).filter("place <= quota").orderBy("doc_id", "text_hash", "label")
+    marks, made = shelved(chosen.toLocalIterator(), GRAM_TYPES)
+    discard(hashed)
+    return list(zip(made["gram_ids"], made["gram_shares"], strict=True)), [r["label"] for r in marks]
 
 
 def has_letter(text: str | None) -> bool:
@@ -139,6 +155,5 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def learn(docs: DataFrame) -> Model:
     """A model from (doc_id, text, lang) rows outside the held-out fold."""
-    rows = sample(docs, "lang")
-    return train([features(t) for t, _ in rows], [str(x) for _, x in rows])
+    return train(*sample(docs, "lang"))
 

@@ -230,3 +230,18 @@ def test_language_features_are_of_whole_texts():
     table = np.random.default_rng(0).normal(size=(1 << langid.BUCKET_BITS, 3))
     model = langid.Model(("a", "b", "c"), table, np.zeros(3), 1.0, 0.0)
     assert np.allclose(model.logits([text]), model.logits_of([(ids, share)])) and abs(share.sum() - 1) < 1e-9
+
+
+def test_language_sample_holds_rare_languages_and_whole_texts(spark):
+    text = {"en": "the other thing on the house ", "de": "scheinung der dach ", "fr": "eau les que oiseau "}
+    rows = [(k, text["en" if k % 2 else "de"] + str(k), "en" if k % 2 else "de") for k in range(12_000)]
+    rows += [(k, "the other thing " * 400 + text["fr"] * 400, "fr") for k in range(20_000, 20_003)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    fold = spark.range(20_000, 20_003).withColumnRenamed("id", "doc_id").filter(langid.remainder() != langid.HELD_OUT)
+    rare = {r.doc_id for r in fold.collect()}
+    assert rare
+    got, langs = langid.sample(docs, "lang")
+    assert langs.count("fr") == len(rare) and 3_900 < len(langs) <= langid.SAMPLE_ROWS + langid.LEAST_ROWS
+    want = langid.features(rows[-1][1])
+    ids, share = next(g for g, x in zip(got, langs, strict=True) if x == "fr")
+    assert ids.tolist() == want[0].tolist() and share.tolist() == want[1].tolist()
