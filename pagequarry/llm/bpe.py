@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding.
 
 A text is cut into words by a public pattern and each word is merged by rank, the lowest first and the leftmost
-of equals, as the tiktoken library does it.  The distinct words of the corpus are merged once in Spark: a
+of equals, as the tiktoken library does it.  The most frequent words of the corpus are merged once in Spark: a
 higher-order fold over the offsets of a word's bytes looks adjacent pairs up in the map of the ranks of that
 word's own substrings, which a join with the rank table (a vocabulary file, of fixed size) supplies.
 
