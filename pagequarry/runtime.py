@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,13 +16,16 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors see: spark.checkpoint.dir; a temporary one of our own only where driver and executors are one."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = _own_dirs.get(sc.applicationId)
         if not root:
             root = _own_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="pagequarry-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
             sc.setCheckpointDir(root)
     return f"{root.rstrip('/')}/pagequarry/{sc.applicationId}"
 
@@ -44,6 +50,12 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all tables this application has written; frames that read them can't be used any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan with fewer splits than cores dealt to all of them; any larger input stays as it is, unshuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
