@@ -13,18 +13,19 @@ from pyspark.sql.types import StructType
 
 from ..runtime import discard, shared_dir, whole_groups, written
 
-__all__ = ["blocked", "computed", "discard", "fresh", "join_classes", "present", "shared_dir", "shelved", "small_batches", "table", "whole_groups", "written"]
+__all__ = ["blocked", "computed", "discard", "fresh", "join_classes", "join_salted", "least_hashes", "present", "shared_dir", "shelved", "small_batches", "table", "whole_groups", "written"]
 
-#: Rows in an Arrow batch, so that a batch of very long texts still fits a worker.
-BATCH_ROWS = 256
+#: Bytes of an Arrow batch (one row at least), so that batches of very long texts still fit a worker.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH_BYTES: one value for all operators, as frames are lazy."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def computed(df: DataFrame, column: str, keep: Sequence[str], ddl: str, setup: Callable[[], Callable[[list], Sequence]]) -> DataFrame:
@@ -65,19 +66,44 @@ def shelved(rows: Iterable[Row], types: dict[str, type]) -> tuple[list[Row], dic
     return rest, out
 
 
-def join_classes(rows: DataFrame, classes: DataFrame, key: str, size: str) -> DataFrame:
-    """Inner join of rows with one row per key of their own; size is the number of rows that have the key.
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of rows with one small row per key of their own; size is the number of rows that have the key.
 
     Keys that hold over a 500th of all rows (500 of them at most, so they may be broadcast) never shuffle
-    their rows; the rest meet in a shuffle join.
+    their rows; the rest meet in a shuffle join.  Class rows that hold whole texts belong in join_salted.
     """
     total = classes.agg(F.sum(size)).first()[0] or 0
     bar = max(total // 500, 1000)
     hot, cold = (classes.filter(c).drop(size) for c in (F.col(size) > bar, F.col(size) <= bar))
     if total <= bar:
-        return rows.join(cold, key)
+        return rows.join(cold, key, how)
     spread = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(hot), key).unionByName(spread.join(cold, key))
+    return rows.join(F.broadcast(hot), key).unionByName(spread.join(cold, key, how))
+
+
+def join_salted(rows: DataFrame, classes: DataFrame, key: str, size: str) -> DataFrame:
+    """join_classes for class rows of any width: those of hot keys are dealt out in copies, only keys are broadcast.
+
+    A key over a 500th of all rows gets as many copies of its class row as it has 500ths, 1,000 over all at most,
+    and each of its rows goes to one of them by a hash of its other columns.
+    """
+    total = classes.agg(F.sum(size)).first()[0] or 0
+    bar = max(total // 500, 1000)
+    parts, salt = (fresh(c, [*rows.columns, *classes.columns]) for c in ("salt_parts", "salt"))
+    hot = classes.filter(F.col(size) > bar).select(key, F.ceil(F.col(size) / bar).cast("int").alias(parts))
+    each = F.xxhash64(*[c for c in rows.columns if c != key])
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn(salt, F.coalesce(F.pmod(each, F.col(parts)), F.lit(0)).cast("int")).drop(parts)
+    copies = F.when(F.col(size) > bar, F.ceil(F.col(size) / bar)).otherwise(1).cast("int")
+    spread = classes.withColumn(salt, F.explode(F.sequence(F.lit(0), copies - 1))).drop(size)
+    return dealt.join(spread, [key, salt]).drop(salt)
+
+
+def least_hashes(rows: DataFrame, quota: int, n: int, key: str = "doc_id") -> DataFrame:
+    """The quota rows of n with the least hashes of key; a cut on the hash leaves few for the one task that sorts."""
+    hashed = rows.withColumn("least_hash", F.xxhash64(key))
+    if 2 * quota < n:
+        hashed = hashed.filter(F.col("least_hash") <= F.lit(-(2**63) + (2**64 * 2 * quota) // n))
+    return hashed.orderBy("least_hash", key).limit(quota).drop("least_hash")
 
 
 def blocked(rows: DataFrame, keys: list[str], row_id: str, chunk: int) -> DataFrame:
@@ -88,7 +114,7 @@ def blocked(rows: DataFrame, keys: list[str], row_id: str, chunk: int) -> DataFr
     stand together in some block and no task holds an unbounded group.
     """
     keyed = rows.withColumn("group_key", F.xxhash64(*keys)).drop(*keys)
-    sizes = keyed.groupBy("group_key").agg(F.count("*").alias("group_rows")).filter("group_rows > 1")
+    sizes = written(keyed.groupBy("group_key").agg(F.count("*").alias("group_rows")).filter("group_rows > 1"), "sizes")
     met = join_classes(keyed, sizes.withColumn("n", F.col("group_rows")), "group_key", "n")
     parts = F.ceil(F.col("group_rows") / chunk).cast("int")
     part = F.when(parts > 1, F.pmod(F.xxhash64(F.lit(11), row_id), parts).cast("int")).otherwise(0)
