@@ -307,10 +307,100 @@ def test_quality_reads_labelled_texts_whole(spark):
     ratio = dict(zip([k for k, _ in rows], model.mean_ratio([t for _, t in rows]), strict=True))
     marked = {r.doc_id: r.quality == 1 for r in marks.collect()}
     assert model.ratio.tolist() == quality.log_ratio(quality.counts([t for k, t in rows if marked.get(k)]), quality.counts([t for _, t in rows])).tolist()
-    assert model.bar == quality.bar_between(np.array([ratio[k] for k in sorted(marked)]), np.array([marked[k] for k in sorted(marked)]))
+    known = sorted(marked)
+    want = quality.calibrate(np.array([ratio[k] for k in known]), np.array([marked[k] for k in known]), np.ones(len(known)))
+    assert (model.slope, model.level) == pytest.approx(want) and model.learned
     assert {r.doc_id for r in quality.resample(docs, marks).collect() if r.kept} == {k for k in range(60) if k % 4}
 
 
+def chained(*values):
+    """Spark's xxhash64 of an int, a long and a string, by another library."""
+    h = 42
+    for v, width in zip(values, (4, 8, None), strict=True):
+        h = xxhash.xxh64_intdigest(v.encode() if width is None else v.to_bytes(width, "little", signed=True), h)
+    return h
+
+
+def test_quality_draw_recomputed_plainly(spark):
+    """Ratios, weights, keys and the draw again, from dictionaries of n-grams and a plain sort."""
+    rng = np.random.default_rng(7)
+    rows, marks = [], []
+    for k in range(300):  # the share of shouted words rises with k, and with it the odds that a row is labelled bad
+        words = ["".join(rng.choice(["th", "er", "ing", "on", "ou", "st"], int(rng.integers(1, 4)))) for _ in range(40)]
+        rows.append((k, " ".join(w.upper() if rng.random() < k / 300 else w for w in words)))
+        marks.append((k, int(rng.random() > (k / 300) ** 2)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    out = {r.doc_id: r for r in quality.resample(docs, labels).collect()}
+
+    def grams(text):
+        data = b" " + text.encode() + b" "
+        return [int.from_bytes(data[k : k + 4].ljust(4), "big") * 0x9E3779B97F4A7C15 % 2**64 >> 64 - quality.BUCKET_BITS for k in range(len(data))
+                if data[k : k + 2].strip() or k == len(data) - 2 and data[k : k + 1].strip()]
+
+    def repeated(text):
+        words = text.lower().split()
+        return [quality.SAME if a == b else quality.NEXT for a, b in zip(words, words[1:])]
+
+    def model(texts):
+        out = []
+        for of, n in ((grams, 1 << quality.BUCKET_BITS), (repeated, 2)):
+            count = Counter(g for t in texts for g in of(t))
+            total = sum(count.values())
+            out.append(lambda g, count=count, total=total, n=n: np.log((count[g] + 1) / (total + n)))
+        return out
+
+    good = dict(marks)
+    target, raw = model([t for k, t in rows if good[k]]), model([t for _, t in rows])
+    ratio = {}
+    for k, t in rows:
+        own = [(0, g) for g in grams(t)] + [(1, g) for g in repeated(t)]
+        ratio[k] = sum(target[j](g) - raw[j](g) for j, g in own) / len(grams(t))
+        assert out[k].log_ratio == pytest.approx(ratio[k], abs=0.02), (k, out[k].log_ratio, ratio[k])
+    slope = np.polyfit([out[k].log_ratio for k in good], [out[k].log_weight for k in good], 1)
+    x, y = np.array([out[k].log_ratio for k in good]), np.array(list(good.values()))
+    fit = quality.calibrate(x, y == 1, np.ones(len(x)))
+    assert slope[0] > 0 and slope[0] == pytest.approx(fit[0], rel=1e-6)
+    p = 1 / (1 + np.exp(-(fit[0] * x + fit[1])))
+    assert abs((p - y).sum()) < 1e-3 and abs(((p - y) * x).sum()) < 0.05  # the best fit's slopes are level
+    odds, shift = fit[0] * x + fit[1], slope[1] - fit[1]
+    share = (1 / (1 + np.exp(-(odds + shift)))).mean()  # the shift is where the corpus's share maps to itself
+    assert np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean())) == pytest.approx(shift, abs=1e-2)
+    key = {}
+    for k, t in rows:
+        u = ((chained(quality.SEED, k, t) >> 12) + 0.5) / 2**52
+        key[k] = out[k].log_weight - np.log(-np.log(u))
+        assert out[k].key == pytest.approx(key[k])
+    most = round(sum(1 / (1 + np.exp(-r.log_weight)) for r in out.values()))
+    assert {k for k, r in out.items() if r.kept} == set(sorted(key, key=key.get)[-most:])
+    assert {k for k, r in out.items() if r.kept} != set(sorted(key, key=lambda k: out[k].log_weight)[-most:])  # the noise decides
+
+
+def test_quality_inclusion_rises_with_weight(spark):
+    """Over many seeds: likelier documents are kept more often, those of even odds now and then."""
+    n, seeds = 200, 300
+    at = spark.range(n).withColumn("text", F.lit("t")).join(spark.range(seeds).withColumnRenamed("id", "seed"))
+    u = (F.shiftrightunsigned(F.xxhash64(F.col("seed").cast("int"), "id", "text"), 12).cast("double") + 0.5) / float(1 << 52)
+    noise = np.zeros((seeds, n))
+    for r in at.select("id", "seed", (-F.log(-F.log(u))).alias("g")).collect():
+        noise[r.seed, r.id] = r.g
+    some = [r.g for r in spark.range(n).withColumn("text", F.lit("t")).select(quality.gumbel(F.col("id"), F.col("text"), 17).alias("g")).collect()]
+    assert np.allclose(sorted(some), sorted(noise[17])) and abs(noise.mean() - 0.5772) < 0.02
+    weight = np.linspace(-6, 6, n)
+    kept = np.argsort(np.argsort(weight + noise, axis=1), axis=1) >= n // 2
+    share = kept.mean(axis=0).reshape(10, -1).mean(axis=1)
+    assert (np.diff(share) >= 0).all() and share[0] < 0.02 and share[-1] > 0.98 and 0.2 < share[4] < 0.8
+
+
+def test_quality_ties_and_repeated_rows(spark, hostile, labels):
+    out = quality.resample(hostile.withColumn("key", F.lit("x")), labels).collect()
+    assert len(out) == len(ROWS)
+    by = defaultdict(set)
+    for r in out:
+        if r.doc_id == 6:
+            by[r.doc_id].add((r.key, r.kept))
+    assert len(by[6]) == 1
+
+
 def test_kth_largest(spark):
     values = [float(x) for x in np.random.default_rng(0).normal(size=3000)] + [0.5] * 200
     rows = spark.createDataFrame([(v,) for v in values], "v double")
