@@ -9,48 +9,49 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import join_classes, present, written
+from .common import join_classes, join_salted, present, written
 
 #: Payloads from this size on are stored as one response and revisits of it.
 REVISIT_BYTES = 1000
+#: WARC-Date of records whose pages carry no date, and the profile of revisits.
+NO_DATE, PROFILE = "1970-01-01T00:00:00Z", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = "\r\n"
 
 
-def records(pages: DataFrame) -> DataFrame:
+def records(pages: DataFrame, date: str = NO_DATE) -> DataFrame:
     """(page_id, url, html) -> one WARC record per row: page_id, header, payload_digest, sha256, payload_bytes, payload.
 
     The payload is the html in UTF-8, null as empty.  Of equal payloads of REVISIT_BYTES or more, every row with
     the largest page_id (null counts as smallest) is a response and the others are revisits that name it; smaller
-    ones are all responses.  A null page_id or url makes an empty header value.
+    ones are all responses.  A null page_id or url makes an empty header value.  date: of all records, as in ISO 8601.
+    Repeated rows are records of their own with one record id; columns other than the three are ignored.
     """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), present(F.col("url")).alias("url"), F.encode(present(F.col("html")), "UTF-8").alias("payload"))
     base = base.withColumns({"sha256": F.sha2("payload", 256), "payload_digest": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
     big = base.filter(F.col("payload_bytes") >= REVISIT_BYTES)
     owners = written(big.groupBy("sha256").agg(F.max("page_id").alias("owner"), F.count("*").alias("copies")).filter("copies > 1"), "owners")
     slim = base.select("page_id", "url", "sha256", "payload_digest", "payload_bytes")
-    shared = join_classes(slim, owners, "sha256", "copies")
-    alone = slim.join(owners.select("sha256"), "sha256", "left_anti").withColumn("owner", F.lit(None).cast("long"))
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner"))
-    return shared.unionByName(alone).withColumn("refers_to", refers).withColumn("header", header())
+    return join_classes(slim, owners, "sha256", "copies", "left").withColumn("refers_to", refers).withColumn("header", header(date))
 
 
-def header() -> Column:
+def header(date: str) -> Column:
     """The exact header of a record: a revisit carries no payload and names the response it repeats."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(_END))
     revisit = F.col("refers_to").isNotNull()
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     safe = F.regexp_replace("url", r"[\r\n]", " ")
     return F.encode(F.concat(
-        F.lit("WARC/1.1" + _END), line("WARC-Type", F.when(revisit, "revisit").otherwise("response")), line("WARC-Record-ID", urn(F.col("page_id"))),
-        F.when(revisit, line("WARC-Refers-To", urn(F.col("refers_to")))).otherwise(""), line("WARC-Target-URI", safe),
+        F.lit("WARC/1.1" + _END), line("WARC-Type", F.when(revisit, "revisit").otherwise("response")), line("WARC-Record-ID", urn(F.col("page_id"))), line("WARC-Date", F.lit(date)),
+        F.when(revisit, F.concat(line("WARC-Refers-To", urn(F.col("refers_to"))), line("WARC-Profile", F.lit(PROFILE)))).otherwise(""), line("WARC-Target-URI", safe),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")), line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes")).cast("string")), F.lit(_END),
     ), "UTF-8")
 
 
-def write_archive(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Write (headers, payloads) in the shared folder and return both as read back."""
-    made = records(pages)
+def write_archive(pages: DataFrame, date: str = NO_DATE) -> tuple[DataFrame, DataFrame]:
+    """Write (headers, payloads) in the shared folder and return both as read back; an empty table makes empty ones."""
+    made = records(pages, date)
     headers = written(made.select("header", "sha256"), "headers")
     blob = F.encode(present(F.col("html")), "UTF-8")
     payloads = pages.select(F.sha2(blob, 256).alias("sha256"), blob.alias("payload")).groupBy("sha256").agg(F.first("payload").alias("payload"), F.count("*").alias("copies"))
@@ -71,7 +72,7 @@ def read_archive(headers: DataFrame, payloads: DataFrame) -> DataFrame:
     )
     sound = F.when(F.sha2("payload", 256) == F.col("sha256"), F.sha1("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), "sha256")))
     stored = payloads.withColumns({"payload_digest": sound, "payload_bytes": F.octet_length("payload").cast("long")})
-    met = join_classes(parsed, stored, "sha256", "copies")
+    met = join_salted(parsed, stored, "sha256", "copies")
     agreed = F.when(F.col("said") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("header and payload differ: "), "sha256")))
     return met.select("page_id", "payload_bytes", agreed.alias("payload_digest"), "record_type", "refers_to", "header", "payload")
 
