@@ -172,7 +172,9 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY) -> DataF
     found = slim.join(prepared.select("class", "copies", "vector", "cells"), "class").repartition(*keys).sortWithinPartitions(*keys)
     found = written(found.mapInPandas(verify, "class string, links long, near string"), "found")
     comps = connected_components(found.select(F.col("class").alias("a"), F.col("near").alias("b"))).select(F.col("node").alias("class"), "component")
-    linked = found.groupBy("class").agg(F.sum("links").alias("links"))
+    # a class has rows of many blocks: summed up by some of their neighbours first, so that no task gets all of one
+    some = found.groupBy("class", F.pmod(F.xxhash64("near", "links"), F.lit(16)).alias("deal")).agg(F.sum("links").alias("links"))
+    linked = some.groupBy("class").agg(F.sum("links").alias("links"))
     named = classes.select("class", "first_id", "copies").join(linked, "class", "left").join(comps, "class", "left")
     named = written(named.withColumn("component", F.coalesce("component", "class")).withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1), "named")
     least = written(named.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("classes")), "least")
