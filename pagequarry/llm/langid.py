@@ -8,6 +8,7 @@ temperature on rows kept out of the training, and a rejection bar is set on the
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -94,13 +95,22 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], epochs: i
         return model
     z = model.logits_of([rows[k] for k in check])
     loss = lambda heat: -np.log(softmax(z / heat)[np.arange(len(check)), label[check]] + 1e-12).mean()
-    heat = min((0.5, 1.0, 2.0, 4.0), key=loss)
+    heat = best_heat(loss)
     p = softmax(z / heat)
     right, best = p.argmax(axis=1) == label[check], p.max(axis=1)
     bars = [b for b in np.linspace(1 / len(languages), 0.95, 30) if (best >= b).any() and right[best >= b].mean() >= ACCURACY]
     return Model(languages, model.table, bias, heat, float(bars[0]) if bars else 1.0)
 
 
+def best_heat(loss: Callable[[float], float], low: float = 1 / 16, high: float = 16.0) -> float:
+    """The temperature of the least loss, which has one low point, by golden sections of its logarithm."""
+    a, b, part = np.log(low), np.log(high), (5**0.5 - 1) / 2
+    for _ in range(40):
+        x, y = b - part * (b - a), a + part * (b - a)
+        a, b = (a, y) if loss(float(np.exp(x))) <= loss(float(np.exp(y))) else (x, b)
+    return float(np.exp((a + b) / 2))
+
+
 def remainder(doc_id: str = "doc_id") -> Column:
     """crc32 of an id as text, modulo FOLDS; a null id counts as held out."""
     return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % FOLDS, F.lit(HELD_OUT))
@@ -137,7 +147,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, text) -> doc_id, held_out, lang_pred, score, rejected: one row per row of docs.
 
     Null texts and texts without a letter are `und` with score 0 and rejected, as is every text where no language
-    was learned; other texts get the likeliest language and its probability, rejected below the model's bar.
+    was learned; other texts get the likeliest language (the first by name of equals) and its probability, rejected
+    below the model's bar.  Equal texts get equal rows; columns other than doc_id and text are ignored; an empty table
+    gives no rows.
     """
 
     def work(texts: list[str | None]) -> tuple:

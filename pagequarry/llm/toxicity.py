@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from . import langid
-from .common import computed, discard, shelved, written
+from .common import computed, discard, least_hashes, shelved, written
 from .tokens import LOWER, NOT_WORD, _power, cut, mix
 
 BUCKET_BITS, DIMENSIONS, FILTERS, WIDTHS, PREFIXES = 15, 8, 8, (1, 2, 3), (4, 5, 6)
@@ -186,7 +186,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """
     marked = labels.select("doc_id", "toxic").filter("toxic IN (0, 1)")
     ids = marked.filter(langid.remainder() != langid.HELD_OUT).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    few = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    ids = written(ids, "marked")
+    few = written(least_hashes(ids, SAMPLE_ROWS, ids.count()), "few")
     picked = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang").filter("text IS NOT NULL").join(F.broadcast(few), "doc_id")
     picked = picked.withColumn("text_hash", F.xxhash64("text"))
     rows = written(computed(picked, "text", ["doc_id", "text_hash", "lang", "toxic"], f"words binary, {langid.GRAMS}", lambda: hashed), "hashed")
@@ -220,7 +221,11 @@ def train(features: list[np.ndarray], grams: list[tuple[np.ndarray, np.ndarray]]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, text) -> doc_id, held_out, score, predicted: one row per row of docs, null and empty texts too."""
+    """(doc_id, text) -> doc_id, held_out, score, predicted: one row per row of docs, null and empty texts too.
+
+    A score depends on the text alone, so repeated rows and equal texts tie.  A null doc_id counts as held out; columns
+    other than doc_id and text are ignored; an empty table gives no rows.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = computed(slim, "text", ["doc_id"], "score double", lambda: lambda texts: (shipped.value.scores(texts),))
