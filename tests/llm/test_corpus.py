@@ -37,6 +37,7 @@ def test_warc_records_and_archive(spark):
     for r in warc.original(read).collect():
         head, _, body = bytes(r.record).partition(b"\r\n\r\n")
         size = int(re.search(rb"Content-Length: (\d+)", head)[1])
+        assert b"\r\nWARC-Date: 1970-01-01T00:00:00Z\r\n" in head and (b"WARC-Type: revisit" in head) == (b"\r\nWARC-Profile: http" in head)
         assert head.startswith(b"WARC/1.1\r\nWARC-Type: ") and len(body) == size + 4 and body.endswith(b"\r\n\r\n")
 
 
@@ -106,6 +107,37 @@ def test_mixing_one_sort_bin_among_many(spark, monkeypatch):
     assert all(abs(goal[s] - taken[s]) <= 1 for s in goal)
 
 
+def test_mixing_takes_the_least_keys(spark, monkeypatch):
+    """Against a plain sort of each source: whole documents of the least keys, the next one in part, the others not at all."""
+    monkeypatch.setattr(mixing, "BIN_ROWS", 20)
+    monkeypatch.setattr(mixing, "BINS", 8)
+    rng = np.random.default_rng(9)
+    # letterless texts have a twentieth of the weight, so their keys are far larger than the others'
+    rows = [(k, ("w " if rng.random() < 0.3 else "12345 67 ") * int(rng.integers(1, 30)), "abcd"[int(rng.choice(4, p=[0.6, 0.2, 0.1, 0.1]))]) for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    keys = {r.doc_id: (r.key, r.size) for r in mixing.sized(docs).collect()}
+    for (k, t, _) in rows[:200]:
+        u = ((chained(mixing.SEED, k, t) >> 12) + 0.5) / 2**52
+        assert keys[k][0] == pytest.approx(-np.log(u) / max(0.05, sum(map(str.isalpha, t)) / len(t)))
+    for source in "abcd":
+        mine = sorted((k for k, _, s in rows if s == source), key=lambda k: keys[k][0])
+        whole = sum(keys[k][1] for k in mine)
+        epochs, rest = divmod(round(out[mine[0]].target), whole)
+        for k in mine:
+            part = min(keys[k][1], rest)
+            assert out[k].taken == epochs * keys[k][1] + part
+            rest -= part
+
+
+def test_mixing_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 5)
+    rows = [(k, "w " * (k % 13), f"host{k * 7919 % 211}" if k % 3 else None) for k in range(3000)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    goal, taken = check_mix(out, rows)
+    assert len(out) == 3000 and all(abs(goal[s] - taken[s]) <= 1 for s in goal)
+
+
 def test_mixture_repeats_and_cuts(spark, hostile, nothing):
     odd = hostile.withColumn("words", F.lit("mine")).withColumn("size", F.lit(7))
     got = mixing.mixture(odd)
@@ -217,6 +249,13 @@ def test_hot_keys_join_whole(spark):
     assert out.count() == 6000 and out.filter("k = 0").count() == 2000 and out.columns == ["k", "id", "v"]
 
 
+def test_wide_classes_of_hot_keys_join_whole(spark):
+    rows = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.lit("x").alias("salt"))
+    classes = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("v"))
+    out = common.join_salted(rows, classes, "k", "n")
+    assert sorted(map(tuple, out.select("id", "k", "salt", "v").collect())) == sorted((k, 0 if k % 3 == 0 else k, "x", 0 if k % 3 == 0 else k) for k in range(6000))
+
+
 def vectors(rng, n=150):
     base = rng.normal(size=(n, 24))
     rows = []
