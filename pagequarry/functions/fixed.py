@@ -36,8 +36,8 @@ LOCAL_EFFECTS = [
     "wham", "thud", "crash", "bang", "boom", "ka-", "ka ", "pa-", "ta-",
 ]
 LOCAL_PATTERNS = [
-    r"^[A-Z]{2,5}[\x09-\x0d\x20]*[A-Z]{0,5}$",
-    r"^\p{Nd}+[\x09-\x0d\x20]*[A-Z]{1,3}$",
+    rf"^[A-Z]{{2,5}}{WHITE}*[A-Z]{{0,5}}$",
+    rf"^\p{{Nd}}+{WHITE}*[A-Z]{{1,3}}$",
     r"^[^a-zA-Z\x{4e00}-\x{9fff}]{3,}$",
     r"^[^\p{L}\p{Nl}\p{No}]+$",
 ]
@@ -62,9 +62,9 @@ WIDE_HAN = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2F
 
 # Volume and chapter marks of a title.
 VOLUME_MARKS = [
-    r"第\s*[0-9０-９一二三四五六七八九十百〇零]+\s*[巻卷集話话冊册部]",
-    r"[0-9]+\s*[巻卷冊册]",
-    r"(?i)(?<![a-z])(?:vol(?:ume)?|v|ch(?:apter)?|ep(?:isode)?|book|tome|part)\.?\s*[0-9]+",
+    rf"第{WHITE}*[0-9０-９一二三四五六七八九十百〇零]+{WHITE}*[巻卷集話话冊册部]",
+    rf"[0-9]+{WHITE}*[巻卷冊册]",
+    rf"(?i)(?<![a-z])(?:vol(?:ume)?|v|ch(?:apter)?|ep(?:isode)?|book|tome|part)\.?{WHITE}*[0-9]+",
     r"[(\[（【［][^)\]）】］]*[)\]）】］]",
 ]
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from . import fixed as X
 
@@ -193,12 +196,19 @@ def cache_key(text: Text) -> Text:
     return F.substring(F.sha2(text, 256), 1, X.CACHE_KEY)
 
 
+@F.pandas_udf(StringType())
+def nfkc(texts: pd.Series) -> pd.Series:
+    """Compatibility composition, for which there is no expression; null stays null."""
+    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
+
+
 def series_key(title: Text) -> Text:
-    """A series' name from a normalised (NFKC) title without its extension: no volume marks, tags or trailing number."""
+    """A series' name from a title without its extension: normalised, without volume marks, tags or trailing number."""
+    title = nfkc(title)
     for mark in X.VOLUME_MARKS:
         title = F.regexp_replace(title, mark, " ")
     title = F.concat(F.lit(" "), F.regexp_replace(title, r"[_\-~～・.]+", " "))
-    return F.array_join(words(F.regexp_replace(title, r"\s+[0-9]+\s*\z", "")), " ")
+    return F.array_join(words(F.regexp_replace(title, rf"{X.WHITE}+[0-9]+{X.WHITE}*\z", "")), " ")
 
 
 def without_extension(name: Text) -> Text:

@@ -52,29 +52,38 @@ def drop_contained(boxes: DataFrame, share: float = X.CONTAINED) -> DataFrame:
 
 
 def nested_duplicates(boxes: DataFrame, share: float = X.NESTED) -> DataFrame:
-    """Boxes that lie mostly inside a strictly larger one of their page."""
+    """Boxes that lie mostly inside a strictly larger one of their page; those a user has edited (user_edited) never count."""
     others = boxes.groupBy("page_num").agg(F.collect_list("box").alias("others"))
     b = F.col("box")
     hit = F.exists("others", lambda o: (G.area(o) > G.area(b)) & G.inside(b, o, share))
-    return boxes.join(others, "page_num").filter((G.area(b) > 0) & hit).drop("others")
+    out = boxes.join(others, "page_num").filter((G.area(b) > 0) & hit).drop("others")
+    return out.filter(~F.coalesce("user_edited", F.lit(False))) if "user_edited" in boxes.columns else out
 
 
-def by_page(df: DataFrame, work: Callable[[list[dict]], list[dict]], schema: str, page: str = "page_num") -> DataFrame:
-    """work on the rows of one page at a time; a page never spans tasks."""
+def by_page(boxes: DataFrame, work: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
+    """work on the boxes of one page at a time (ord, x0, y0, x1, y1, in order of ord); a page never spans tasks.
+
+    Boxes without a page number are a page of their own; boxes without a corner or a place are left out.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in whole_groups(frames, [page]):
-            rows = frame.to_dict("records")
-            out, k = [], 0
+        for frame in whole_groups(frames, ["page_key"]):
+            keys, rows = frame["page_key"].tolist(), frame.drop(columns="page_key").to_dict("records")
+            pages, out, k = [], [], 0
             while k < len(rows):
-                n = k
-                while n < len(rows) and rows[n][page] == rows[k][page]:
-                    n += 1
-                out += work(rows[k:n])
+                n = next((j for j in range(k, len(rows)) if keys[j] != keys[k]), len(rows))
+                made = work(rows[k:n])
+                pages += [int(keys[k]) if keys[k] else None] * len(made)
+                out += made
                 k = n
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+            made = pd.DataFrame(out, columns=names)
+            made.insert(0, "page_num", pd.array(pages, "Int64"))
+            yield made
 
-    return df.repartition(page).sortWithinPartitions(page, "ord").mapInPandas(run, schema)
+    whole = flat(boxes).dropna(subset=["ord", "x0", "y0", "x1", "y1"])
+    keyed = whole.withColumn("page_key", F.coalesce(F.col("page_num").cast("string"), F.lit(""))).drop("page_num")  # pandas makes floats of longs beside nulls
+    return keyed.repartition("page_key").sortWithinPartitions("page_key", "ord").mapInPandas(run, f"page_num long, {schema}")
 
 
 def flat(boxes: DataFrame) -> DataFrame:
@@ -113,9 +122,9 @@ def fuse(boxes: DataFrame) -> DataFrame:
         now = [[r["x0"], r["y0"], r["x1"], r["y1"]] for r in rows]
         while len(after := one_pass(now)) < len(now):
             now = after
-        return [{"page_num": rows[0]["page_num"], "ord": k + 1, "x0": b[0], "y0": b[1], "x1": b[2], "y1": b[3]} for k, b in enumerate(now)]
+        return [{"ord": k + 1, "x0": b[0], "y0": b[1], "x1": b[2], "y1": b[3]} for k, b in enumerate(now)]
 
-    return by_page(flat(boxes), work, "page_num long, ord long, x0 long, y0 long, x1 long, y1 long")
+    return by_page(boxes, work, "ord long, x0 long, y0 long, x1 long, y1 long")
 
 
 def reading_order(boxes: DataFrame, page_width: float, strict: bool = True) -> DataFrame:
@@ -149,9 +158,9 @@ def reading_order(boxes: DataFrame, page_width: float, strict: bool = True) -> D
             out += columns([r for r in rest if (top if strict or out else -1e18) <= centre(r) < until]) + [w]
             top = w["y1"] if strict else until
         out += columns([r for r in rest if centre(r) >= (top if strict or out else -1e18)])
-        return [{"page_num": r["page_num"], "ord": r["ord"], "id": k + 1} for k, r in enumerate(out)]
+        return [{"ord": r["ord"], "id": k + 1} for k, r in enumerate(out)]
 
-    return by_page(flat(boxes), work, "page_num long, ord long, id long")
+    return by_page(boxes, work, "ord long, id long")
 
 
 def merge_regions(boxes: DataFrame, largest: int = 768) -> DataFrame:
@@ -167,9 +176,9 @@ def merge_regions(boxes: DataFrame, largest: int = 768) -> DataFrame:
                     break
             else:
                 groups.append([r["x0"], r["y0"], r["x1"], r["y1"]])
-        return [{"page_num": rows[0]["page_num"], "ord": k + 1, "x0": g[0], "y0": g[1], "x1": g[2], "y1": g[3]} for k, g in enumerate(groups)]
+        return [{"ord": k + 1, "x0": g[0], "y0": g[1], "x1": g[2], "y1": g[3]} for k, g in enumerate(groups)]
 
-    return by_page(flat(boxes), work, "page_num long, ord long, x0 long, y0 long, x1 long, y1 long")
+    return by_page(boxes, work, "ord long, x0 long, y0 long, x1 long, y1 long")
 
 
 def grid_order(boxes: DataFrame, step: int = 30) -> DataFrame:

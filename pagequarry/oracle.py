@@ -178,6 +178,17 @@ SELECT DISTINCT src, tgt FROM p WHERE {valid('src', 'tgt')} AND tgt IN ('停', '
 AND EXISTS (SELECT 1 FROM t0 WHERE {_HIT.format(cjk=X.CJK, text='text', src='src')})"""
 ORACLE_SQL["q_term_fold"] = f"WITH {BLOCKS} SELECT page_num, id, {fold('text', TERMS)} AS folded FROM t0"
 ORACLE_SQL["q_text_keys"] = f"""WITH {BLOCKS} SELECT page_num, id, substr(sha256(t), 1, 20) AS cache_key, md5(t) AS md5, substr(sha1(t), 1, 10) AS sha1, {only('text', r'\p{L}\p{N}\x{4e00}-\x{9fff}\x{3040}-\x{30ff}')} AS dedup_key FROM t0"""
+# Titles of the sample, extension and folders gone and composed (NFKC) by hand; the others are ASCII, which NFKC leaves alone.
+_TITLES = """('図書館の大魔術師 第5巻.pdf', '図書館の大魔術師 第5巻'), ('One_Piece_Vol.12.pdf', 'One_Piece_Vol.12'), ('Title 05.pdf', 'Title 05'), ('1984.pdf', '1984'),
+('a/b/[tag] Some.Name ch 3.v2.pdf', '[tag] Some.Name ch 3.v2'), ('x 3巻.zip', 'x 3巻'), ('.hidden', '.hidden'), ('Ｔｉｔｌｅ ０５.pdf', 'Title 05'), ('Foo Ｖｏｌ．１２.pdf', 'Foo Vol.12'), ('ﾀｲﾄﾙ　第③巻.pdf', 'タイトル 第3巻')"""
+_SPACED = "regexp_replace(title, '第\\s*[0-9０-９一二三四五六七八九十百〇零]+\\s*[巻卷集話话冊册部]', ' ', 'g')"
+_SPACED = f"regexp_replace({_SPACED}, '[0-9]+\\s*[巻卷冊册]', ' ', 'g')"
+_SPACED = f"regexp_replace({_SPACED}, '(^|[^A-Za-z])(?i:vol(?:ume)?|v|ch(?:apter)?|ep(?:isode)?|book|tome|part)\\.?\\s*[0-9]+', '\\1 ', 'g')"
+_SPACED = f"regexp_replace(regexp_replace({_SPACED}, '[(\\[（【［][^)\\]）】］]*[)\\]）】］]', ' ', 'g'), '[_\\-~～・.]+', ' ', 'g')"
+ORACLE_SQL["q_series_key"] = f"""WITH names AS (SELECT * FROM (VALUES {_TITLES}) v(name, title) UNION SELECT p_name || ' Vol.' || p_size || '.pdf', p_name || ' Vol.' || p_size FROM part),
+keys AS (SELECT name, trim(regexp_replace(regexp_replace(' ' || {_SPACED}, '\\s+[0-9]+\\s*$', ''), '\\s+', ' ', 'g')) AS series FROM names),
+safe AS (SELECT name, series, substr(trim(regexp_replace(lower(series), '[<>:"/\\\\|?*\\x00-\\x1f]', '_', 'g'), ' .'), 1, 80) AS file FROM keys)
+SELECT name, series, CASE WHEN file = '' THEN '_default' ELSE file END AS file FROM safe"""
 _SPECS = ", ".join(f"({k}, {q(s)})" for k, s in enumerate(PAGE_SPECS))
 ORACLE_SQL["q_page_range"] = f"""WITH raw AS (SELECT * FROM (VALUES {_SPECS}) v(spec, s)),
 specs AS (SELECT spec, true AS web, translate(s, '，－—', ',--') AS s FROM raw UNION ALL SELECT spec, false, s FROM raw),
@@ -220,7 +231,39 @@ kept AS (SELECT page_num, unnest(m) AS k FROM folds)"""
 ORACLE_SQL["q_nms"] = f"WITH {BOXES}, {kept('conf DESC, ord', iou('b[1]', 'k') + f' > {X.IOU_SUPPRESS}')} SELECT page_num, k.ord AS ord FROM kept"
 ORACLE_SQL["q_drop_contained"] = f"""WITH {BOXES}, {kept('(x1 - x0) * (y1 - y0) DESC, ord', inter('b[1]', 'k') + f" >= {X.CONTAINED} * " + size('b[1]'))}
 SELECT page_num, ord FROM boxes WHERE (page_num, x0, y0, x1, y1) IN (SELECT (page_num, k.x0, k.y0, k.x1, k.y1) FROM kept)"""
-ORACLE_SQL["q_nested_dups"] = f"WITH {BOXES} SELECT page_num, ord FROM boxes b WHERE EXISTS (SELECT 1 FROM boxes o WHERE o.page_num = b.page_num AND {size('o')} > {size('b')} AND {inter('b', 'o')} >= {X.NESTED} * {size('b')})"
+ORACLE_SQL["q_nested_dups"] = f"WITH {BOXES} SELECT page_num, ord FROM boxes b WHERE EXISTS (SELECT 1 FROM boxes o WHERE o.page_num = b.page_num AND {size('o')} > {size('b')} AND {inter('b', 'o')} >= {X.NESTED} * {size('b')}) AND conf % 5 <> 0"
+
+_UNION = "{{'ord': {a}.ord, 'x0': least({a}.x0, {b}.x0), 'y0': least({a}.y0, {b}.y0), 'x1': greatest({a}.x1, {b}.x1), 'y1': greatest({a}.y1, {b}.y1)}}"
+_SIDES = {k: f"greatest(1, {b}.{hi} - {b}.{lo})" for k, b, lo, hi in (("aw", "s[1]", "x0", "x1"), ("ah", "s[1]", "y0", "y1"), ("bw", "p[1]", "x0", "x1"), ("bh", "p[1]", "y0", "y1"))}
+_TALL = "greatest(0, least(s[1].y1, p[1].y1) - greatest(s[1].y0, p[1].y0))"
+_JOINS = """({i} >= 0.20::DOUBLE * greatest(1, {aw} * {ah} + {bw} * {bh} - {i}) OR {i} >= 0.55::DOUBLE * least({aw} * {ah}, {bw} * {bh})
+  OR ({ah} > 1.1::DOUBLE * {aw} AND {bh} > 1.1::DOUBLE * {bw} AND greatest(s[1].x0, p[1].x0) - least(s[1].x1, p[1].x1) <= 15 AND {t} >= 0.60::DOUBLE * least({ah}, {bh})))""".format(i=inter("s[1]", "p[1]"), t=_TALL, **_SIDES)
+_BOX = "{'ord': ord, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}"
+# A pass takes the first box left and what it meets, grown, until none is left; passes go on while they shorten the list.
+ORACLE_SQL["q_fuse"] = f"""WITH RECURSIVE {BOXES}, lists AS (SELECT page_num, list({_BOX} ORDER BY ord) AS l FROM boxes GROUP BY 1),
+passes AS (SELECT page_num, l AS rest, l[:0] AS made, len(l) AS n FROM lists
+  UNION ALL SELECT page_num, CASE WHEN len(rest) > 0 THEN took[2:] ELSE made END, CASE WHEN len(rest) > 0 THEN list_concat(made, took[:1]) ELSE made[:0] END, CASE WHEN len(rest) > 0 THEN n ELSE len(made) END
+  FROM (SELECT *, list_reduce(list_transform(CASE WHEN len(rest) > 0 THEN rest ELSE made END, lambda b: [b]), lambda s, p: CASE WHEN {_JOINS} THEN list_concat([{_UNION.format(a='s[1]', b='p[1]')}], s[2:]) ELSE list_concat(s, p) END) AS took
+    FROM passes WHERE len(rest) > 0 OR len(made) < n)),
+done AS (SELECT page_num, generate_subscripts(made, 1) AS ord, unnest(made) AS b FROM passes WHERE len(rest) = 0 AND len(made) = n)
+SELECT page_num, ord, b.x0 AS x0, b.y0 AS y0, b.x1 AS x1, b.y1 AS y1 FROM done"""
+_LOW, _HIGH = ("list_min(list_transform(list_filter(s, lambda m: m.c = k), lambda m: m.x0))", "list_max(list_transform(list_filter(s, lambda m: m.c = k), lambda m: m.x1))")
+_FITS = f"(greatest(0, least({_HIGH}, p[1].x1) - greatest({_LOW}, p[1].x0)) > 0.4 * least({_HIGH} - {_LOW}, p[1].x1 - p[1].x0) OR abs((p[1].x0 + p[1].x1) / 2 - ({_LOW} + {_HIGH}) / 2) < 50)"
+_LAST = "list_max(list_transform(s, lambda m: m.c))"
+ORACLE_SQL["q_reading_order"] = f"""WITH {BOXES}, spans AS (SELECT *, row_number() OVER (PARTITION BY page_num ORDER BY (y0 + y1) / 2, ord) AS n FROM boxes WHERE x1 - x0 >= 98.0),
+edges AS (SELECT page_num, n AS band, ord, coalesce(lag(y1) OVER (PARTITION BY page_num ORDER BY n), 0) AS top, y0 AS until FROM spans
+  UNION ALL SELECT page_num, coalesce(max(n), 0) + 1, NULL, coalesce(arg_max(y1, n), 0), NULL FROM (SELECT DISTINCT page_num FROM boxes) LEFT JOIN spans USING (page_num) GROUP BY 1),
+banded AS (SELECT b.*, band FROM boxes b JOIN edges e USING (page_num) WHERE x1 - x0 < 98.0 AND (y0 + y1) / 2 >= top AND (until IS NULL OR (y0 + y1) / 2 < until)),
+lists AS (SELECT page_num, band, list([{{'ord': ord, 'x0': x0, 'y0': y0, 'x1': x1, 'c': 1::BIGINT, 'n': 1::BIGINT}}] ORDER BY x0, ord) AS l FROM banded GROUP BY 1, 2),
+folds AS (SELECT page_num, band, list_reduce(l, lambda s, p: list_concat(s, [{{'ord': p[1].ord, 'x0': p[1].x0, 'y0': p[1].y0, 'x1': p[1].x1, 'c': coalesce(list_filter(range(1, {_LAST} + 1), lambda k: {_FITS})[1], {_LAST} + 1), 'n': len(s) + 1}}])) AS m FROM lists),
+placed AS (SELECT page_num, band, m.ord AS ord, m.y0 AS y0, m.c AS c, m.n AS n, avg((m.x0 + m.x1) / 2) OVER (PARTITION BY page_num, band, m.c) AS centre FROM (SELECT page_num, band, unnest(m) AS m FROM folds)),
+every AS (SELECT page_num, ord, band, 0 AS last, centre, c, y0, n FROM placed UNION ALL SELECT page_num, ord, band, 1, 0, 0, 0, 0 FROM edges WHERE ord IS NOT NULL)
+SELECT page_num, ord, row_number() OVER (PARTITION BY page_num ORDER BY band, last, centre, c, y0, n) AS id FROM every"""
+_WITHIN = "greatest(greatest(s[k].x1, p[1].x1) - least(s[k].x0, p[1].x0), greatest(s[k].y1, p[1].y1) - least(s[k].y0, p[1].y0)) <= 150"
+_FIRST = f"list_filter(range(1, len(s) + 1), lambda k: {_WITHIN})[1]"
+ORACLE_SQL["q_merge_regions"] = f"""WITH {BOXES}, lists AS (SELECT page_num, list([{_BOX}] ORDER BY y0, x0, ord) AS l FROM boxes GROUP BY 1),
+folds AS (SELECT page_num, list_reduce(l, lambda s, p: CASE WHEN {_FIRST} IS NULL THEN list_concat(s, p) ELSE list_transform(s, lambda g, i: CASE WHEN i = {_FIRST} THEN {_UNION.format(a='g', b='p[1]')} ELSE g END) END) AS m FROM lists),
+done AS (SELECT page_num, generate_subscripts(m, 1) AS ord, unnest(m) AS b FROM folds) SELECT page_num, ord, b.x0 AS x0, b.y0 AS y0, b.x1 AS x1, b.y1 AS y1 FROM done"""
 ORACLE_SQL["q_grid_order"] = f"WITH {BOXES} SELECT page_num, ord, row_number() OVER (PARTITION BY page_num ORDER BY y0 // 30, x0, ord) AS id FROM boxes"
 ORACLE_SQL["q_page_medians"] = f"""WITH {BOXES} SELECT page_num, ord, CAST(median(y1 - y0) OVER p AS DOUBLE) AS median_height,
 CASE sign(sum(CASE WHEN y1 - y0 > x1 - x0 THEN 1 ELSE -1 END) OVER p) WHEN 1 THEN 'vertical' WHEN -1 THEN 'horizontal' END AS page_direction FROM boxes WINDOW p AS (PARTITION BY page_num)"""

@@ -136,7 +136,7 @@ def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def series_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([("図書館の大魔術師 第5巻.pdf",), ("One_Piece_Vol.12.pdf",), ("Title 05.pdf",), ("1984.pdf",), ("a/b/[tag] Some.Name ch 3.v2.pdf",), ("x 3巻.zip",), (".hidden",)], "name string")
+    names = spark.createDataFrame([("図書館の大魔術師 第5巻.pdf",), ("One_Piece_Vol.12.pdf",), ("Title 05.pdf",), ("1984.pdf",), ("a/b/[tag] Some.Name ch 3.v2.pdf",), ("x 3巻.zip",), (".hidden",), ("Ｔｉｔｌｅ ０５.pdf",), ("Foo Ｖｏｌ．１２.pdf",), ("ﾀｲﾄﾙ　第③巻.pdf",)], "name string")
     names = names.unionByName(R.read(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" Vol."), "p_size", F.lit(".pdf")).alias("name"))).distinct()
     key = T.series_key(T.without_extension(F.col("name")))
     return names.select("name", key.alias("series"), T.safe_file_name(key).alias("file"))
@@ -289,7 +289,7 @@ def drop_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def nested_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.nested_duplicates(R.boxes(spark, sf_dir)).select("page_num", "ord")
+    return L.nested_duplicates(R.boxes(spark, sf_dir).withColumn("user_edited", F.col("conf") % 5 == 0)).select("page_num", "ord")
 
 
 @query
