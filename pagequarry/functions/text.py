@@ -118,10 +118,11 @@ def _local_noise(t: Text, n: Column, letter: Column) -> Text:
     )
 
 
-def source_language(text: Text) -> Text:
-    """en if over 0.6 of the letters are ASCII, else auto."""
+def source_language(text: Text, declared: Text | None = None) -> Text:
+    """ko where Korean is declared, else en if over 0.6 of the letters are ASCII, else auto."""
     n = letters(text)
-    return F.when((n > 0) & (F.length(only(text, "A-Za-z")) / n > 0.6), "en").otherwise("auto")
+    korean = F.coalesce(declared == "Korean", F.lit(False)) if declared is not None else F.lit(False)
+    return F.when(korean, "ko").when((n > 0) & (F.length(only(text, "A-Za-z")) / n > 0.6), "en").otherwise("auto")
 
 
 def worth_polishing(raw: Text, draft: Text) -> Column:

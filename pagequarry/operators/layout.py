@@ -6,6 +6,7 @@ that rearrange boxes until nothing changes run over whole pages of Arrow batches
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -203,20 +204,12 @@ def page_medians(boxes: DataFrame) -> DataFrame:
     return boxes.withColumns({"median_height": F.median(height).over(page), "page_direction": vote})
 
 
-def vertical_columns(text: str, per_column: int, closing: str = "！？…。，、：；）」』》〉”’!?,.") -> list[str]:
-    """Columns of per_column characters; closing marks hang below the column before rather than start one."""
-    columns: list[str] = []
-    for line in filter(None, map(str.strip, text.replace("\r\n", "\n").replace("\r", "\n").split("\n"))):
-        mine: list[str] = []
-        full = 0
-        for c in line:
-            if mine and c in closing and full >= per_column:
-                mine[-1] += c
-            elif mine and full < per_column:
-                mine[-1] += c
-                full += 1
-            else:
-                mine.append(c)
-                full = 1
-        columns += mine
-    return columns or [""]
+def vertical_columns(text: Column, per_column: int) -> Column:
+    """Columns of per_column characters; closing marks hang below the column before rather than start one.
+
+    A typed line break starts a column; blank lines go, and no text at all is one empty column.
+    """
+    typed = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), T.strip), lambda p: p != "")
+    one = F.lit(rf"(?s)(.{{{per_column}}}[{re.escape(X.VERTICAL_CLOSING)}]*|.+)")
+    columns = F.flatten(F.transform(typed, lambda p: F.regexp_extract_all(p, one, F.lit(1))))
+    return T.let(columns, lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(F.lit(""))))
