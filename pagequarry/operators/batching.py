@@ -2,50 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed as X
 
-_STATE = "struct<batch:bigint,lines:bigint,open:boolean>"
 
 
-def _batches(pages: DataFrame, step) -> DataFrame:
-    """doc, page_num, lines, batch: a fold over each document's pages in order; step gives the state after a page."""
-    item = F.struct("page_num", F.col("lines").cast("long").alias("lines"))
-    docs = pages.groupBy("doc").agg(F.array_sort(F.collect_list(item)).alias("pages"))
-    start = F.struct(
-        F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("lines"), F.lit(False).alias("open"),
-        F.array().cast("array<bigint>").alias("out"),
-    )
+def _batches(pages: DataFrame, most: int, before: bool) -> DataFrame:
+    """doc, page_num, lines, batch: one pass over each document's pages in order.
+
+    The pages stream by, sorted, with two numbers held for the document at hand, so a document may have any number of
+    pages.  Null documents are one of their own, null lines count as none.
+    """
 
-    def add(s: Column, p: Column) -> Column:
-        own, batch, lines, open_ = step(s, p)
-        return F.struct(batch.cast("long").alias("batch"), lines.cast("long").alias("lines"), open_.alias("open"), F.concat(s["out"], F.array(own.cast("long"))).alias("out"))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, batch, held, some = None, 0, 0, False
+        for f in frames:
+            of = []
+            for key, n in zip(f["doc_key"].tolist(), f["counted"].tolist(), strict=True):
+                if key != now:
+                    now, batch, held, some = key, 0, 0, False
+                if before and some and held + n > most:
+                    batch, held = batch + 1, 0
+                of.append(batch)
+                held, some = held + (n if before else max(n, 0)), True
+                if not before and held >= most:
+                    batch, held = batch + 1, 0
+            f["batch"] = of
+            yield f[["doc_key", "page_num", "counted", "batch"]]
 
-    of = F.aggregate("pages", start, add, lambda s: s["out"])
-    return docs.select("doc", F.explode(F.zip_with("pages", of, lambda p, b: F.struct(p["page_num"], p["lines"], b.alias("batch")))).alias("x")).select("doc", "x.page_num", "x.lines", "x.batch")
+    key = F.coalesce(F.col("doc").cast("string"), F.lit(""))
+    rows = pages.select(key.alias("doc_key"), "page_num", F.coalesce(F.col("lines").cast("long"), F.lit(0)).alias("counted"))
+    page = pages.schema["page_num"].dataType.simpleString()
+    done = rows.repartition("doc_key").sortWithinPartitions("doc_key", "page_num", "counted").mapInPandas(run, f"doc_key string, page_num {page}, counted long, batch long")
+    doc = F.when(F.col("doc_key") != "", F.col("doc_key")).cast(pages.schema["doc"].dataType)
+    return done.select(doc.alias("doc"), "page_num", F.col("counted").alias("lines"), "batch")
 
 
 def pack_before(pages: DataFrame, most: int = X.CHUNK_LINES) -> DataFrame:
     """Close a batch that has pages when the next page would take it over `most` lines; a larger page stands alone."""
-
-    def step(s: Column, p: Column) -> tuple[Column, ...]:
-        over = s["open"] & (s["lines"] + p["lines"] > most)
-        own = s["batch"] + over.cast("long")
-        return own, own, F.when(over, p["lines"]).otherwise(s["lines"] + p["lines"]), F.lit(True)
-
-    return _batches(pages, step)
+    return _batches(pages, most, before=True)
 
 
 def pack_after(pages: DataFrame, least: int = X.CHUNK_LINES) -> DataFrame:
-    """Close a batch as soon as it has `least` lines, or at the end."""
-
-    def step(s: Column, p: Column) -> tuple[Column, ...]:
-        lines = s["lines"] + F.greatest(p["lines"], F.lit(0))
-        full = lines >= least
-        return s["batch"], s["batch"] + full.cast("long"), F.when(full, F.lit(0)).otherwise(lines), ~full
-
-    return _batches(pages, step)
+    """Close a batch once it has `least` lines or more."""
+    return _batches(pages, least, before=False)
 
 
 def slices(rows: DataFrame, within: str, order: list[str], size: int = X.CHUNK_LINES) -> DataFrame:
@@ -81,6 +85,11 @@ def engine_counts(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy(F.coalesce("translation_engine", F.lit("Unknown")).alias("engine")).agg(F.count("*").alias("n_blocks"))
 
 
+def merge_engine_counts(parts: DataFrame) -> DataFrame:
+    """engine, n_blocks of partial counts (engine, n_blocks)."""
+    return parts.groupBy(F.coalesce("engine", F.lit("Unknown")).alias("engine")).agg(F.sum("n_blocks").alias("n_blocks"))
+
+
 def throughput(batches: DataFrame) -> DataFrame:
     """Averages over batches (chars, seconds): each batch counts alike, as characters a second."""
     return batches.agg(

@@ -89,6 +89,39 @@ def term_hits(texts: DataFrame, terms: list[tuple[str, str]], ignore_case: bool
     return texts.withColumn("src", F.explode(hits))
 
 
+def term_join(texts: DataFrame, terms: DataFrame, ignore_case: bool = False) -> DataFrame:
+    """The rows of texts (text) once for each term (src, ...) that occurs in them, with the term's columns.
+
+    term_hits() for dictionaries of any size: a term is looked up by the first run of ASCII letters and digits in it,
+    which stands whole in any text that holds the term, or by its first two characters; then it is verified.  With
+    ignore_case, keys without CJK match in either case.
+    """
+    names = texts.columns
+    fold = (lambda c: F.lower(c)) if ignore_case else (lambda c: c)
+    run = F.regexp_extract(F.col("src"), "[A-Za-z0-9]+", 0)
+    cjk = T.has_cjk(F.col("src"))
+    anchor = F.when(cjk | (run == ""), F.substring("src", 1, 2)).otherwise(run)
+    folded = F.when(cjk, F.col("src")).otherwise(fold(F.col("src")))
+    keyed = terms.withColumns({"term_key": folded, "term_cjk": cjk, "anchor": F.when(cjk, anchor).otherwise(fold(anchor))})
+    t = F.col("text")
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))
+    seen = F.array_distinct(F.concat(F.regexp_extract_all(t, F.lit("([A-Za-z0-9]+)"), F.lit(1)), F.filter(pairs, lambda p: p.rlike(r"[^\x00-\x7f]"))))
+    both = F.array_distinct(F.concat(seen, F.transform(seen, F.lower))) if ignore_case else seen
+    found = texts.withColumn("anchor", F.explode(both)).join(keyed, "anchor")
+    pattern = F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), "term_key", F.lit(r"\E(?![A-Za-z0-9])"))
+    holds = F.when(F.col("term_cjk"), t.contains(F.col("term_key"))).otherwise(F.regexp_like(fold(t), pattern))
+    return found.filter(holds).drop("anchor", "term_key", "term_cjk").dropDuplicates([*names, "src"])
+
+
+def hints(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """term_join() in either case with both tiers (ord, src, tgt, tier): of one key the curated value, at the automatic one's place."""
+    key = Window.partitionBy("src")
+    value = F.max_by("tgt", F.struct((F.col("tier") != "auto").cast("int"), F.col("ord"))).over(key)
+    place = F.min(F.struct((F.col("tier") != "auto").cast("int").alias("late"), "ord")).over(key)
+    one = terms.withColumns({"tgt": value, "place": place, "turn": F.row_number().over(key.orderBy("ord"))}).filter("turn = 1")
+    return term_join(texts, one.select("src", "tgt", F.col("place").alias("ord")), ignore_case=True)
+
+
 def grounded_terms(proposed: DataFrame, known: DataFrame, hits: DataFrame, translations: DataFrame) -> DataFrame:
     """Proposed (src, tgt) that are valid, new, and occur in a source text (hits: src) and a translation (tgt)."""
     fresh = proposed.filter(valid_term(F.col("src"), F.col("tgt"))).join(known.select("src"), "src", "left_anti")

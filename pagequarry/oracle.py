@@ -130,7 +130,7 @@ ORACLE_SQL["q_meaningful"] = f"""WITH {BLOCKS} SELECT page_num, id, CASE WHEN t
 ORACLE_SQL["q_polish_gate"] = f"""WITH {BLOCKS}, w AS (SELECT page_num, id, text, {words('text')} AS ws FROM t0) SELECT page_num, id, NOT (
   {has("replace(text, ' ', '')", r'^\p{Nd}+$')} OR (len(ws) > 0 AND len(list_filter(ws, lambda x: {has('x', r'\p{Lu}')} AND NOT {has('x', r'[\p{Ll}\p{Lt}]')} AND length(x) > 2)) / len(ws) > 0.5)
   OR (id % 2 = 0 AND len(ws) <= 6)) AS polish FROM w"""
-ORACLE_SQL["q_lang_detect"] = f"""WITH {BLOCKS} SELECT lang, CASE WHEN {letters('text')} > 0 AND length({only('text', 'A-Za-z')}) / {letters('text')} > 0.6 THEN 'en' ELSE 'auto' END AS detected, count(*) AS n_blocks FROM t0 GROUP BY ALL"""
+ORACLE_SQL["q_lang_detect"] = f"""WITH {BLOCKS} SELECT lang, CASE WHEN lang = 'es' THEN 'ko' WHEN {letters('text')} > 0 AND length({only('text', 'A-Za-z')}) / {letters('text')} > 0.6 THEN 'en' ELSE 'auto' END AS detected, count(*) AS n_blocks FROM t0 GROUP BY ALL"""
 
 
 def marks(c: str) -> str:
@@ -172,7 +172,10 @@ ORACLE_SQL["q_term_exact"] = f"WITH {BLOCKS}, {LOADED} SELECT page_num, id, tgt
 _HIT = "CASE WHEN regexp_matches(src, '{cjk}') THEN contains(text, src) ELSE regexp_matches({text}, '(^|[^A-Za-z0-9])' || {src} || '([^A-Za-z0-9]|$)') END"
 _KEYS = f"keys AS {rows(TERMS, 'src, tgt')}"
 ORACLE_SQL["q_term_hits"] = f"WITH {BLOCKS}, {_KEYS} SELECT page_num, id, src FROM t0, keys WHERE {_HIT.format(cjk=X.CJK, text='text', src='src')}"
-ORACLE_SQL["q_term_hints"] = f"WITH {BLOCKS}, {_KEYS} SELECT src, count(*) AS n_blocks FROM t0, keys WHERE {_HIT.format(cjk=X.CJK, text='lower(text)', src='lower(src)')} GROUP BY 1"
+# The page's terms: of a key in both tiers the curated value, at the automatic entry's place.
+ORACLE_SQL["q_term_hints"] = f"""WITH {BLOCKS}, {TERMS_SQL}, good AS (SELECT ord, {strip('src')} AS src, {strip('tgt')} AS tgt, tier = 'auto' AS auto FROM terms WHERE {valid('src', 'tgt')}),
+keys AS (SELECT src, coalesce(arg_max(tgt, ord) FILTER (NOT auto), arg_max(tgt, ord)) AS tgt, CASE WHEN bool_or(auto) THEN 0 ELSE 1 END AS late FROM good GROUP BY src)
+SELECT src, tgt, late, count(*) AS n_blocks FROM t0, keys WHERE {_HIT.format(cjk=X.CJK, text='lower(text)', src='lower(src)')} GROUP BY ALL"""
 ORACLE_SQL["q_term_ground"] = f"""WITH {BLOCKS}, {TERMS_SQL}, p AS (SELECT src, tgt FROM terms UNION ALL SELECT * FROM (VALUES ('thing', '东西'), ('stop', '停'), ('nothere', '无')))
 SELECT DISTINCT src, tgt FROM p WHERE {valid('src', 'tgt')} AND tgt IN ('停', '东西', '西奥', '词') AND src NOT IN ('魔術師', '魔術', 'Theo', 'The')
 AND EXISTS (SELECT 1 FROM t0 WHERE {_HIT.format(cjk=X.CJK, text='text', src='src')})"""
@@ -204,7 +207,11 @@ SELECT page_num, id FROM k WHERE key = '' UNION ALL SELECT page_num, min(id) FRO
 ORACLE_SQL["q_cache_split"] = f"""WITH {BLOCKS}, c AS (SELECT t, last('译' || t ORDER BY page_num, id) AS cached FROM t0 WHERE lang = 'en' AND t <> '' GROUP BY t)
 SELECT page_num, id, cached IS NOT NULL AS from_cache, sha256(cached) AS translated_sha256 FROM t0 LEFT JOIN c USING (t)"""
 ORACLE_SQL["q_write_back"] = f"WITH {BLOCKS} SELECT page_num, count(*) AS n_blocks, CAST(sum(CASE WHEN id % 3 = 0 THEN 1 + length(text) ELSE 0 END) AS BIGINT) AS n_chars FROM t0 GROUP BY 1"
-ORACLE_SQL["q_prompt"] = f"WITH {BLOCKS}, p AS (SELECT page_num, string_agg('ID: ' || id || ' | 原文: ' || t, chr(10) ORDER BY id) AS s FROM t0 GROUP BY 1) SELECT page_num, sha256(s) AS prompt_sha256, length(s) AS n_chars FROM p"
+ORACLE_SQL["q_prompt"] = f"""WITH {BLOCKS}, keys AS {rows([(k, *t) for k, t in enumerate(TERMS)], 'ord, src, tgt')},
+l AS (SELECT page_num, string_agg('ID: ' || id || ' | 原文: ' || t, chr(10) ORDER BY id) AS s FROM t0 GROUP BY 1),
+h AS (SELECT DISTINCT page_num, ord, '- ' || src || ' -> ' || tgt AS line FROM t0, keys WHERE {_HIT.format(cjk=X.CJK, text='lower(text)', src='lower(src)')}),
+g AS (SELECT page_num, string_agg(line, chr(10) ORDER BY ord) AS s FROM h GROUP BY 1),
+p AS (SELECT page_num, l.s || coalesce(chr(10) || g.s, '') || chr(10) || '再译一次。' AS s FROM l LEFT JOIN g USING (page_num)) SELECT page_num, sha256(s) AS prompt_sha256, length(s) AS n_chars FROM p"""
 ORACLE_SQL["q_assemble"] = "SELECT o_orderkey AS page_num, CASE WHEN o_orderstatus = 'O' THEN 'new' ELSE 'old' END || o_orderstatus AS path FROM orders"
 
 PAIRS = f"""pairs AS (SELECT b.page_num, b.ord AS block, r.ord AS row, b.ord = r.ord AS same, {iou('b', 'r')} AS score FROM boxes b JOIN moved r USING (page_num) WHERE {iou('b', 'r')} >= {X.IOU_MATCH})"""
@@ -315,7 +322,7 @@ SELECT CASE WHEN route = 'noise' THEN 'effect filter' WHEN route = 'number' THEN
 CASE WHEN route = 'number' THEN '#' WHEN route = 'glossary' THEN '魔术' WHEN route = 'translate' AND step = 1 THEN '好' WHEN route = 'translate' AND step = 2 THEN '行！？' ELSE '' END AS translated_text, count(*) AS n_blocks FROM given GROUP BY ALL"""
 
 # The language check: tokens are Latin words or single characters, judged with their neighbours.
-LINES = f"""lines AS (SELECT -1 AS page_num, id, 'OK!? Don''t' AS raw, text FROM {rows(R.SAMPLE_LINES, 'id, text')} UNION ALL SELECT conv_id, turn, substr(text, 1, 40), '好' || text FROM conversations),
+LINES = f"""lines AS (SELECT -1 AS page_num, id, 'OK!? Don''t' AS raw, text FROM {rows(R.SAMPLE_LINES, 'id, text')} UNION ALL SELECT conv_id, turn, regexp_replace(text, '[^ ]+$', ''), '好' || text FROM conversations),
 tokens AS (SELECT page_num, id, text, list_transform(regexp_extract_all(coalesce(raw, ''), '[A-Za-z][A-Za-z'']*'), lambda w: lower(w)) AS said, regexp_extract_all(coalesce(text, ''), '(?s)[A-Za-z][A-Za-z'']*|.') AS ts FROM lines)"""
 _DIGIT = r"^\p{Nd}$"
 _NEAR = [f"coalesce(regexp_matches(list_extract(ts, i {k}), {q(_DIGIT)}), false)" for k in ("- 1", "+ 1")]
@@ -341,7 +348,7 @@ ORACLE_SQL["q_check_report"] = f"WITH {SANE} SELECT CASE WHEN clean = '' THEN 'e
 ORACLE_SQL["q_warning"] = f"""WITH {JUDGED}, bad AS (SELECT page_num, id FROM found WHERE hard || soft <> ''), top AS (SELECT * FROM bad ORDER BY page_num, id LIMIT {X.REPORT_ROWS})
 SELECT (SELECT count(*) FROM bad) AS n, (SELECT string_agg('page ' || page_num || ' #' || id, ', ' ORDER BY page_num, id) FROM top) AS places"""
 ORACLE_SQL["q_check_and_fix"] = f"""WITH {SANE}, s AS (SELECT id, hard, soft, clean FROM found JOIN sane USING (page_num, id)),
-a AS (SELECT CASE WHEN hard = '' AND soft = '' THEN 'fine' WHEN hard <> '' AND id % 2 = 0 THEN 'retranslated' WHEN clean = '' THEN 'emptied' ELSE 'cleaned' END AS action, CASE WHEN hard = '' THEN 0 WHEN id % 2 = 0 THEN 1 ELSE 2 END AS retries FROM s)
+a AS (SELECT CASE WHEN hard = '' AND soft = '' THEN 'fine' WHEN hard <> '' AND id % 2 = 0 THEN 'retranslated' WHEN clean = '' THEN 'emptied' ELSE 'cleaned' END AS action, CASE WHEN hard = '' THEN 0 WHEN id % 2 = 0 THEN 1 ELSE 2 END AS retries FROM s)  -- こ is the first hard character of all, so every odd line's retries name it and fail
 SELECT action, retries, count(*) AS n_lines FROM a GROUP BY ALL"""
 ORACLE_SQL["q_union_issues"] = f"""WITH {JUDGED}, pages AS (SELECT page_num, flatten(list(h ORDER BY id)) AS h FROM chars GROUP BY 1)
 SELECT page_num, array_to_string(list_filter(h, lambda c, i: list_position(h, c) = i), '') AS hard FROM pages"""
@@ -356,3 +363,75 @@ def grown(low: str, high: str, limit: int) -> list[str]:
 
 ORACLE_SQL["q_box_shapes"] = f"""WITH {BOXES}, s AS (SELECT *, x1 - x0 AS w, y1 - y0 AS h FROM boxes) SELECT page_num, ord, w / (h + 1e-5) > 0.15 AND w / (h + 1e-5) < 8 AND w < 60 AND h < 50 AS character,
 w > 15 AND h > 8 AND w < 285 AND h < 237.5 AS line, {', '.join(grown('x0', 'x1', 300) + grown('y0', 'y1', 250))} FROM s"""
+ORACLE_SQL["q_usage_merge"] = "SELECT CASE WHEN event_id % 7 = 0 THEN 'Unknown' ELSE event_type END AS engine, count(*) AS n_blocks FROM events GROUP BY 1"
+ORACLE_SQL["q_ocr_batches"] = f"WITH {BOXES}, s AS (SELECT (row_number() OVER (PARTITION BY page_num ORDER BY ord) - 1) // 16 AS slice FROM boxes) SELECT slice, count(*) AS n_boxes FROM s GROUP BY 1"
+ORACLE_SQL["q_dictionary"] = "SELECT CAST(p_partkey AS VARCHAR) AS src, p_name AS tgt, 'parts' AS tier FROM part WHERE p_partkey % 10 = 0 UNION ALL SELECT * FROM (VALUES ('Theo', '西奥', 'terms'), ('魔術', '魔术', 'terms'))"
+ORACLE_SQL["q_text_cache"] = f"""WITH {BLOCKS}, c AS (SELECT t, lang = 'en' AS old, id % 2 = 0 AS new FROM t0 WHERE t <> ''), k AS (SELECT t, bool_or(old) AS old, bool_or(new) AS new FROM c GROUP BY t)
+SELECT substr(sha256(t), 1, 20) AS cache_key, sha256(CASE WHEN new THEN '新' ELSE '旧' END || t) AS cached_sha256 FROM k WHERE old OR new"""
+ORACLE_SQL["q_scripts"] = f"""WITH {BLOCKS}, ts AS (SELECT lang, unnest(regexp_extract_all(text, '(?s)[A-Za-z][A-Za-z'']*|.')) AS t FROM t0)
+SELECT lang, CASE WHEN regexp_matches(t, {q(X.KANA)}) THEN 'kana' WHEN regexp_matches(t, {q(X.HANGUL)}) THEN 'hangul' WHEN regexp_matches(t, {q(X.WIDE_HAN)}) THEN 'cjk' WHEN regexp_matches(t, {q(X.WHITE)}) THEN 'space'
+  WHEN regexp_matches(t, '^[\\p{{Nd}}\\x{{b2}}\\x{{b3}}\\x{{b9}}\\x{{2070}}\\x{{2074}}-\\x{{2079}}\\x{{2080}}-\\x{{2089}}]$') THEN 'digit' WHEN regexp_matches(t, '\\p{{Latin}}') AND regexp_matches(t, '\\p{{L}}') THEN 'latin' WHEN regexp_matches(t, '\\p{{L}}') THEN 'script' ELSE 'symbol' END AS script, count(*) AS n_tokens FROM ts GROUP BY ALL"""
+ORACLE_SQL["q_vertical_columns"] = f"""WITH {BLOCKS}, p AS (SELECT page_num, id, list_filter(list_transform(string_split_regex(text, '\\r\\n|\\r|\\n'), lambda x: {strip('x')}), lambda x: x <> '') AS ps FROM t0)
+SELECT page_num, id, array_to_string(flatten(list_transform(ps, lambda x: regexp_extract_all(x, '(?s).{{7}}[！？…。，、：；）」』》〉”’!?,.]*|.+'))), '|') AS columns FROM p"""
+ORACLE_SQL["q_gap_overlaps"] = f"""WITH {BOXES} SELECT a.page_num, a.ord, count(*) AS n_near FROM boxes a JOIN boxes b ON a.page_num = b.page_num AND a.ord <> b.ord
+AND a.x0 < b.x1 + 2 AND b.x0 < a.x1 + 2 AND a.y0 < b.y1 + 2 AND b.y0 < a.y1 + 2 GROUP BY ALL"""
+_SAID = "CASE WHEN conf % 3 = 2 THEN NULL WHEN conf % 6 = 0 THEN ' ' ELSE '译' || conf END"
+ORACLE_SQL["q_renderable"] = f"WITH {BOXES}, s AS (SELECT page_num, ord AS id, {_SAID} AS translated_text FROM boxes) SELECT * FROM s WHERE trim(coalesce(translated_text, '')) <> ''"
+ORACLE_SQL["q_editor_projection"] = f"""WITH {BOXES} SELECT page_num, ord AS id, x0, CASE WHEN conf % 2 = 0 THEN 'c' ELSE 't' END || conf AS raw, coalesce({_SAID}, '') AS text, CASE WHEN conf % 3 = 0 THEN 'vertical' ELSE 'horizontal' END AS direction,
+CASE WHEN conf % 5 = 0 THEN 'file:a.ttf' ELSE '' END AS font, CASE WHEN conf % 7 = 0 THEN conf ELSE 0 END::DOUBLE AS font_size, CASE WHEN conf % 4 = 0 THEN conf / 2 ELSE 0 END::DOUBLE AS glyph_pt FROM boxes WHERE conf % 17 <> 0"""
+EDITED = f"""{BOXES}, o AS (SELECT page_num, ord, conf, {_SAID} AS said, CASE WHEN conf % 17 = 0 THEN 0 ELSE x0 END AS x0, CASE WHEN conf % 17 = 0 THEN 0 ELSE y0 END AS y0, CASE WHEN conf % 17 = 0 THEN 0 ELSE x1 END AS x1, CASE WHEN conf % 17 = 0 THEN 0 ELSE y1 END AS y1 FROM boxes),
+n AS (SELECT m.page_num, m.ord, m.x0, m.y0, m.x1, m.y1, b.conf AS c, CASE WHEN b.conf % 3 = 2 THEN '' WHEN b.conf % 6 = 0 THEN ' ' WHEN b.conf % 11 = 0 THEN '改' ELSE '译' || b.conf END AS text FROM moved m JOIN boxes b ON m.page_num = b.page_num AND m.was = b.ord WHERE m.page_num % 3 = 0),
+both_ AS (SELECT coalesce(o.page_num, n.page_num) AS page_num, coalesce(o.ord, n.ord) AS id, CASE WHEN n.ord IS NULL THEN 'removed' WHEN o.ord IS NULL THEN 'drawn' ELSE 'kept' END AS change, n.c, n.text,
+  coalesce(greatest(abs(o.x0 - n.x0), abs(o.y0 - n.y0), abs(o.x1 - n.x1), abs(o.y1 - n.y1)) > 1, false) AS moved, coalesce(n.text <> coalesce(o.said, ''), false) AS typed,
+  coalesce((n.c % 2 = 0) <> (o.conf % 3 = 0), false) AS turned, coalesce(CASE WHEN n.c % 14 = 0 THEN n.c ELSE 0 END <> CASE WHEN o.conf % 7 = 0 THEN o.conf ELSE 0 END, false) AS sized, coalesce((n.c % 10 = 0) <> (o.conf % 5 = 0), false) AS refont
+  FROM (SELECT * FROM o WHERE page_num IN (SELECT page_num FROM n)) o FULL JOIN (SELECT * FROM n WHERE page_num IN (SELECT page_num FROM o)) n ON o.page_num = n.page_num AND o.ord = n.ord),
+edited AS (SELECT page_num, id, change, moved AND change = 'kept' AS moved, typed AND change = 'kept' AS typed, turned AND change = 'kept' AS turned, sized AND change = 'kept' AS sized, refont AND change = 'kept' AS refont, c, text FROM both_),
+plan AS (SELECT page_num, id, change, moved, typed, turned, sized, refont, change = 'drawn' OR moved OR typed OR turned OR sized OR refont AS user_edited, (moved AND NOT typed) OR (change = 'drawn' AND trim(text) = '' AND c % 13 = 0) AS need_ocr FROM edited)"""
+ORACLE_SQL["q_review_plan"] = f"WITH {EDITED} SELECT * FROM plan"
+ORACLE_SQL["q_read_again"] = f"""WITH {EDITED}, r AS (SELECT p.page_num, p.id, CASE WHEN x0 % 4 = 0 THEN '' ELSE 'x' || x0 END AS text FROM plan p JOIN boxes b ON p.page_num = b.page_num AND p.id = b.ord WHERE need_ocr)
+SELECT page_num, id, text, CASE WHEN text = '' THEN '' ELSE '译' || text END AS translated_text, text = '' AS blank FROM r"""
+ORACLE_SQL["q_recognised"] = f"""WITH {BOXES}, near AS (SELECT b.page_num, b.ord, string_agg('s' || s.was, ' ' ORDER BY s.was) AS text FROM boxes b JOIN moved s USING (page_num) WHERE b.x0 % 3 = 2 AND {inter('b', 's')} > 0 GROUP BY ALL),
+r AS (SELECT page_num, ord, CASE WHEN x0 % 3 = 0 THEN 'word ' || y0 % 9 ELSE 'line ' || ord END AS text, CASE WHEN x0 % 3 = 0 THEN 'first' ELSE 'second' END AS ocr_engine FROM boxes WHERE x0 % 3 = 0 OR (x0 % 3 = 1 AND y0 % 2 = 1) UNION ALL SELECT page_num, ord, text, 'overlap' FROM near)
+SELECT page_num, ord, text, ocr_engine FROM r QUALIFY row_number() OVER (PARTITION BY page_num, replace(text, ' ', '') ORDER BY ord) = 1"""
+_INK = "ink AS (SELECT c_custkey AS box, p AS position, (p + c_custkey) % (8 + c_custkey % 23) < c_custkey % 19 AS inked FROM customer, range(60) t(p))"
+ORACLE_SQL["q_glyph_sizes"] = f"""WITH {_INK}, i AS (SELECT box, position, position - row_number() OVER (PARTITION BY box ORDER BY position) AS island FROM ink WHERE inked),
+r AS (SELECT box, count(*) AS n FROM i GROUP BY box, island HAVING count(*) >= 6), m AS (SELECT box, n FROM r QUALIFY n >= 0.6::DOUBLE * max(n) OVER (PARTITION BY box)),
+g AS (SELECT c_custkey AS box, coalesce((SELECT CAST(floor(median(n)) AS BIGINT) FROM m WHERE m.box = c_custkey), 0) AS glyph, c_custkey % 12 + 1 AS page FROM customer)
+SELECT box, glyph, CASE WHEN glyph > 0 THEN least(greatest(glyph, CAST(trunc(page * 0.8::DOUBLE) AS BIGINT)), CAST(trunc(page * 1.6::DOUBLE) AS BIGINT)) ELSE CAST(trunc(page * 1.6::DOUBLE) AS BIGINT) END AS most FROM g"""
+ORACLE_SQL["q_area_sizes"] = f"""WITH {BOXES}, s AS (SELECT page_num, ord, conf, ord * 7 % 40 AS most, greatest(x1 - x0 - CAST(trunc((x1 - x0) * 0.15::DOUBLE) AS BIGINT), 20) AS w, greatest(y1 - y0 - CAST(trunc((y1 - y0) * 0.15::DOUBLE) AS BIGINT), 20) AS h FROM boxes),
+a AS (SELECT *, least(CAST(trunc(trunc(sqrt(w * h / (greatest(conf, 1) * 1.25::DOUBLE))) * 1.5::DOUBLE) AS BIGINT), w, h, 120) AS area FROM s)
+SELECT page_num, ord, 10::BIGINT AS low, greatest(CASE WHEN most > 0 THEN least(area, most) ELSE area END, 10) AS high FROM a"""
+ORACLE_SQL["q_split_columns"] = f"""WITH {BOXES}, g AS (SELECT *, 2 + conf % 14 AS w, CASE WHEN conf % 4 = 0 THEN 30 ELSE 2 + conf % 3 END AS gap0 FROM boxes),
+c0 AS (SELECT page_num, w, y0 AS low, y1 AS high, sum(w + gap0) OVER (PARTITION BY page_num ORDER BY ord) - w AS start FROM g),
+c1 AS (SELECT *, start + w AS stop, max(w) OVER b AS widest FROM c0 WINDOW b AS (PARTITION BY page_num)),
+c2 AS (SELECT c1.*, (SELECT median(d.w) FROM c1 d WHERE d.page_num = c1.page_num AND d.w >= 0.45::DOUBLE * d.widest) AS main_w FROM c1),
+c3 AS (SELECT *, w < 0.45::DOUBLE * main_w AS slim FROM c2),
+c4 AS (SELECT *, max(high - low) FILTER (NOT slim) OVER (PARTITION BY page_num) AS tall FROM c3),
+c AS (SELECT *, slim AND NOT (high - low >= 0.6::DOUBLE * tall AND w >= 0.3::DOUBLE * widest) AS narrow FROM c4),
+m0 AS (SELECT *, start - lag(stop) OVER o AS gap, least(lag(high) OVER o, high) - greatest(lag(low) OVER o, low) AS shared, least(lag(high) OVER o - lag(low) OVER o, high - low) AS shorter FROM c WHERE NOT narrow WINDOW o AS (PARTITION BY page_num ORDER BY start)),
+m1 AS (SELECT *, median(gap) OVER (PARTITION BY page_num) AS usual FROM m0),
+m AS (SELECT *, 1 + sum(CASE WHEN (gap > greatest(1.8::DOUBLE * usual, 0.6::DOUBLE * main_w) AND gap > usual + 4) OR (shorter > 0 AND shared < 0.5::DOUBLE * shorter) THEN 1 ELSE 0 END) OVER (PARTITION BY page_num ORDER BY start) AS part FROM m1),
+e AS (SELECT page_num, part, min(start) AS s, max(stop) AS t FROM m GROUP BY ALL),
+f AS (SELECT c.page_num, part, start, stop, low, high FROM c JOIN e USING (page_num) WHERE narrow QUALIFY row_number() OVER (PARTITION BY c.page_num, start ORDER BY least(abs((start + stop) / 2 - s), abs((start + stop) / 2 - t)), part) = 1),
+every AS (SELECT page_num, part, start, stop, low, high FROM m UNION ALL SELECT * FROM f)
+SELECT page_num, 1 AS ord, CAST(part AS BIGINT) AS part, CAST(min(start) AS BIGINT) AS start, CAST(max(stop) AS BIGINT) AS stop, min(low) AS low, max(high) AS high FROM every GROUP BY page_num, part"""
+ORACLE_SQL["q_catalogue"] = """WITH f AS (SELECT p_brand AS font, p_name AS name, '/' || p_partkey AS path FROM part WHERE p_size % 4 <> 0 QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey % 3, p_partkey) = 1),
+a AS (SELECT CASE WHEN p_size % 2 = 0 AND p_brand IN (SELECT font FROM f) THEN p_brand ELSE '' END AS font, count(*) AS n FROM part GROUP BY 1) SELECT font, n, name, path FROM a LEFT JOIN f USING (font)"""
+ORACLE_SQL["q_spread_of_values"] = """WITH v AS (SELECT event_type, round(value % 256, 2) AS v FROM events) SELECT event_type, round(quantile_cont(v, 0.95), 6) AS p95, round(stddev_pop(v), 6) AS deviation,
+round(avg(CASE WHEN v > 90 THEN 1 ELSE 0 END), 6) AS white, round(avg(CASE WHEN v BETWEEN 40 AND 90 THEN 1 ELSE 0 END), 6) AS middle, round(avg(CASE WHEN v < 40 THEN 1 ELSE 0 END), 6) AS dark FROM v GROUP BY 1"""
+ORACLE_SQL["q_polished"] = f"""WITH {BLOCKS}, w AS (SELECT id, text, {words('text')} AS ws FROM t0), d AS (SELECT id, CASE id % 3 WHEN 0 THEN '你好吗你好' WHEN 1 THEN '是' ELSE '' END AS draft, NOT (
+  {has("replace(text, ' ', '')", r'^\p{Nd}+$')} OR (len(ws) > 0 AND len(list_filter(ws, lambda x: {has('x', r'\p{Lu}')} AND NOT {has('x', r'[\p{Ll}\p{Lt}]')} AND length(x) > 2)) / len(ws) > 0.5) OR (id % 3 = 0 AND len(ws) <= 6)) AS worth FROM w),
+b AS (SELECT draft, worth AND draft <> '' AND id % 2 = 0 AS better FROM d) SELECT CASE WHEN better THEN '好……' ELSE draft END AS translated_text, CASE WHEN better THEN 'polished' ELSE 'web' END AS translation_engine, count(*) AS n_blocks FROM b GROUP BY ALL"""
+_TOP = "row_number() OVER (ORDER BY page_num, id) <= 8"
+ORACLE_SQL["q_warnings"] = f"""WITH {SANE}, bad AS (SELECT page_num, id, hard || soft AS chars, clean FROM found JOIN sane USING (page_num, id) WHERE hard || soft <> ''), n AS (SELECT count(*) AS n, count(*) FILTER (clean <> '') AS cleaned, count(*) FILTER (clean = '') AS emptied FROM bad),
+top AS (SELECT *, '第' || page_num || '页#' || id AS place FROM bad QUALIFY {_TOP}), more AS (SELECT CASE WHEN n > 8 THEN ' 等共 ' || n || ' 行' ELSE '' END AS t FROM n)
+SELECT 'failed' AS kind, (SELECT count(*) || ' 页提取失败，已保留原页未翻译: 第 ' || string_agg(n_nationkey, ', ' ORDER BY n_nationkey) || ' 页' FROM nation WHERE n_nationkey % 7 = 0) AS warning
+UNION ALL SELECT 'none failed', ''
+UNION ALL SELECT 'flagged', '校对译文含非简体中文字符或符号（未自动修改）: ' || (SELECT string_agg(place || '（' || substr(chars, 1, 6) || '）', '、' ORDER BY page_num, id) FROM top) || (SELECT t FROM more)
+UNION ALL SELECT 'language', '语言检查: ' || (SELECT array_to_string(list_filter([CASE WHEN cleaned > 0 THEN cleaned || ' 行已清理非法字符' END, CASE WHEN emptied > 0 THEN emptied || ' 行清理后无中文，保留原文' END], lambda x: x IS NOT NULL), '，') FROM n)
+  || '：' || (SELECT string_agg(place || '（去掉「' || chars || '」）', '、' ORDER BY page_num, id) FROM top) || (SELECT t FROM more)"""
+ORACLE_SQL["q_page_errors"] = """WITH p AS (SELECT doc_id, length(unnest(string_split(coalesce(text, ''), chr(10)))) AS n FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS path, count(*) AS n_pages, CAST(sum(n) FILTER (n % 5 <> 0) AS BIGINT) AS n_chars, count(*) FILTER (n % 5 = 0) AS n_failed, CASE WHEN bool_or(n % 5 = 0) THEN 'ValueError: odd page' ELSE '' END AS error FROM p GROUP BY doc_id"""
+ORACLE_SQL["q_sorted_pages"] = "SELECT o_orderkey AS page_num, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders"
+ORACLE_SQL["q_stream_out_of_order"] = packing(f"{{'page_num': p[1].page_num, 'lines': p[1].lines, 'batch': s[-1].batch + CASE WHEN {_FULL} THEN 1 ELSE 0 END, 'held': CASE WHEN {_FULL} THEN p[1].lines ELSE s[-1].held + p[1].lines END, 'first': false}}").replace(
+    f"{TURNS}, ", f"{TURNS.replace('turns AS', 'said AS')}, turns AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY page_num, lines) AS page_num, lines + 1 AS lines FROM said), ")

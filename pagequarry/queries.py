@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import check as K, fixed as X, geometry as G, text as T
-from .operators import batching as B, cascade as C, layout as L, matching as M
+from .operators import batching as B, cascade as C, layout as L, lettering as Y, matching as M, review as V
 from .plans import relations as R
-from .runtime import new_path, spread
+from .runtime import new_path, spread, written
 from .sources import files as S, replies as P
 from .streaming import pages as W
 
@@ -66,7 +66,8 @@ def polish_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def lang_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.blocks(spark, sf_dir).groupBy("lang", T.source_language(F.col("text")).alias("detected")).agg(F.count("*").alias("n_blocks"))
+    declared = F.when(F.col("lang") == "es", "Korean").otherwise("English")
+    return R.blocks(spark, sf_dir).groupBy("lang", T.source_language(F.col("text"), declared).alias("detected")).agg(F.count("*").alias("n_blocks"))
 
 
 @query
@@ -102,21 +103,30 @@ def term_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.exact_terms(R.blocks(spark, sf_dir), M.load_terms(R.sample_terms(spark))).select("page_num", "id", "tgt")
 
 
+def _tiers(spark: SparkSession) -> DataFrame:
+    """The sample's valid terms by tier, curated ones over automatic ones of the same key kept apart."""
+    good = R.sample_terms(spark).filter(M.valid_term(F.col("src"), F.col("tgt")))
+    return good.select("ord", T.strip(F.col("src")).alias("src"), T.strip(F.col("tgt")).alias("tgt"), "tier")
+
+
 @query
 def term_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.term_hits(R.blocks(spark, sf_dir), TERMS).select("page_num", "id", "src")
+    terms = spark.createDataFrame(TERMS, "src string, tgt string")
+    return M.term_join(R.blocks(spark, sf_dir).select("page_num", "id", "text"), terms).select("page_num", "id", "src")
 
 
 @query
 def term_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.term_hits(R.blocks(spark, sf_dir), TERMS, ignore_case=True).groupBy("src").agg(F.count("*").alias("n_blocks"))
+    """Terms of both tiers that the prompt of a page names, in either case; curated values win."""
+    hits = M.hints(R.blocks(spark, sf_dir).select("page_num", "id", "text"), _tiers(spark))
+    return hits.groupBy("src", "tgt", F.col("ord").cast("struct<late:int,ord:int>").alias("place")).agg(F.count("*").alias("n_blocks")).select("src", "tgt", F.col("place.late").alias("late"), "n_blocks")
 
 
 @query
 def term_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
     proposed = R.sample_terms(spark).select("src", "tgt").unionByName(spark.createDataFrame([("thing", "东西"), ("stop", "停"), ("nothere", "无")], "src string, tgt string"))
-    keys = [(r["src"], r["tgt"]) for r in proposed.filter(M.valid_term(F.col("src"), F.col("tgt"))).collect()]
-    hits = M.term_hits(R.blocks(spark, sf_dir), keys)
+    keys = proposed.filter(M.valid_term(F.col("src"), F.col("tgt")))
+    hits = M.term_join(R.blocks(spark, sf_dir).select("page_num", "id", "text"), keys.select("src").distinct())
     said = spark.createDataFrame([("停",), ("东西",), ("西奥",), ("词",)], "tgt string")
     known = M.load_terms(R.sample_terms(spark).filter("ord < 5"))
     return M.grounded_terms(proposed, known, hits, said).distinct()
@@ -174,16 +184,17 @@ def write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat(F.lit("ID: "), F.col("id"), F.lit(" | 原文: "), T.strip(F.col("text")))
-    lines = R.blocks(spark, sf_dir).groupBy("page_num").agg(F.array_sort(F.collect_list(F.struct("id", line.alias("line")))).alias("l"))
-    text = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
-    return lines.select("page_num", F.sha2(text, 256).alias("prompt_sha256"), F.length(text).cast("long").alias("n_chars"))
+    """Each page's lines, the curated terms that occur in them, and the hint of a retry."""
+    blocks = R.blocks(spark, sf_dir).select("page_num", "id", "text")
+    terms = spark.createDataFrame([(k, *t) for k, t in enumerate(TERMS)], "ord int, src string, tgt string")
+    out = C.prompts(blocks, M.term_join(blocks, terms, ignore_case=True), "再译一次。")
+    return out.select("page_num", F.sha2("prompt", 256).alias("prompt_sha256"), F.length("prompt").cast("long").alias("n_chars"))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Translated lines: the sample's, against a source, and every turn of the conversations against its first 40 characters."""
+    """Translated lines: the sample's, against a source, and every turn of the conversations against all of it but its last word."""
     sample = R.sample_lines(spark).select(F.lit(-1).cast("long").alias("page_num"), F.col("id").cast("long"), F.lit("OK!? Don't").alias("raw"), "text")
-    said = spread(R.read(spark, sf_dir, "conversations")).select(F.col("conv_id").alias("page_num"), F.col("turn").cast("long").alias("id"), F.substring("text", 1, 40).alias("raw"), F.concat(F.lit("好"), "text").alias("text"))
+    said = spread(R.read(spark, sf_dir, "conversations")).select(F.col("conv_id").alias("page_num"), F.col("turn").cast("long").alias("id"), F.regexp_replace("text", "[^ ]+$", "").alias("raw"), F.concat(F.lit("好"), "text").alias("text"))
     return sample.unionByName(said)
 
 
@@ -206,7 +217,7 @@ def check_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def check_and_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    retry = lambda bad: bad.select("page_num", "id", F.when(F.col("id") % 2 == 0, "好的").otherwise("Нет").alias("reply"))
+    retry = lambda bad: bad.select("page_num", "id", F.when(F.col("id") % 2 == 0, "好的").when(F.col("hint").contains("こ"), "Нет").otherwise("不").alias("reply"))
     out = C.check_and_fix(_lines(spark, sf_dir), retry)
     return out.groupBy(F.coalesce("action", F.lit("fine")).alias("action"), "retries").agg(F.count("*").alias("n_lines"))
 
@@ -227,7 +238,11 @@ def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two dictionary translators in a row: the first knows a third of the blocks, the second half of the rest."""
     first = lambda left: left.select("page_num", "id", F.when((F.col("page_num") + F.col("id")) % 3 == 0, "好。").alias("reply"))
     second = lambda left: left.select("page_num", "id", F.when(F.col("id") % 2 == 0, "对不起").otherwise("行!?").alias("reply"))
-    out = C.translate(C.classify(R.blocks(spark, sf_dir), TERMS), [("first", first), ("second", second)], TERMS)
+
+    def broken(left: DataFrame) -> DataFrame:
+        raise RuntimeError("no such model")
+
+    out = C.translate(C.classify(R.blocks(spark, sf_dir), TERMS), [("broken", broken), ("first", first), ("second", second)], TERMS)
     return out.groupBy("translation_engine", F.when(F.col("translation_engine") == "digits", "#").otherwise(F.col("translated_text")).alias("translated_text")).agg(F.count("*").alias("n_blocks"))
 
 
@@ -522,3 +537,244 @@ def box_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.lit(300), F.lit(250)
     at = G.window(b, *size, 64)
     return R.boxes(spark, sf_dir).select("page_num", "ord", G.character_shape(w, h, *size).alias("character"), G.line_shape(w, h, *size).alias("line"), *[at[c].cast("long").alias(f"w_{c}") for c in ("x0", "y0", "x1", "y1")])
+
+
+@query
+def usage_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Engine counts of pages merged over batches."""
+    e = R.read(spark, sf_dir, "events")
+    engine = F.when(F.col("event_id") % 7 != 0, F.col("event_type"))
+    parts = e.groupBy((F.col("event_id") % 20).alias("batch"), engine.alias("engine")).agg(F.count("*").alias("n_blocks"))
+    return B.merge_engine_counts(parts)
+
+
+@query
+def ocr_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of a page in the crops that one call recognises."""
+    return B.slices(R.boxes(spark, sf_dir), "page_num", ["ord"], 16).groupBy("slice").agg(F.count("*").alias("n_boxes"))
+
+
+@query
+def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dictionary files written and read: an object, a list, a broken file, none; the parts' names are an object too."""
+    parts = R.read(spark, sf_dir, "part").filter("p_partkey % 10 = 0").select(F.struct(F.col("p_partkey").cast("string").alias("key"), F.col("p_name").alias("value")).alias("e"))
+    bodies = [("terms", '{"Theo": "西奥", "魔術": "魔术"}'), ("list", "[1, 2]"), ("broken", '{"a": '), ("blank", "")]
+    whole = parts.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list("e")))).alias("value"))
+    out = S.read_dictionary(spark, new_path(spark, "none"), "none")
+    for name, body in [*bodies, ("parts", None)]:
+        path = new_path(spark, name)
+        (whole if body is None else spark.createDataFrame([(body,)], "value string")).coalesce(1).write.text(path)
+        out = out.unionByName(S.read_dictionary(spark, path, name))
+    return out.select("src", "tgt", "tier")
+
+
+@query
+def text_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache written, read back and merged with new entries, the new ones over the old."""
+    blocks = R.blocks(spark, sf_dir)
+    path = new_path(spark, "cache")
+    S.write_cache(M.cache_entries(blocks.filter("lang = 'en'").withColumn("translated_text", F.concat(F.lit("旧"), T.strip(F.col("text"))))), path)
+    new = M.cache_entries(blocks.filter("id % 2 = 0").withColumn("translated_text", F.concat(F.lit("新"), T.strip(F.col("text")))))
+    merged = M.assemble(S.read_cache(spark, path), new, "cache_key")
+    return merged.select("cache_key", F.sha2("cached", 256).alias("cached_sha256"))
+
+
+@query
+def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tokens of each script the blocks of a language have."""
+    tokens = R.blocks(spark, sf_dir).select("lang", F.explode(K.tokens(F.col("text"))).alias("t"))
+    return tokens.groupBy("lang", K.script(F.col("t")).alias("script")).agg(F.count("*").alias("n_tokens"))
+
+
+@query
+def vertical_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.blocks(spark, sf_dir).select("page_num", "id", F.array_join(L.vertical_columns(F.col("text"), 7), "|").alias("columns"))
+
+
+@query
+def gap_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many other boxes of the page each box overlaps or nearly touches."""
+    a = R.boxes(spark, sf_dir).select("page_num", "ord", "box")
+    b = a.select("page_num", F.col("ord").alias("other"), F.col("box").alias("o"))
+    near = a.join(b, "page_num").filter((F.col("ord") != F.col("other")) & G.overlaps(F.col("box"), F.col("o")))
+    return near.groupBy("page_num", "ord").agg(F.count("*").alias("n_near"))
+
+
+def _blocks_with_boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Boxes as rendered blocks with derived settings, and the translations of two thirds of them."""
+    b = R.boxes(spark, sf_dir)
+    m = F.col("conf")
+    blocks = b.select(
+        "page_num", F.col("ord").alias("id"), F.when(m % 17 != 0, F.col("box")).alias("box"), F.concat(F.lit("t"), m).alias("text"), F.when(m % 2 == 0, F.concat(F.lit("c"), m)).alias("cleaned_text"),
+        F.when(m % 3 == 0, "vertical").when(m % 3 == 1, "").alias("direction"), F.when(m % 5 == 0, "file:a.ttf").alias("font"),
+        F.when(m % 7 == 0, m.cast("double")).alias("font_size_pt"), F.when(m % 4 == 0, m / 2).alias("glyph_pt"),
+    )
+    said = b.filter("conf % 3 <> 2").select("page_num", F.col("ord").alias("id"), F.when(m % 6 == 0, " ").otherwise(F.concat(F.lit("译"), m)).alias("translated_text"))
+    return blocks, said
+
+
+@query
+def renderable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, said = _blocks_with_boxes(spark, sf_dir)
+    return V.drawn(M.write_back(blocks, said)).select("page_num", "id", "translated_text")
+
+
+@query
+def editor_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, said = _blocks_with_boxes(spark, sf_dir)
+    return V.shown(blocks, said).select("page_num", "id", F.col("box.x0").alias("x0"), "raw", "text", "direction", "font", "font_size", "glyph_pt")
+
+
+def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """changes() between the blocks and what a user made of every third page."""
+    blocks, said = _blocks_with_boxes(spark, sf_dir)
+    m = F.col("conf")
+    rows = R.moved_boxes(R.boxes(spark, sf_dir)).filter("page_num % 3 = 0").join(R.boxes(spark, sf_dir).select("page_num", F.col("ord").alias("was"), "conf"), ["page_num", "was"])
+    text = F.when(m % 3 != 2, F.when(m % 6 == 0, " ").when(m % 11 == 0, "改").otherwise(F.concat(F.lit("译"), m))).otherwise("")
+    rows = rows.select(
+        "page_num", F.col("ord").alias("id"), "box", text.alias("text"), F.when(m % 13 == 0, "").otherwise("r").alias("raw"), F.when(m % 2 == 0, "vertical").otherwise("").alias("direction"),
+        F.when(m % 10 == 0, "file:a.ttf").otherwise("").alias("font"), F.when(m % 14 == 0, m.cast("double")).otherwise(0.0).alias("font_size"),
+    )
+    whole = blocks.withColumn("box", F.coalesce("box", F.struct(*[F.lit(0).cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")])))
+    return V.changes(whole, rows, said)
+
+
+@query
+def review_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edited(spark, sf_dir)
+
+
+@query
+def read_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read again after an edit: a dictionary reads every box but each fourth, and translates what it read."""
+    boxes = _edited(spark, sf_dir).filter("need_ocr").join(R.boxes(spark, sf_dir).select("page_num", F.col("ord").alias("id"), "box"), ["page_num", "id"])
+    recognise = lambda b: b.select("page_num", "id", F.when(F.col("box.x0") % 4 == 0, "  ").otherwise(F.concat(F.lit(" x"), "box.x0")).alias("raw"))
+    translate = lambda t: t.select("page_num", "id", F.concat(F.lit("译"), "text").alias("translated_text"))
+    return V.read_again(boxes, recognise, translate)
+
+
+@query
+def recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two engines in a row and the strings that overlap."""
+    boxes = R.boxes(spark, sf_dir)
+    first = lambda b: b.select("page_num", "ord", F.when(F.col("box.x0") % 3 == 0, F.concat(F.lit("word "), F.col("box.y0") % 9)).otherwise("").alias("text"))
+    second = lambda b: b.select("page_num", "ord", F.when(F.col("box.x0") % 3 == 1, F.when(F.col("box.y0") % 2 == 0, "=|=|").otherwise(F.concat(F.lit("line "), "ord"))).alias("text"))
+    strings = R.moved_boxes(boxes).select("page_num", F.col("was").alias("n"), "box", F.concat(F.lit("s"), F.col("was")).alias("text"))
+    return Y.read_boxes(boxes, [("first", first), ("second", second)], strings)
+
+
+def _ink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """box, position, inked: a profile of 60 positions for each customer's hundredth."""
+    c = R.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("box"))
+    at = c.select("box", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("position"))
+    period = 8 + F.col("box") % 23
+    return at.select("box", F.col("position").cast("long").alias("position"), ((F.col("position") + F.col("box")) % period < F.col("box") % 19).alias("inked"))
+
+
+@query
+def glyph_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = Y.glyph_sizes(_ink(spark, sf_dir), "box", "position", "inked")
+    return sizes.select("box", "glyph", Y.page_bounds(F.col("glyph"), F.col("box") % 12 + 1).cast("long").alias("most"))
+
+
+@query
+def area_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = F.col("box")
+    size = Y.area_sizes(F.col("conf"), b["x1"] - b["x0"], b["y1"] - b["y0"], F.col("ord") * 7 % 40)
+    return R.boxes(spark, sf_dir).select("page_num", "ord", size["low"].cast("long").alias("low"), size["high"].cast("long").alias("high"))
+
+
+@query
+def split_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ink of a box: the items of an order, one after another, with gaps of either kind."""
+    b = R.boxes(spark, sf_dir)
+    width, gap = 2 + F.col("conf") % 14, F.when(F.col("conf") % 4 == 0, 30).otherwise(2 + F.col("conf") % 3)
+    order = Window.partitionBy("page_num").orderBy("ord")
+    at = b.withColumn("start", F.sum(width + gap).over(order) - width)
+    return Y.split_columns(at.select("page_num", F.lit(1).alias("ord"), "start", (F.col("start") + width).alias("stop"), F.col("box.y0").alias("low"), F.col("box.y1").alias("high")))
+
+
+@query
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as fonts of three sources, and which font of an order's priority is known."""
+    p = R.read(spark, sf_dir, "part")
+    fonts = p.select((F.col("p_partkey") % 3).alias("source"), F.col("p_partkey").alias("place"), F.col("p_brand").alias("id"), F.col("p_name").alias("name"), F.concat(F.lit("/"), "p_partkey").alias("path"), (F.col("p_size") % 4 != 0).alias("covers"))
+    asked = p.select("p_partkey", F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise("none").alias("font"))
+    found = Y.catalogue(fonts)
+    return Y.known_font(asked, found).groupBy("font").agg(F.count("*").alias("n")).join(found.withColumnRenamed("id", "font"), "font", "left")
+
+
+@query
+def spread_of_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = R.read(spark, sf_dir, "events").select("event_type", F.round(F.col("value") % 256, 2).alias("value"))
+    out = Y.shares(e, "event_type", "value", 40.0, 90.0)
+    return out.select("event_type", *[F.round(c, 6).alias(c) for c in ("p95", "deviation", "white", "middle", "dark")])
+
+
+@query
+def polished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts of which those worth it are polished, every second with a reply in Han script."""
+    draft = F.when(F.col("id") % 3 == 0, "你好吗你好").when(F.col("id") % 3 == 1, "是").otherwise("")
+    blocks = R.blocks(spark, sf_dir).select("page_num", "id", F.col("text").alias("cleaned_text"), draft.alias("translated_text"), F.lit("web").alias("translation_engine"))
+    step = lambda d: d.select("page_num", "id", F.when(F.col("id") % 2 == 0, "好。。").otherwise("no").alias("reply"))
+    return C.polish(blocks, step).groupBy("translated_text", "translation_engine").agg(F.count("*").alias("n_blocks"))
+
+
+@query
+def warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages of a run: pages that failed, lines that were flagged, lines that were repaired."""
+    lines = _lines(spark, sf_dir)
+    failed = R.read(spark, sf_dir, "nation").filter("n_nationkey % 7 = 0").select(F.col("n_nationkey").alias("page_num"))
+    found, report = written(C.flagged(lines), "flagged"), written(C.check_report(lines), "report")
+    messages = [("failed", C.failed_pages_warning(failed)), ("none failed", C.failed_pages_warning(failed.limit(0))), ("flagged", C.flagged_warning(found)), ("language", C.language_warning(report))]
+    out = None
+    for kind, message in messages:
+        row = message.select(F.lit(kind).alias("kind"), "warning")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query
+def page_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as binaries, their lines as pages: pages that can't be read go aside and the pages after them go on."""
+    docs = spread(R.read(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+
+    def split(content: bytes, pages: list[int] | None):
+        for k, line in enumerate(content.decode().split("\n"), 1):
+            if pages is None or k in pages:
+                yield k, (ValueError("odd page") if len(line) % 5 == 0 else lambda line=line: [{"n": len(line)}])
+
+    good, failed = S.good_and_failed(S.split_pages(docs, split, "n long"))
+    pages = good.select("path", "page_num", "n", F.lit("").alias("error")).unionByName(failed.select("path", "page_num", F.lit(None).cast("long").alias("n"), "error"))
+    return pages.groupBy("path").agg(F.count("*").alias("n_pages"), F.sum("n").alias("n_chars"), F.count_if(F.col("error") != "").alias("n_failed"), F.max("error").alias("error"))
+
+
+@query
+def sorted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written in order: the place of each in the files, taken in order of their names."""
+    path = new_path(spark, "pages")
+    S.write_pages(R.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_num"), "o_orderstatus"), path)
+    back = spark.read.parquet(path).select("page_num", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    files = back.groupBy("file").agg(F.count("*").alias("n"))
+    first = files.withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    return back.join(F.broadcast(first), "file").select("page_num", (F.col("first") + F.col("row") + 1).alias("place"))
+
+
+@query
+def stream_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of conversations, numbered, arriving in files in no order; gated behind the stream that numbers their lines."""
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("page_num", "lines"))
+    pages = R.turns(spark, sf_dir).select("doc", place.cast("long").alias("page_num"), "lines")
+    path = new_path(spark, "arriving")
+    pages.repartition(8, F.xxhash64("doc", "page_num")).write.option("maxRecordsPerFile", 200).parquet(path)
+    schema = "doc long, page_num long, lines long"
+    stages = [
+        ("counted", lambda: W.page_stream(spark, path, schema).select("doc", "page_num", (F.col("lines") + 1).alias("lines")), schema),
+        ("packed", lambda: W.packed_in_order(done_stream("counted")), W.BATCHES),
+    ]
+    made: dict[str, str] = {}
+
+    def done_stream(name: str) -> DataFrame:
+        return W.page_stream(spark, made[name], schema)
+
+    return W.gated(stages, made)["packed"]

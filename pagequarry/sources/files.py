@@ -17,21 +17,30 @@ def binary_documents(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.md5("content").alias("md5"), "content")
 
 
-def split_pages(documents: DataFrame, splitter: Callable[[bytes, list[int] | None], Iterator[tuple[int, list[dict]]]], schema: str, pages: list[int] | None = None) -> DataFrame:
+def split_pages(documents: DataFrame, splitter: Callable[[bytes, list[int] | None], Iterator[tuple[int, object]]], schema: str, pages: list[int] | None = None) -> DataFrame:
     """Blocks of pages, one document at a time: path, page_num, error, and the block's columns of schema.
 
-    splitter yields (page, blocks) and is told which pages are wanted.  What it raises becomes a row with an error
-    (page_num null) and the other documents go on.
+    splitter yields (page, blocks) and is told which pages are wanted.  blocks is a list, an exception, or a function
+    that returns a list; a page whose function raises, or that is an exception, becomes a row with an error and the
+    pages after it go on.  What the splitter itself raises ends its document with an error without a page.
     """
     names = [c.split()[0] for c in schema.split(", ")]
 
+    def of_page(path: str, page: int, blocks: object) -> list[dict]:
+        try:
+            if isinstance(blocks, Exception):
+                raise blocks
+            return [{"path": path, "page_num": page, **b} for b in (blocks() if callable(blocks) else blocks)]
+        except Exception as e:  # a bad page must not stop the others
+            return [{"path": path, "page_num": page, "error": f"{type(e).__name__}: {e}"}]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 rows: list[dict] = []
                 try:
                     for page, blocks in splitter(content, pages):
-                        rows += [{"path": path, "page_num": page, **b} for b in blocks]
+                        rows += of_page(path, page, blocks)
                 except Exception as e:  # a bad document must not stop the others
                     rows.append({"path": path, "error": f"{type(e).__name__}: {e}"})
                 columns = ["path", "page_num", "error", *names]
@@ -81,6 +90,11 @@ def without_runtime_keys(df: DataFrame) -> DataFrame:
     return df.select(*[pruned(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields if not f.name.startswith("_")])
 
 
+def write_pages(pages: DataFrame, path: str) -> None:
+    """Pages (page_num, ...) in order of their number: each file holds a range of them, sorted; files are in order too."""
+    pages.repartitionByRange("page_num").sortWithinPartitions("page_num").write.mode("overwrite").parquet(path)
+
+
 def write_layout(layout: DataFrame, path: str) -> None:
     without_runtime_keys(layout).write.mode("overwrite").json(path)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +41,56 @@ def packed(pages: DataFrame, least: int = X.CHUNK_LINES) -> DataFrame:
     return pages.groupBy("doc").applyInPandasWithState(handle, BATCHES, "batch long, held long", "append", GroupStateTimeout.NoTimeout)
 
 
+def packed_in_order(pages: DataFrame, least: int = X.CHUNK_LINES) -> DataFrame:
+    """packed() for pages that arrive in any order: doc, page_num (from 1, without gaps), lines.
+
+    A page that comes before its turn is held in the state until the pages before it are there, so batches are those
+    of the sorted document; the state holds the pages that wait, at most those that are out of order.  A page that
+    comes again is passed over.
+    """
+
+    def handle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        batch, held, turn, early, early_lines = state.get if state.exists else (0, 0, 1, [], [])
+        waiting = dict(zip(early, early_lines, strict=True))
+        for f in frames:
+            for page, n in zip(f["page_num"].tolist(), f["lines"].tolist(), strict=True):
+                if page >= turn:
+                    waiting.setdefault(int(page), int(n))
+        out = []
+        while turn in waiting:
+            n = waiting.pop(turn)
+            out.append((key[0], turn, n, batch))
+            held, turn = held + max(0, n), turn + 1
+            if held >= least:
+                batch, held = batch + 1, 0
+        state.update((batch, held, turn, list(waiting), list(waiting.values())))
+        yield pd.DataFrame(out, columns=["doc", "page_num", "lines", "batch"])
+
+    kept = "batch long, held long, turn long, early array<bigint>, early_lines array<bigint>"
+    return pages.groupBy("doc").applyInPandasWithState(handle, BATCHES, kept, "append", GroupStateTimeout.NoTimeout)
+
+
+def binary_stream(spark: SparkSession, path: str, files_at_once: int = 4) -> DataFrame:
+    """A stream of document files (path, content), few of them in each micro-batch; split_pages() works on it."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    return spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_at_once).load(path).select("path", "content")
+
+
+def gated(stages: Sequence[tuple[str, Callable[[], DataFrame], str]], paths: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """Run streams one after another, each a gate for the next: (name, stream, schema) -> the tables they wrote, by name.
+
+    A stream is built when its turn comes, so it may read what the stages before it have written (paths gets their
+    folders); what a stage raises ends the run and the later stages never start.
+    """
+    done: dict[str, DataFrame] = {}
+    paths = {} if paths is None else paths
+    for name, stream, schema in stages:
+        made = stream()
+        paths[name] = new_path(made.sparkSession, name)
+        done[name] = drain(made, name, schema, paths[name])
+    return done
+
+
 def drain(stream: DataFrame, name: str, schema: str, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Run a stream over what there is, into Parquet files, and return them; with the same paths it goes on where it stopped."""
     spark = stream.sparkSession

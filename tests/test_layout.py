@@ -148,3 +148,72 @@ def test_a_failing_batch_stops_the_stream(spark, tmp_path):
 
     with pytest.raises(Exception, match="stop here"):
         W.each_batch(W.page_stream(spark, str(tmp_path / "in"), "id long"), work, "fail", str(tmp_path / "state"))
+
+
+def test_pages_without_a_number_and_boxes_without_corners(spark):
+    rows = [(None, 1, (0, 0, 50, 50), 1), (None, 2, (10, 10, 60, 60), 1), (None, 3, None, 1), (2**60 + 1, 1, (0, 0, 5, 5), 1), (2**60 + 1, 2, (100, 100, None, 150), 1), (3, 1, (0, 0, 50, 50), 1)]
+    boxes = frame(spark, rows)
+    fused = sorted(((r.page_num or 0, r.ord, r.x0, r.x1) for r in L.fuse(boxes).collect()))
+    assert fused == [(0, 1, 0, 60), (3, 1, 0, 50), (2**60 + 1, 1, 0, 5)]
+    assert sorted((r.page_num or 0, r.ord, r.id) for r in L.reading_order(boxes, 140.0).collect()) == [(0, 1, 1), (0, 2, 2), (3, 1, 1), (2**60 + 1, 1, 1)]
+    assert L.merge_regions(boxes, 150).count() == 3
+    for work in (L.fuse, L.merge_regions):
+        assert work(boxes.limit(0)).collect() == []
+
+
+def test_edited_boxes_are_no_nested_duplicates(spark):
+    rows = [(1, 1, (0, 0, 100, 100), 1), (1, 2, (10, 10, 20, 20), 0), (1, 3, (30, 30, 40, 40), 1)]
+    edited = frame(spark, rows).withColumn("user_edited", F.when(F.col("ord") == 2, True))
+    assert [r.ord for r in L.nested_duplicates(edited).collect()] == [3]
+
+
+def test_pages_that_arrive_in_any_order_are_packed_as_sorted(spark, tmp_path):
+    rng = random.Random(3)
+    pages = [(d, p, rng.randint(0, 9)) for d in range(6) for p in range(1, 30)]
+    rng.shuffle(pages)
+    schema = "doc long, page_num long, lines long"
+    for k in range(0, len(pages), 15):
+        spark.createDataFrame([*pages[k : k + 15], pages[max(0, k - 1)]], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = W.packed_in_order(W.page_stream(spark, str(tmp_path / "in"), schema, files_at_once=2))
+    got = W.drain(stream, "packed", W.BATCHES, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    want = B.pack_after(spark.createDataFrame(pages, schema))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_gate_opens_when_the_stage_before_is_done(spark, tmp_path):
+    schema = "doc long, page_num long, lines long"
+    spark.createDataFrame([(1, 1, 5)], schema).write.parquet(str(tmp_path / "in"))
+    order = []
+
+    def stage(name, path, fail=False):
+        def build():
+            order.append(name)
+            stream = W.page_stream(spark, path(), schema)
+            return stream.withColumn("lines", F.raise_error(F.lit("bad")).cast("long")) if fail else stream
+        return build
+
+    paths = {}
+    done = W.gated([("a", stage("a", lambda: str(tmp_path / "in")), schema), ("b", stage("b", lambda: paths["a"]), schema)], paths)
+    assert order == ["a", "b"] and done["b"].first().lines == 5
+    order.clear()
+    with pytest.raises(Exception, match="bad"):
+        W.gated([("c", stage("c", lambda: str(tmp_path / "in"), fail=True), schema), ("d", stage("d", lambda: str(tmp_path / "in")), schema)])
+    assert order == ["c"]
+
+
+def test_document_files_stream_into_pages(spark, tmp_path):
+    from pagequarry.sources import files as S
+
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    for name, body in (("a", b"one|two"), ("b", b"!|x"), ("c", b"three")):
+        (folder / name).write_bytes(body)
+
+    def split(content, pages):
+        for k, t in enumerate(content.decode().split("|"), 1):
+            yield k, (ValueError("broken") if t == "!" else [{"text": t}])
+
+    rows = S.split_pages(W.binary_stream(spark, str(folder), 1), split, "text string")
+    out = W.drain(rows, "pages", "path string, page_num int, error string, text string", str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    good, failed = S.good_and_failed(out)
+    assert sorted(r.text for r in good.collect()) == ["one", "three", "two", "x"] and [(r.page_num, r.error) for r in failed.collect()] == [(1, "ValueError: broken")]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagequarry.functions import check as K, geometry as G, text as T
-from pagequarry.operators import batching as B, cascade as C, layout as L, matching as M
+from pagequarry.operators import batching as B, cascade as C, layout as L, lettering as Y, matching as M, review as V
 from pagequarry.sources import files as S, replies as P
 
 
@@ -95,8 +95,187 @@ def test_packing(spark):
     assert [r.part_lines for r in halves if r.batch == 1] == [13, 12] and [r.part_lines for r in halves if r.batch == 2] == [1] * 12
 
 
-def test_vertical_columns():
-    assert L.vertical_columns("你好吗！再见", 3) == ["你好吗！", "再见"] and L.vertical_columns("", 3) == [""] and L.vertical_columns("一\n二三", 2) == ["一", "二三"]
+def test_vertical_columns(spark):
+    cases(spark, lambda c: L.vertical_columns(c, 3), [("你好吗！再见", ["你好吗！", "再见"]), ("", [""]), (None, [""]), ("你好吗！？再见了。", ["你好吗！？", "再见了。"])])
+    cases(spark, lambda c: L.vertical_columns(c, 2), [("一\n二三", ["一", "二三"]), (" \r\n ", [""]), ("！一二", ["！一", "二"])])
+
+
+def test_local_noise_takes_unicode_white_space(spark):
+    noisy = lambda c: T.local_noise_reason(c).isNotNull()
+    cases(spark, noisy, [("ABC\u3000DE", True), ("ABC DE", True), ("12\u2003AB", True), ("ABC DEf", False), ("こんにちは", True), ("²³", False), ("Hello there", False), ("x", True)])
+    cases(spark, T.local_noise_reason, [("ABCDEFG HIJK", None), ("AB CDEFG", "pattern"), ("ABCD", "capitals"), ("a" + "!" * 9, "symbols")])
+
+
+def test_titles_are_composed(spark):
+    key = lambda c: T.series_key(T.without_extension(c))
+    cases(spark, key, [("Ｔｉｔｌｅ ０５.pdf", "Title"), ("Foo Ｖｏｌ．１２.pdf", "Foo"), ("ﾀｲﾄﾙ　第③巻.pdf", "タイトル"), ("Ovol 3.pdf", "Ovol"), ("x/[a] B【完】.zip", "B"), (None, None)])
+
+
+def test_declared_korean(spark):
+    frame = spark.createDataFrame([("hello", "Korean"), ("hello", "English"), ("こんにちは", None)], "t string, d string")
+    assert [r.v for r in frame.select(T.source_language(F.col("t"), F.col("d")).alias("v")).collect()] == ["ko", "en", "auto"]
+
+
+def test_terms_of_a_table_are_found_as_by_patterns(spark):
+    texts = spark.createDataFrame([(k, t) for k, t in enumerate(["Theology", "Theo!", "xTheo", "theo", "魔術師", "Mr. Theo-Rose", "(Rose)", "привет мир", "Привет", "a.b", "", "Jean-Luc left", "jean-LUC"])], "k long, text string")
+    terms = [("Theo", "西奥"), ("魔術", "魔术"), ("Rose", "罗斯"), ("Привет", "你好"), ("Jean-Luc", "让"), ("Theo-Rose", "两")]
+    table = spark.createDataFrame(terms, "src string, tgt string")
+    for case in (False, True):
+        want = sorted((r.k, r.src) for r in M.term_hits(texts, terms, ignore_case=case).collect())
+        assert sorted((r.k, r.src) for r in M.term_join(texts, table, ignore_case=case).collect()) == want and len(want) > 6
+    tiers = spark.createDataFrame([(1, "Theo", "西奥", "curated"), (2, "Theo", "其", "auto"), (3, "left", "左", "auto")], "ord int, src string, tgt string, tier string")
+    assert sorted((r.k, r.tgt) for r in M.hints(texts, tiers).collect()) == [(1, "西奥"), (3, "西奥"), (5, "西奥"), (11, "左")]
+
+
+LINES = "page_num long, id long, raw string, text string"
+
+
+def test_a_retry_is_told_why_and_may_fail(spark):
+    rows = spark.createDataFrame([(1, 1, "", "好カ"), (1, 2, "", "キカ好"), (2, 1, "", "ж好")], LINES)
+    told = []
+
+    def broken(bad):
+        told.append(bad.first().hint)
+        raise RuntimeError("no model")
+
+    out = {(r.page_num, r.id): (r.text, r.retries, r.action) for r in C.check_and_fix(rows, broken).collect()}
+    assert out == {(1, 1): ("好", 0, "cleaned"), (1, 2): ("好", 0, "cleaned"), (2, 1): ("好", 0, "cleaned")}
+    assert len(told) == 1 and "：カキж。" in told[0]
+    silent = C.check_and_fix(rows, lambda bad: bad.select("page_num", "id", F.lit("好").alias("reply")).limit(0))
+    assert {r.retries for r in silent.collect()} == {0}
+
+
+def test_a_translator_that_fails_is_passed_over(spark):
+    blocks = C.classify(spark.createDataFrame([(1, 1, "hello there friend")], "page_num long, id long, text string"))
+    calls = []
+
+    def flaky(left):
+        calls.append(1)
+        if len(calls) == 1:
+            raise RuntimeError("busy")
+        return left.select("page_num", "id", F.lit("你好").alias("reply"))
+
+    def broken(left):
+        raise ValueError
+
+    assert [(r.translated_text, r.translation_engine) for r in C.translate(blocks, [("broken", broken), ("flaky", flaky)]).collect()] == [("你好", "flaky")]
+
+
+def test_polish_and_prompt(spark):
+    rows = [(1, 1, "What do you think you are doing", "你在做什么", "web"), (1, 2, "NO WAY MAN", "没门", "web"), (1, 3, "What on earth is it that you say", "", "none"), (1, 4, "Let me go home now please sir", "让我回家", "web")]
+    frame = spark.createDataFrame(rows, "page_num long, id long, cleaned_text string, translated_text string, translation_engine string")
+    step = lambda d: d.select("page_num", "id", F.when(F.col("id") == 1, "你究竟在干什么。。").otherwise("nope").alias("reply"))
+    assert sorted((r.id, r.translated_text, r.translation_engine) for r in C.polish(frame, step).collect()) == [(1, "你究竟在干什么……", "polished"), (2, "没门", "web"), (3, "", "none"), (4, "让我回家", "web")]
+    hints = spark.createDataFrame([(1, 2, "B", "乙"), (1, 1, "A", "甲"), (1, 1, "A", "甲")], "page_num long, ord int, src string, tgt string")
+    lines = spark.createDataFrame([(1, 2, " two "), (1, 1, "one"), (2, 1, "x")], "page_num long, id long, text string")
+    assert {r.page_num: r.prompt for r in C.prompts(lines, hints, "again").collect()} == {1: "ID: 1 | 原文: one\nID: 2 | 原文: two\n- A -> 甲\n- B -> 乙\nagain", 2: "ID: 1 | 原文: x\nagain"}
+
+
+def test_warnings(spark):
+    one = lambda frame: frame.first().warning
+    pages = spark.createDataFrame([(9,), (2,)], "page_num long")
+    assert one(C.failed_pages_warning(pages)) == "2 页提取失败，已保留原页未翻译: 第 2, 9 页" and one(C.failed_pages_warning(pages.limit(0))) == ""
+    found = spark.createDataFrame([(1, k, "カキクケコサシ") for k in range(9)], "page_num long, id long, chars string")
+    said = one(C.flagged_warning(found))
+    assert said.startswith("校对译文含非简体中文字符或符号（未自动修改）: 第1页#0（カキクケコサ）、第1页#1") and said.endswith("第1页#7（カキクケコサ） 等共 9 行") and one(C.flagged_warning(found.limit(0))) == ""
+    report = spark.createDataFrame([(1, 1, "cleaned", "カ"), (1, 2, "retranslated", ""), (2, 1, "emptied", "ж"), (2, 2, None, "")], "page_num long, id long, action string, removed string")
+    assert one(C.language_warning(report)) == "语言检查: 1 行重译后合格，1 行已清理非法字符，1 行清理后无中文，保留原文：第1页#1（去掉「カ」）、第1页#2、第2页#1（去掉「ж」）"
+    assert one(C.language_warning(report.filter("action IS NULL"))) == ""
+
+
+BLOCK = "page_num long, id long, box struct<x0:double,y0:double,x1:double,y1:double>, direction string, font string, font_size_pt double"
+ROW = "page_num long, id long, box struct<x0:double,y0:double,x1:double,y1:double>, text string, raw string, direction string, font string, font_size double"
+
+
+def test_changes_of_a_review(spark):
+    box, far = (0.0, 0.0, 10.0, 10.0), (0.0, 0.0, 10.0, 12.0)
+    old = spark.createDataFrame([(1, k, box, "vertical" if k == 4 else None, "file:a" if k == 6 else None, 12.0 if k == 5 else None) for k in range(1, 9)] + [(2, 1, box, None, None, None)], BLOCK)
+    rows = [
+        (1, 1, box, "译", "r", "", "", 0.0), (1, 2, far, "译", "r", "horizontal", None, None), (1, 3, far, "new", "r", None, "", 0.0), (1, 4, box, "译", "", "", "", 0.0), (1, 5, box, "译", "", "", "", 0.0),
+        (1, 6, box, "译", "", "", "", 0.0), (1, 7, (0.0, 0.0, 11.0, 10.0), "译", "", "", "", 0.0), (1, 20, box, " ", "\t", "", "", 0.0), (1, 21, box, "", "seen", "", "", 0.0), (9, 1, box, "", "", "", "", 0.0),
+    ]
+    said = spark.createDataFrame([(1, k, "译") for k in range(1, 9)], "page_num long, id long, translated_text string")
+    out = {(r.page_num, r.id): r for r in V.changes(old, spark.createDataFrame(rows, ROW), said).collect()}
+    flags = ("moved", "typed", "turned", "sized", "refont")
+    assert {k: (r.change, [f for f in flags if r[f]], r.need_ocr) for k, r in out.items()} == {
+        (1, 1): ("kept", [], False), (1, 2): ("kept", ["moved"], True), (1, 3): ("kept", ["moved", "typed"], False), (1, 4): ("kept", ["turned"], False), (1, 5): ("kept", ["sized"], False),
+        (1, 6): ("kept", ["refont"], False), (1, 7): ("kept", [], False), (1, 8): ("removed", [], False), (1, 20): ("drawn", [], True), (1, 21): ("drawn", [], False),
+    }
+    assert {k for k, r in out.items() if r.user_edited} == {(1, k) for k in (2, 3, 4, 5, 6, 20, 21)}
+
+
+def test_boxes_are_read_again(spark):
+    boxes = spark.createDataFrame([(1, 1, (1, 1, 2, 2)), (1, 2, (5, 1, 6, 2))], "page_num long, id long, box struct<x0:int,y0:int,x1:int,y1:int>")
+    read = lambda b: b.filter("box.x0 = 1").select("page_num", "id", F.lit(" hi ").alias("raw"))
+    said = lambda t: t.select("page_num", "id", F.concat(F.lit("译"), "text").alias("translated_text"))
+    assert sorted(map(tuple, V.read_again(boxes, read, said).collect())) == [(1, 1, "hi", "译hi", False), (1, 2, "", "", True)]
+
+
+def test_first_engine_that_reads_anything(spark):
+    box = "struct<x0:int,y0:int,x1:int,y1:int>"
+    boxes = spark.createDataFrame([(1, k, (k * 10, 0, k * 10 + 5, 5)) for k in range(1, 6)] + [(1, 9, (7, 0, 7, 5))], f"page_num long, ord long, box {box}")
+    asked = []
+
+    def engine(name, known):
+        def run(left):
+            asked.append((name, sorted(r.ord for r in left.collect())))
+            return left.select("page_num", "ord", F.coalesce(*[F.when(F.col("ord") == k, t) for k, t in known.items()], F.lit("")).alias("text"))
+        return run
+
+    strings = spark.createDataFrame([(1, 1, (40, 0, 42, 9), "over"), (1, 2, (41, 0, 43, 9), "lap"), (1, 3, (50, 8, 55, 9), "away")], f"page_num long, n long, box {box}, text string")
+    out = Y.read_boxes(boxes, [("a", engine("a", {1: "first text"})), ("b", engine("b", {1: "no", 2: "first text!", 3: "=|="}))], strings)
+    assert sorted((r.ord, r.text, r.ocr_engine) for r in out.collect()) == [(1, "first text", "a"), (4, "over lap", "overlap")]
+    assert asked == [("a", [1, 2, 3, 4, 5]), ("b", [2, 3, 4, 5])]
+
+
+def test_glyph_sizes(spark):
+    ink = lambda text: [c == "#" for c in text]
+    profiles = {1: "##########..######..#########...####", 2: "#####.####", 3: "......", 4: "####################.......###########......############"}
+    rows = [(b, k, v) for b, t in profiles.items() for k, v in enumerate(ink(t))]
+    got = {r.box: r.glyph for r in Y.glyph_sizes(spark.createDataFrame(rows, "box long, position long, inked boolean"), "box", "position", "inked").collect()}
+    assert got == {1: 9, 2: 0, 3: 0, 4: 16}  # 10, 6, 9; none of six; none; 20 and 12 (11 is under 0.6 of 20)
+    frame = spark.createDataFrame([(0, 10), (5, 10), (12, 10), (30, 10)], "g int, p int")
+    assert [r.v for r in frame.select(Y.page_bounds(F.col("g"), F.col("p")).alias("v")).collect()] == [16, 8, 12, 16]
+
+
+def test_sizes_from_areas(spark):
+    frame = spark.createDataFrame([(10, 100, 100, 0), (10, 100, 100, 12), (0, 10, 10, 0), (1, 900, 900, 0)], "n int, w int, h int, most int")
+    got = [tuple(r.v) for r in frame.select(Y.area_sizes(*map(F.col, ("n", "w", "h", "most"))).alias("v")).collect()]
+    assert got == [(10, 36), (10, 12), (10, 20), (10, 120)]  # sqrt(85 * 85 / 12.5) is 24, one and a half times
+
+
+def test_boxes_cut_by_their_columns(spark):
+    rows = [
+        (1, 0, 10, 0, 100), (1, 13, 23, 0, 100), (1, 26, 36, 0, 100), (1, 60, 70, 0, 100), (1, 72, 75, 10, 30),  # a gap, and furigana beside the last
+        (2, 0, 10, 0, 40), (2, 12, 22, 60, 100), (3, 0, 10, 0, 100),
+    ]
+    out = Y.split_columns(spark.createDataFrame([(1, o, *r) for o, *r in rows], "page_num long, ord long, start long, stop long, low long, high long"))
+    assert sorted((r.ord, r.part, r.start, r.stop, r.low, r.high) for r in out.collect()) == [(1, 1, 0, 36, 0, 100), (1, 2, 60, 75, 0, 100), (2, 1, 0, 10, 0, 40), (2, 2, 12, 22, 60, 100), (3, 1, 0, 10, 0, 100)]
+
+
+def test_first_source_of_a_font_wins(spark):
+    fonts = spark.createDataFrame([(2, 1, "x", "system", "/s", True), (1, 1, "x", "env", "/e", True), (0, 1, "x", "none", "/n", False), (0, 2, "y", "file", "/f", True)], "source int, place int, id string, name string, path string, covers boolean")
+    kept = Y.catalogue(fonts)
+    assert sorted(r.name for r in kept.collect()) == ["env", "file"]
+    asked = spark.createDataFrame([(1, "x"), (2, "z"), (3, None)], "k int, font string")
+    assert sorted((r.k, r.font) for r in Y.known_font(asked, kept).collect()) == [(1, "x"), (2, ""), (3, "")]
+
+
+def test_pages_after_a_bad_one_go_on(spark):
+    docs = spark.createDataFrame([("a", b"one|!|three|?"), ("b", b"x")], "path string, content binary")
+
+    def split(content, pages):
+        for k, t in enumerate(content.decode().split("|"), 1):
+            yield k, (ValueError("broken") if t == "!" else (lambda: 1 / 0) if t == "?" else [{"text": t}])
+
+    good, failed = S.good_and_failed(S.split_pages(docs, split, "text string"))
+    assert sorted((r.path, r.page_num, r.text) for r in good.collect()) == [("a", 1, "one"), ("a", 3, "three"), ("b", 1, "x")]
+    assert sorted((r.path, r.page_num, r.error) for r in failed.collect()) == [("a", 2, "ValueError: broken"), ("a", 4, "ZeroDivisionError: division by zero")]
+
+
+def test_packing_of_null_documents_and_lines(spark):
+    frame = spark.createDataFrame([(None, 1, 7), (None, 2, 7), (2**60 + 1, 1, None), (2**60 + 1, 2, 12)], "doc long, page_num long, lines long")
+    assert sorted(((r.doc or 0, r.page_num, r.lines, r.batch) for r in B.pack_before(frame).collect())) == [(0, 1, 7, 0), (0, 2, 7, 1), (2**60 + 1, 1, 0, 0), (2**60 + 1, 2, 12, 0)]
 
 
 def test_model_replies(spark):
