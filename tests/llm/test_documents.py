@@ -112,6 +112,38 @@ def test_both_ways_to_merge_agree_with_the_library(spark, encoder):
     assert bpe.merge(long.encode(), ranks) == encoder.encode_ordinary(long)
 
 
+def test_fold_of_many_words_and_pieces(spark, encoder):
+    """All pieces that are words fold to themselves, and odd words of any length as the library does."""
+    ranks = bpe.load_ranks(PATH)
+    rng = np.random.default_rng(6)
+    words = {p.decode() for p in list(ranks)[::37] if p.isascii() or p.decode("utf-8", "ignore").encode() == p}
+    words |= {"".join(rng.choice(list("abcdeéßñ日本 ACGT0123\x00'\\"), int(rng.integers(1, 30)))) for _ in range(1500)}
+    words |= {"x" * 700, "ab" * 300, "=" * 513, "ACGT" * 200, "\x00", " ", "\u2028" * 3, "".join(rng.choice(list("ACGT"), 600))}
+    fold = {r.word: r.ids for r in bpe.fold_words(spark.createDataFrame([(w,) for w in words], "word string").repartition(4), ranks).collect()}
+    whole = tiktoken.Encoding("whole", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    for w in words:
+        assert fold[w] == whole.encode_ordinary(w), w
+
+
+def test_every_piece_comes_of_its_own_pair():
+    ranks = bpe.load_ranks(PATH)
+    for p in list(ranks)[256::11]:
+        a, b = bpe.pair_of(p, ranks)
+        assert a + b == p and max(ranks[a], ranks[b]) < ranks[p]
+    with pytest.raises(ValueError, match="pair of its own"):
+        bpe.pair_of(b"abc", {b"a": 0, b"b": 1, b"c": 2, b"abc": 3})
+    assert [bpe.rank_of(bpe.sign(r))[0] for r in (0, 50_255, 0xD7FF, 0xD800, 100_000)] == [0, 50_255, 0xD7FF, 0xD800, 100_000]
+
+
+@pytest.mark.parametrize("rows", [1, 8])
+def test_words_beyond_the_vocabulary_are_the_same(spark, monkeypatch, encoder, rows):
+    monkeypatch.setattr(bpe, "VOCABULARY_ROWS", rows)
+    texts = ["the cat sat on the mat " * 3, "Zebrastreifen überall, antidisestablishment", "x y z " + "q" * 300, ""]
+    out = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH, public_tokenizers.PATTERN, decoded=True).collect()
+    for r in out:
+        assert np.frombuffer(r.ids, "<u4").tolist() == encoder.encode_ordinary(r.text) and bytes(r.decoded) == r.text.encode()
+
+
 def test_bpe_of_nothing(nothing):
     assert bpe.round_trip(nothing, PATH, public_tokenizers.PATTERN).collect() == []
 
