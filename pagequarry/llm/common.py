@@ -16,7 +16,7 @@ from ..runtime import discard, shared_dir, whole_groups, written
 __all__ = ["blocked", "computed", "discard", "fresh", "join_classes", "join_salted", "least_hashes", "present", "shared_dir", "shelved", "small_batches", "table", "whole_groups", "written"]
 
 #: Bytes of an Arrow batch (one row at least), so that batches of very long texts still fit a worker.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
