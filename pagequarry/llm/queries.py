@@ -15,6 +15,11 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+def minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second half of op1's method: classes of equal texts, and components of those of Jaccard 0.8 or more."""
+    return fingerprints.near_duplicates(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.read_archive(*warc.write_archive(table(spark, sf_dir, "pages", ["page_id", "url", "html"])))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lattice": op8_lattice,
     "op9_quality": op9_quality,
     "op10_langid": op10_langid,
+    "minhash_near_duplicates": minhash_near_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -79,6 +79,41 @@ def test_bands_find_pairs_at_the_least_similarity(spark):
     assert {r.doc_id: r.component_id for r in out} == {k: k - k % 2 for k in range(300)}
 
 
+def test_near_duplicates_against_all_pairs(spark, hostile, nothing):
+    """Edited copies of every degree: the components are those of all pairs of exact Jaccard 0.8 or more."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 40 if k % 5 == 0 else 4000, int(rng.integers(3, 120)))]
+        for _ in range(int(rng.integers(1, 5))):
+            rows.append((len(rows), " ".join(words).upper() if rng.random() < 0.1 else " ".join(words)))
+            for x in rng.integers(0, len(words), int(rng.integers(0, 4))):
+                words[x] = f"v{rng.integers(0, 9)}"
+    rows += [(None, "only a null id has this"), (900, rows[0][1]), (900, rows[0][1])]
+
+    def shingles(text):
+        words = text.lower().split()
+        return frozenset(" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4)))
+
+    texts = sorted({t for _, t in rows})
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = [root[i] if r == root[j] else r for r in root]
+    least = {}
+    for d, t in rows:
+        if d is not None:
+            for key in (t, root[texts.index(t)]):
+                least[key] = min(d, least.get(key, d))
+    want = Counter((d, least.get(t), least.get(root[texts.index(t)])) for d, t in rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.lit("x")).withColumn("copies", F.lit(1))
+    assert Counter(map(tuple, fingerprints.near_duplicates(docs).collect())) == want and len(set(root)) < len(texts) - 20
+    odd = fingerprints.near_duplicates(hostile).collect()
+    assert Counter(r.doc_id for r in odd) == Counter(d for d, *_ in ROWS) and {r.class_id for r in odd if r.doc_id in (2, 3)} == {2}
+    assert fingerprints.near_duplicates(nothing).collect() == []
+
+
 def test_word_hashes_do_not_depend_on_the_batch():
     texts = [t for _, t, *_ in ROWS]
     together, bounds = tokens.word_hashes(texts)
@@ -238,6 +273,84 @@ def test_toxicity(spark, hostile, nothing, no_labels):
     assert {r.predicted for r in toxicity.score(hostile, toxicity.learn(hostile, no_labels)).collect()} == {0}
 
 
+M64 = (1 << 64) - 1
+
+
+def mixed(h):
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & M64
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & M64
+    return h ^ h >> 31
+
+
+def plain_language_logits(model, text):
+    """The mean of the table's rows over the trigrams of a text's letters, one after another."""
+    data = (text or "").encode()
+    data = bytes(b | 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalpha() else 32 for b in data)
+    data = b" " + data + b" " * 6
+    rows = []
+    for k in range(len(data) - 5):
+        if data[k : k + 2] != b"  ":
+            rows.append(model.table[int.from_bytes(data[k : k + 3], "big") * 0x9E3779B97F4A7C15 % 2**64 >> 64 - langid.BUCKET_BITS])
+    return (sum(rows, np.zeros(model.table.shape[1])) / max(1, len(rows)) + model.bias) / model.heat
+
+
+def plain_toxic_score(model, text):
+    """The network one word and one filter at a time."""
+    net, words = model.network, re.findall(rb"[A-Za-z0-9\x80-\xff]+", (text or "").encode())
+    vectors = []
+    for w in words:
+        low = bytes(b | 32 if 65 <= b <= 90 else b for b in w)
+        v = np.zeros(toxicity.DIMENSIONS)
+        for k, least in enumerate((None, *toxicity.PREFIXES)):
+            part = low[:least] if least else low
+            h = sum((b + 1) * pow(0x9E3779B97F4A7C15, j, 1 << 64) for j, b in enumerate(part)) + k + 1 & M64
+            v += net.embedding[mixed(h) >> 64 - toxicity.BUCKET_BITS]
+        vectors.append(v)
+    z = net.bias
+    for j, width in enumerate(toxicity.WIDTHS):
+        for f in range(toxicity.FILTERS):
+            filter_ = net.filters[j][:, f]
+            best = max((np.concatenate(vectors[k : k + width]) @ filter_ for k in range(len(vectors) - width + 1)), default=0.0)
+            z += max(best, 0.0) * net.out[j * toxicity.FILTERS + f]
+    cut = model.cut
+    if model.language.languages:
+        cut = model.cuts.get(model.language.languages[int(plain_language_logits(model.language, text).argmax())], cut)
+    return 1 / (1 + np.exp(-np.clip(z - cut, -30, 30)))
+
+
+def test_scores_of_toxicity_and_language_recomputed_plainly(spark, hostile):
+    rng = np.random.default_rng(13)
+    rows, marks = [], []
+    for j, lang in enumerate(("en", "de", "fr")):
+        for k, t in enumerate(lines(lang, 90, j + 40), 1000 * (j + 1)):
+            toxic = int(rng.random() < 0.3)
+            rows.append((k, t + (" Scummy, vilewort!" if toxic else ""), lang))
+            marks.append((k, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = toxicity.learn(docs, spark.createDataFrame(marks, "doc_id long, toxic int"))
+    short = hostile.filter("length(text) < 1000 OR text IS NULL").select("doc_id", "text").withColumn("score", F.lit("mine"))
+    texts = [(r.doc_id, r.text) for r in short.collect()]
+    got = Counter((r.doc_id, round(r.score, 4)) for r in toxicity.score(short, model).collect())
+    assert got == Counter((d, round(float(plain_toxic_score(model, t)), 4)) for d, t in texts)
+    some = rows[::9]
+    got = {r.doc_id: r.score for r in toxicity.score(docs.filter(F.col("doc_id").isin([k for k, *_ in some])), model).collect()}
+    assert all(got[k] == pytest.approx(plain_toxic_score(model, t), abs=1e-4) for k, t, _ in some)
+
+    language = langid.learn(docs)
+    got = {r.doc_id: r for r in langid.identify(docs, language).collect()}
+    for k, t, _ in some:
+        z = plain_language_logits(language, t)
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[k].lang_pred == language.languages[int(p.argmax())] and got[k].score == pytest.approx(p.max(), abs=1e-6)
+    ties = {(r.lang_pred, r.score) for r in langid.identify(hostile.withColumn("lang_pred", F.lit(1)), language).filter("doc_id IN (1, 6)").collect()}
+    assert len(ties) == 1
+
+
+def test_best_heat_is_the_lowest_point():
+    loss = lambda h: (np.log(h) - np.log(1.7)) ** 2
+    assert langid.best_heat(loss) == pytest.approx(1.7, rel=1e-3)
+
+
 def test_toxicity_is_learned_from_whole_texts(spark):
     rng = np.random.default_rng(4)
     plain = np.array(" ".join(lines("en", 60, 30)).split())
