@@ -12,7 +12,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from re import _constants as C, _parser
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -76,22 +75,152 @@ def of_strings(strings: set[str]) -> object:
     return either([both(grams(s)) for s in sorted(strings)])
 
 
+# An expression is a list of branches, a branch a list of (kind, value): one of few characters ("chars", set), any of many
+# ("any", None), a place ("place", None), a group ("group", branches) or a repetition ("repeat", (least, most or None, item)).
+
+
+class Parser:
+    """The part of regular expressions that rules use; anything else is refused."""
+
+    def __init__(self, expression: str) -> None:
+        self.text, self.at = expression, 0
+
+    def parse(self) -> list:
+        out = self.branches()
+        if self.at < len(self.text):
+            raise ValueError(f"unexpected {self.text[self.at]!r} at {self.at} in {self.text!r}")
+        return out
+
+    def take(self, token: str) -> bool:
+        if self.text.startswith(token, self.at):
+            self.at += len(token)
+            return True
+        return False
+
+    def next(self) -> str:
+        if self.at == len(self.text):
+            raise ValueError(f"{self.text!r} ends too soon")
+        self.at += 1
+        return self.text[self.at - 1]
+
+    def branches(self) -> list:
+        out = [[]]
+        while self.at < len(self.text) and self.text[self.at] != ")":
+            if self.take("|"):
+                out.append([])
+            else:
+                out[-1].append(self.repeated(self.item()))
+        return out
+
+    def item(self) -> tuple:
+        c = self.next()
+        if c == "(":
+            if self.text.startswith("?", self.at) and not self.take("?:"):
+                raise ValueError(f"a group of another kind at {self.at} in {self.text!r}")
+            inner = self.branches()
+            if not self.take(")"):
+                raise ValueError(f"an open group in {self.text!r}")
+            return "group", inner
+        if c == "[":
+            return self.char_class()
+        if c in "*+?{":
+            raise ValueError(f"nothing to repeat at {self.at} in {self.text!r}")
+        if c == "\\":
+            char = self.escape()
+            return ("any", None) if char is None else ("place", None) if char == "" else ("chars", {char})
+        return ("any", None) if c == "." else ("place", None) if c in "^$" else ("chars", {c})
+
+    def escape(self) -> str | None:
+        """The character that an escape stands for, None for a class of many, nothing for a place."""
+        c = self.next()
+        if c == "x":
+            self.at += 2
+            return chr(int(self.text[self.at - 2 : self.at], 16))
+        if c in "sSdDwW":
+            return None
+        if c in "bBAZ":
+            return ""
+        if c.isalnum():
+            if c not in "tnrfv":
+                raise ValueError(f"an escape of another kind at {self.at} in {self.text!r}")
+            return {"t": "\t", "n": "\n", "r": "\r", "f": "\f", "v": "\v"}[c]
+        return c
+
+    def char_class(self) -> tuple:
+        other, chars, few, first = self.take("^"), [], True, True
+        while first or not self.take("]"):
+            c = self.next()
+            first = False
+            if c == "\\":
+                c = self.escape()
+            if not c:
+                few = False
+            elif self.text.startswith("-", self.at) and not self.text.startswith("-]", self.at):
+                self.at += 1
+                end = self.next()
+                chars += map(chr, range(ord(c), ord(self.escape() if end == "\\" else end) + 1))
+            else:
+                chars.append(c)
+        return ("chars", set(chars)) if few and not other else ("any", None)
+
+    def repeated(self, item: tuple) -> tuple:
+        if self.take("*"):
+            item = "repeat", (0, None, item)
+        elif self.take("+"):
+            item = "repeat", (1, None, item)
+        elif self.take("?"):
+            return "repeat", (0, 1, item)
+        elif bounds := re.compile(r"\{(\d+)(,(\d*))?\}").match(self.text, self.at):
+            self.at = bounds.end()
+            low = int(bounds[1])
+            item = "repeat", (low, low if bounds[2] is None else int(bounds[3]) if bounds[3] else None, item)
+        else:
+            return item
+        if self.take("?") or self.take("+"):
+            raise ValueError(f"a repetition of another kind at {self.at} in {self.text!r}")
+        return item
+
+
 def trigram_query(expression: str) -> object:
     """The trigrams, of folded bytes, without which the expression can't match."""
-    exact, query = _sequence(list(_parser.parse(expression)))
-    return both([query, of_strings(exact)]) if exact else query
+    return _any_of(Parser(expression).parse())
+
+
+def _any_of(branches: list) -> object:
+    return either([_query(b) for b in branches])
+
 
+def _query(items: list) -> object:
+    exact, query = _sequence(items)
+    return both([query, of_strings(exact)])
 
-def _strings(op: object, arg: object) -> set[str] | None:
-    """The few strings that an item stands for, folded, or None."""
-    if op is C.LITERAL:
-        return {chr(arg).translate(_FOLD)}
-    if op is C.IN and all(kind is C.LITERAL for kind, _ in arg):
-        chars = {chr(c).translate(_FOLD) for _, c in arg}
+
+def _whole(item: tuple) -> set[str] | None:
+    """The strings, folded, that an item stands for, if they are few and known."""
+    kind, value = item
+    if kind == "chars":
+        chars = {c.translate(_FOLD) for c in value}
         return chars if len(chars) <= MOST_CHOICES else None
+    if kind == "group":
+        every = [_joined(b) for b in value]
+        strings = None if None in every else set().union(*every)
+        return strings if strings is not None and len(strings) <= MOST_STRINGS else None
+    if kind == "repeat" and value[:2] in ((0, 1), (1, 1)):
+        inner = _whole(value[2])
+        return None if inner is None else inner | {""} if value[0] == 0 else inner
     return None
 
 
+def _joined(items: list) -> set[str] | None:
+    exact = {""}
+    for item in items:
+        part = _whole(item)
+        if part is None or len(exact) * len(part) > MOST_STRINGS:
+            return None
+        exact = {a + b for a in exact for b in part}
+    return exact
+
+
 def _sequence(items: list) -> tuple[set[str], object]:
     """(strings that the sequence's end stands for, what the parts before demand)."""
     exact, demands = {""}, []
@@ -105,66 +234,25 @@ def _sequence(items: list) -> tuple[set[str], object]:
         nonlocal exact
         if len(exact) * len(strings) > MOST_STRINGS:
             stop()
-        exact = {a + b for a in exact for b in strings} if len(strings) <= MOST_STRINGS else {""}
+        exact = {a + b for a in exact for b in strings}
 
-    for op, arg in items:
-        if (strings := _strings(op, arg)) is not None:
+    for item in items:
+        kind, value = item
+        if (strings := _whole(item)) is not None:
             extend(strings)
-        elif op is C.SUBPATTERN and not (arg[1] or arg[2]):
-            whole = _whole(list(arg[3]))
-            extend(whole) if whole is not None else stop(_query(list(arg[3])))
-        elif op is C.BRANCH:
-            whole = [_whole(list(b)) for b in arg[1]]
-            if None not in whole and len(every := set().union(*whole)) <= MOST_STRINGS:
-                extend(every)
-            else:
-                stop(either([_query(list(b)) for b in arg[1]]))
-        elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
-            low, high, inner = arg
-            whole = _whole(list(inner))
-            if (low, high) == (0, 1) and whole is not None:
-                extend({""} | whole)
-            elif low == 0:
+        elif kind == "group":
+            stop(_any_of(value))
+        elif kind == "repeat" and value[0] > 0:  # once at least, whatever follows
+            if (strings := _whole(value[2])) is not None:
+                extend(strings)
                 stop()
-            elif whole is not None and low == high == 1:
-                extend(whole)
             else:
-                if whole is not None:
-                    extend(whole)
-                    stop()
-                else:
-                    stop(_query(list(inner)))
-        elif op is not C.AT:  # any other item stands for unknown text
+                stop(_any_of(value[2][1]) if value[2][0] == "group" else True)
+        elif kind != "place":  # unknown text
             stop()
     return exact, both(demands)
 
 
-def _query(items: list) -> object:
-    exact, query = _sequence(items)
-    return both([query, of_strings(exact)])
-
-
-def _whole(items: list) -> set[str] | None:
-    """The strings that all the items together stand for, if they are few and known."""
-    if any(op not in (C.LITERAL, C.IN, C.SUBPATTERN, C.BRANCH, C.MAX_REPEAT) for op, _ in items):
-        return None
-    exact = {""}
-    for op, arg in items:
-        part = _strings(op, arg)
-        if op is C.SUBPATTERN:
-            part = _whole(list(arg[3]))
-        elif op is C.BRANCH:
-            parts = [_whole(list(b)) for b in arg[1]]
-            part = None if None in parts else set().union(*parts)
-        elif op is C.MAX_REPEAT and arg[:2] == (0, 1):
-            part = _whole(list(arg[2]))
-            part = None if part is None else {""} | part
-        if part is None or len(exact) * len(part) > MOST_STRINGS:
-            return None
-        exact = {a + b for a in exact for b in part}
-    return exact
-
-
 def trigrams_of(query: object) -> set[bytes]:
     if isinstance(query, bytes):
         return {query}
@@ -235,7 +323,8 @@ def scanner(rules: tuple[Rule, ...]) -> Callable[[list], list[list[tuple[int, in
 def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, text) -> doc_id, spans by start and then in the order of rules; code points, stop exclusive.
 
-    One row per row of docs; null and empty texts have no spans, an empty table gives no rows.
+    One row per row of docs, repeated ones too; null and empty texts have no spans, an empty table gives no rows.  Of
+    spans that start together the rule named first comes first.  Columns other than doc_id and text are ignored.
     """
 
     def setup() -> Callable[[list], tuple]:

@@ -220,6 +220,16 @@ def test_index_loses_no_match():
     assert index.queries["hex"] is True and index.queries["access"] == ("and", b"aki", b"kia")
 
 
+def test_trigrams_of_expressions():
+    of = secrets.trigram_query
+    assert of("abcd") == ("and", b"abc", b"bcd") and of("a.cde") == b"cde" and of("[0-9a-f]+") is True and of("abc|x") is True
+    assert of("(?:abc|ABD)+x") == ("or", b"abc", b"abd") and of(r"\x41bc{1,2}\.") == b"abc" and of("ab?cde") == ("or", ("and", b"abc", b"bcd", b"cde"), ("and", b"acd", b"cde"))
+    assert of("[]x]yz") == ("or", b"]yz", b"xyz") and of("^abc$") == b"abc" and of("abc*d") is True and of("[^a]bcd") == b"bcd"
+    for odd in ("(?i)a", "a+?", "(a", "[a", "a)", "*a", r"\p", "a{2"):
+        with pytest.raises(ValueError):
+            of(odd)
+
+
 def test_redaction_keeps_the_rest(spark, hostile, nothing):
     odd = hostile.withColumn("text_without_secrets", F.lit("mine"))
     got = secrets.redacted(odd)
