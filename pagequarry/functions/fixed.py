@@ -82,3 +82,10 @@ VERTICAL_CLOSING = "！？…。，、：；）」』》〉”’!?,."
 
 # What a language report's actions are called.
 ACTIONS = [("retranslated", "行重译后合格"), ("cleaned", "行已清理非法字符"), ("emptied", "行清理后无中文，保留原文")]
+
+# What errors of a device's memory read like, when a service is left alone, plausible costs in MB.
+MEMORY_ERRORS = [
+    "out of memory", "outofmemory", "cuda error", "cudnn", "e_outofmemory",
+    "887a0005", "887a0006", "dml", "directml", "failed to allocate", "device removed",
+]
+BREAK_AFTER, BREAK_SECONDS, MEASURED_MB, MEASURED_MARGIN = 2, 300.0, (30, 6000), 1.2

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from .functions import fixed as X
 from .plans import relations as R
-from .queries import PAGE_SPECS, PAGES, TERMS
+from .queries import ERRORS, PAGE_SPECS, PAGES, TERMS
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -435,3 +435,23 @@ SELECT CAST(doc_id AS VARCHAR) AS path, count(*) AS n_pages, CAST(sum(n) FILTER
 ORACLE_SQL["q_sorted_pages"] = "SELECT o_orderkey AS page_num, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders"
 ORACLE_SQL["q_stream_out_of_order"] = packing(f"{{'page_num': p[1].page_num, 'lines': p[1].lines, 'batch': s[-1].batch + CASE WHEN {_FULL} THEN 1 ELSE 0 END, 'held': CASE WHEN {_FULL} THEN p[1].lines ELSE s[-1].held + p[1].lines END, 'first': false}}").replace(
     f"{TURNS}, ", f"{TURNS.replace('turns AS', 'said AS')}, turns AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY page_num, lines) AS page_num, lines + 1 AS lines FROM said), ")
+_OOM = " OR ".join(f"contains(lower(message), {q(e)})" for e in X.MEMORY_ERRORS)
+ORACLE_SQL["q_memory_errors"] = f"""WITH m AS (SELECT * FROM {rows(list(enumerate(ERRORS)), 'n, message')} UNION ALL SELECT p_partkey + 100, CASE WHEN p_size % 5 = 0 THEN 'cuDNN ' ELSE '' END || p_name FROM part)
+SELECT n, coalesce({_OOM}, false) AS oom FROM m"""
+# Each model's turn adds to a list: what is left of the budget, and the devices so far.
+ORACLE_SQL["q_placement"] = """WITH seen AS (SELECT 'm' || (p_partkey % 7) AS model, p_partkey AS n, p_retailprice * (p_partkey % 9) AS delta FROM part),
+costs AS (SELECT 'm' || k AS model, k, coalesce((SELECT arg_max(greatest(100, CAST(trunc(delta * 1.2::DOUBLE) AS BIGINT)), n) FROM seen WHERE model = 'm' || k AND model <> 'm3' AND delta BETWEEN 30 AND 6000), 300 + 150 * k) AS need FROM range(7) t(k)),
+hosts AS (SELECT s_suppkey AS host, CASE WHEN s_suppkey % 11 <> 0 THEN abs(s_acctbal) END AS free, s_suppkey % 4 * 100 AS reserve FROM supplier),
+m AS (SELECT host, model, k, need::DOUBLE AS need, free, reserve, (host + k) % 5 <> 0 AS capable, (host + k) % 6 = 0 AS resident FROM hosts, costs),
+lists AS (SELECT host, list([{'model': model, 'need': need, 'free': free, 'reserve': reserve, 'capable': capable, 'resident': resident, 'room': free - reserve, 'device': 'cpu'}] ORDER BY k) AS l FROM m GROUP BY 1),
+starts AS (SELECT host, list_concat([[{'model': '', 'need': 0.0::DOUBLE, 'free': l[1][1].free, 'reserve': l[1][1].reserve, 'capable': false, 'resident': false, 'room': l[1][1].room, 'device': 'cpu'}]], l) AS l FROM lists),
+folds AS (SELECT host, list_reduce(l, lambda s, p: list_concat(s, [{'model': p[1].model, 'need': p[1].need, 'free': p[1].free, 'reserve': p[1].reserve, 'capable': p[1].capable, 'resident': p[1].resident,
+  'room': CASE WHEN p[1].capable AND NOT p[1].resident AND s[-1].room >= p[1].need THEN s[-1].room - p[1].need ELSE s[-1].room END,
+  'device': CASE WHEN p[1].capable AND p[1].resident AND p[1].free >= p[1].reserve / 2 THEN 'gpu' WHEN p[1].capable AND NOT p[1].resident AND s[-1].room >= p[1].need THEN 'gpu' ELSE 'cpu' END}])) AS f FROM starts),
+placed AS (SELECT host, unnest(f[2:]) AS m FROM folds) SELECT host, m.model AS model, m.device AS device FROM placed"""
+ORACLE_SQL["q_progress_events"] = """WITH e AS (SELECT user_id AS task, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+s AS (SELECT task, n, n // 3 AS percent, CASE WHEN event_id % 29 = 0 THEN 'complete' WHEN event_id % 31 = 0 THEN 'failed' WHEN event_id % 5 < 2 THEN 'review' ELSE 'processing' END AS status FROM e),
+ends AS (SELECT task, min(n) AS last FROM s WHERE status IN ('complete', 'failed') GROUP BY 1),
+p AS (SELECT s.*, last, lag(status) OVER o AS was, coalesce(lag(percent) OVER o, -1) AS before FROM s LEFT JOIN ends USING (task) WINDOW o AS (PARTITION BY task ORDER BY n)),
+t AS (SELECT task, n, percent, CASE status WHEN 'complete' THEN 'complete' WHEN 'failed' THEN 'error' WHEN 'review' THEN CASE WHEN was IS DISTINCT FROM 'review' THEN 'review' END ELSE CASE WHEN percent <> before OR was = 'review' THEN 'progress' END END AS event FROM p WHERE last IS NULL OR n <= last)
+SELECT task, n, event, percent FROM t WHERE event IS NOT NULL"""

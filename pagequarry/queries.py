@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import check as K, fixed as X, geometry as G, text as T
-from .operators import batching as B, cascade as C, layout as L, lettering as Y, matching as M, review as V
+from .operators import batching as B, cascade as C, layout as L, lettering as Y, matching as M, policy as Q, review as V
 from .plans import relations as R
 from .runtime import new_path, spread, written
 from .sources import files as S, replies as P
@@ -778,3 +778,36 @@ def stream_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         return W.page_stream(spark, made[name], schema)
 
     return W.gated(stages, made)["packed"]
+
+
+ERRORS = ["RuntimeError: CUDA out of memory.", "OnnxError: 887A0005 device", "ValueError: bad page", "", None, "Failed to Allocate 3 MB", "padml"]
+
+
+@query
+def memory_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample's errors and the parts' comments as error texts."""
+    sample = spark.createDataFrame([(k, e) for k, e in enumerate(ERRORS)], "n long, message string")
+    parts = R.read(spark, sf_dir, "part").select((F.col("p_partkey") + 100).alias("n"), F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("cuDNN "), "p_name")).otherwise(F.col("p_name")).alias("message"))
+    return sample.unionByName(parts).select("n", Q.out_of_memory(F.col("message")).alias("oom"))
+
+
+@query
+def placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models placed on suppliers as hosts: costs are measured on their orders, defaults where none is plausible."""
+    hosts = R.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("host"), F.when(F.col("s_suppkey") % 11 != 0, F.abs("s_acctbal")).alias("free"), (F.col("s_suppkey") % 4 * 100).alias("reserve"))
+    defaults = spark.createDataFrame([(f"m{k}", 300 + 150 * k) for k in range(7)], "model string, need long")
+    seen = R.read(spark, sf_dir, "part").select(F.concat(F.lit("m"), F.col("p_partkey") % 7).alias("model"), F.col("p_partkey").alias("n"), (F.col("p_retailprice") * (F.col("p_partkey") % 9)).alias("delta")).filter("model <> 'm3'")
+    costs = Q.measured_costs(defaults, seen)
+    models = hosts.select("host", F.explode(F.array(*[F.lit(f"m{k}") for k in range(7)])).alias("model")).join(F.broadcast(costs), "model").withColumn("priority", F.substring("model", 2, 1).cast("int"))
+    models = models.withColumns({"capable": (F.col("host") + F.col("priority")) % 5 != 0, "resident": (F.col("host") + F.col("priority")) % 6 == 0})
+    return Q.placement(models, hosts)
+
+
+@query
+def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of a user as statuses of a task."""
+    e = R.read(spark, sf_dir, "events")
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    state = F.when(F.col("event_id") % 29 == 0, "complete").when(F.col("event_id") % 31 == 0, "failed").when(F.col("event_id") % 5 < 2, "review").otherwise("processing")
+    rows = e.select(F.col("user_id").alias("task"), n.cast("long").alias("n"), F.floor(n / 3).cast("long").alias("percent"), state.alias("status"))
+    return Q.progress_events(rows)

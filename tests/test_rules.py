@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagequarry.functions import check as K, geometry as G, text as T
-from pagequarry.operators import batching as B, cascade as C, layout as L, lettering as Y, matching as M, review as V
+from pagequarry.operators import batching as B, cascade as C, layout as L, lettering as Y, matching as M, policy as Q, review as V
 from pagequarry.sources import files as S, replies as P
 
 
@@ -310,3 +310,34 @@ def test_files_round_trip(spark, tmp_path):
     entries = spark.createDataFrame([("k", "v")], "cache_key string, cached string")
     S.write_cache(entries, str(tmp_path / "cache"))
     assert S.read_cache(spark, str(tmp_path / "cache")).collect() == entries.collect()
+
+
+def test_policies(spark):
+    cases(spark, Q.out_of_memory, [("CUDA Out Of Memory", True), ("fine", False), (None, False), ("DirectML lost", True)])
+    now, calls = [0.0], []
+
+    def step(left):
+        calls.append(now[0])
+        if len(calls) < 4:
+            raise OSError("down")
+        return left
+
+    guarded = Q.Breaker(step, clock=lambda: now[0])
+    frame = spark.range(1)
+    for at, fails in ((0, OSError), (1, OSError), (2, RuntimeError), (300, RuntimeError), (302, OSError), (303, RuntimeError)):
+        now[0] = at
+        with pytest.raises(fails):
+            guarded(frame)
+    now[0] = 700
+    assert guarded(frame) is frame and guarded.failed == 0 and calls == [0, 1, 302, 700]
+    models = spark.createDataFrame([(1, "a", 1, True, False, 500), (1, "b", 2, False, False, 10), (1, "c", 3, True, True, 900), (1, "d", 4, True, False, 600), (1, "e", 5, True, False, 300), (2, "a", 1, True, False, 1)], "host int, model string, priority int, capable boolean, resident boolean, need int")
+    hosts = spark.createDataFrame([(1, 1000.0, 200), (2, None, 0)], "host int, free double, reserve int")
+    assert sorted((r.host, r.model) for r in Q.placement(models, hosts).collect() if r.device == "gpu") == [(1, "a"), (1, "c"), (1, "e")]
+    defaults, seen = spark.createDataFrame([("a", 5), ("b", 6)], "model string, need long"), spark.createDataFrame([("a", 1, 50.0), ("a", 2, 200.0), ("a", 3, 7000.0), ("b", 1, 10.0)], "model string, n int, delta double")
+    assert sorted(map(tuple, Q.measured_costs(defaults, seen).collect())) == [("a", 240), ("b", 6)]
+
+
+def test_what_a_client_is_told(spark):
+    states = [(0, "queued"), (0, "queued"), (5, "processing"), (5, "review"), (5, "review"), (5, "processing"), (5, "processing"), (9, "complete"), (10, "processing")]
+    rows = spark.createDataFrame([(1, k, p, s) for k, (p, s) in enumerate(states)] + [(2, 0, 0, "failed"), (2, 1, 1, "complete")], "task long, n long, percent long, status string")
+    assert sorted(map(tuple, Q.progress_events(rows).collect())) == [(1, 0, "progress", 0), (1, 2, "progress", 5), (1, 3, "review", 5), (1, 5, "progress", 5), (1, 7, "complete", 9), (2, 0, "error", 0)]
