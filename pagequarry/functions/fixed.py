@@ -72,7 +72,7 @@ VOLUME_MARKS = [
 IOU_MATCH, IOU_SUPPRESS, CONTAINED, NESTED, FUSE_IOU, FUSE_INSIDE = 0.5, 0.35, 0.70, 0.60, 0.20, 0.55
 DETECTOR_CONFIDENCE, MOVED_POINTS, SPAN_SHARE = 0.35, 1.0, 0.70
 CHUNK_LINES, CACHE_KEY, EDITOR_TEXT, EDITOR_ROWS, REPORT_ROWS = 12, 20, 2000, 5000, 8
-HINT_CHARS, LEAST_RUN, MAIN_RUN, PAGE_BOUNDS = 12, 6, 0.6, (0.8, 1.6)
+HINT_CHARS, LEAST_RUN, MAIN_RUN, PAGE_BOUNDS, LEAST_SIZE, PLACE_TRIES = 12, 6, 0.6, (0.8, 1.6), 9, 30
 FONT_POINTS, DIRECTIONS = (4.0, 150.0), ["horizontal", "vertical", "vertical_rtl", "auto"]
 SHEET_COLUMNS = ["页码", "气泡", "原文 (OCR)", "译文 (可修改)", "x0", "y0", "x1", "y1"]
 

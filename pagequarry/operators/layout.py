@@ -7,7 +7,7 @@ that rearrange boxes until nothing changes run over whole pages of Arrow batches
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -61,8 +61,8 @@ def nested_duplicates(boxes: DataFrame, share: float = X.NESTED) -> DataFrame:
     return out.filter(~F.coalesce("user_edited", F.lit(False))) if "user_edited" in boxes.columns else out
 
 
-def by_page(boxes: DataFrame, work: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
-    """work on the boxes of one page at a time (ord, x0, y0, x1, y1, in order of ord); a page never spans tasks.
+def by_page(boxes: DataFrame, work: Callable[[list[dict]], list[dict]], schema: str, extra: Sequence[str] = ()) -> DataFrame:
+    """work on the boxes of one page at a time (ord, x0, y0, x1, y1 and extra columns, in order of ord); a page never spans tasks.
 
     Boxes without a page number are a page of their own; boxes without a corner or a place are left out.
     """
@@ -82,13 +82,13 @@ def by_page(boxes: DataFrame, work: Callable[[list[dict]], list[dict]], schema:
             made.insert(0, "page_num", pd.array(pages, "Int64"))
             yield made
 
-    whole = flat(boxes).dropna(subset=["ord", "x0", "y0", "x1", "y1"])
+    whole = flat(boxes, extra).dropna(subset=["ord", "x0", "y0", "x1", "y1", *extra])
     keyed = whole.withColumn("page_key", F.coalesce(F.col("page_num").cast("string"), F.lit(""))).drop("page_num")  # pandas makes floats of longs beside nulls
     return keyed.repartition("page_key").sortWithinPartitions("page_key", "ord").mapInPandas(run, f"page_num long, {schema}")
 
 
-def flat(boxes: DataFrame) -> DataFrame:
-    return boxes.select("page_num", "ord", *[F.col(f"box.{c}").cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")])
+def flat(boxes: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    return boxes.select("page_num", "ord", *extra, *[F.col(f"box.{c}").cast("long").alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
 def fuse(boxes: DataFrame) -> DataFrame:

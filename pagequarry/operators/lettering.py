@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -63,6 +64,59 @@ def area_sizes(n_chars: Column, width: Column, height: Column, most: Column, lea
     return F.struct(low.alias("low"), F.greatest(high, low).alias("high"))
 
 
+def fitting_size(n: int, width: float, height: float, most: int, least: int = X.LEAST_SIZE) -> int:
+    """The largest size, found by halving, at which n characters as wide as high fill lines within a box's usable part."""
+    w, h = max(width - int(width * 0.15), 20), max(height - int(height * 0.15), 20)
+    high = min(int(int(math.sqrt(w * h / (max(n, 1) * 1.25))) * 1.5), int(w), int(h), 120)
+    low = best = max(6, least)
+    high = min(high, most) if most > 0 else high
+    while low <= high:
+        size = (low + high) // 2
+        lines, wide = unit_lines(n, w, size)
+        if lines * size * 1.25 <= h and wide <= w + 5:
+            best, low = size, size + 1
+        else:
+            high = size - 1
+    return best
+
+
+def unit_lines(n: int, width: float, size: int) -> tuple[int, float]:
+    """How many lines n characters of a size take, and how wide the widest is."""
+    per = max(1, int(width // size))
+    return -(-max(n, 1) // per), min(max(n, 1), per) * size
+
+
+def place(boxes: DataFrame) -> DataFrame:
+    """page_num, ord, size, left, top, right, bottom: the lettering of a page's boxes, in order, no two closer than a gap.
+
+    boxes: page_num, ord, box, n_chars, most (a box's largest size, 0 for none), forced (a size the user chose, or 0).
+    A box that meets lettering placed before it shrinks by two until it doesn't, down to the least size; a forced size
+    is never shrunk.  Characters count as wide as high, fonts being out of scope.
+    """
+
+    def work(rows: list[dict]) -> list[dict]:
+        out: list[dict] = []
+        for r in rows:
+            bw, bh, n, cap = r["x1"] - r["x0"], r["y1"] - r["y0"], int(r["n_chars"]), int(r["most"])
+            for _ in range(X.PLACE_TRIES):
+                size = int(r["forced"]) or fitting_size(n, bw, bh, cap)
+                lines, wide = unit_lines(n, max(bw - int(bw * 0.15), 20), size)
+                tall = lines * size * 1.25
+                left, top = r["x0"] + (bw - wide) / 2, r["y0"] + max(0.0, (bh - tall) / 2)
+                own = {"ord": r["ord"], "size": size, "left": left, "top": top, "right": left + wide, "bottom": top + tall}
+                if r["forced"] or size <= X.LEAST_SIZE or not any(_near(own, p) for p in out):
+                    break
+                cap = max(X.LEAST_SIZE, size - 2)
+            out.append(own)
+        return out
+
+    return L.by_page(boxes, work, "ord long, size long, left double, top double, right double, bottom double", ["n_chars", "most", "forced"])
+
+
+def _near(a: dict, b: dict, gap: float = 2.0) -> bool:
+    return a["left"] < b["right"] + gap and b["left"] < a["right"] + gap and a["top"] < b["bottom"] + gap and b["top"] < a["bottom"] + gap
+
+
 def split_columns(columns: DataFrame) -> DataFrame:
     """page_num, ord, part, start, stop, low, high: the groups that a box's columns of ink fall into.
 

@@ -455,3 +455,21 @@ ends AS (SELECT task, min(n) AS last FROM s WHERE status IN ('complete', 'failed
 p AS (SELECT s.*, last, lag(status) OVER o AS was, coalesce(lag(percent) OVER o, -1) AS before FROM s LEFT JOIN ends USING (task) WINDOW o AS (PARTITION BY task ORDER BY n)),
 t AS (SELECT task, n, percent, CASE status WHEN 'complete' THEN 'complete' WHEN 'failed' THEN 'error' WHEN 'review' THEN CASE WHEN was IS DISTINCT FROM 'review' THEN 'review' END ELSE CASE WHEN percent <> before OR was = 'review' THEN 'progress' END END AS event FROM p WHERE last IS NULL OR n <= last)
 SELECT task, n, event, percent FROM t WHERE event IS NOT NULL"""
+# Sizes by halving, unrolled over seven bits, and a fold over a page's boxes that shrinks each until it is clear of those before it.
+_FITS_AT = "ceil(greatest(n, 1) / greatest(1, w // {s})) * {s} * 1.25::DOUBLE <= h AND least(greatest(n, 1), greatest(1, w // {s})) * {s} <= w + 5"
+ORACLE_SQL["q_placed_lettering"] = f"""WITH RECURSIVE {BOXES}, b AS (SELECT page_num, ord, x0, y0, x1 - x0 AS bw, y1 - y0 AS bh, conf % 23 AS n, CASE WHEN conf % 3 = 0 THEN conf % 40 ELSE 0 END AS most, CASE WHEN conf % 19 = 0 THEN 14 ELSE 0 END AS forced,
+  greatest(x1 - x0 - CAST(trunc((x1 - x0) * 0.15::DOUBLE) AS BIGINT), 20) AS w, greatest(y1 - y0 - CAST(trunc((y1 - y0) * 0.15::DOUBLE) AS BIGINT), 20) AS h FROM boxes),
+caps AS (SELECT *, least(CAST(trunc(trunc(sqrt(w * h / (greatest(n, 1) * 1.25::DOUBLE))) * 1.5::DOUBLE) AS BIGINT), w, h, 120) AS area FROM b),
+sizes AS (SELECT DISTINCT n, w, h, area, t.cap FROM caps, (SELECT unnest(range(0, 121)) AS cap) t WHERE t.cap = 0 OR t.cap <= 120),
+halves AS (SELECT n, w, h, area, cap, 9::BIGINT AS lo, CASE WHEN cap > 0 THEN least(area, cap) ELSE area END AS hi, 9::BIGINT AS best FROM sizes
+  UNION ALL SELECT n, w, h, area, cap, CASE WHEN {_FITS_AT.format(s='((lo + hi) // 2)')} THEN (lo + hi) // 2 + 1 ELSE lo END, CASE WHEN {_FITS_AT.format(s='((lo + hi) // 2)')} THEN hi ELSE (lo + hi) // 2 - 1 END,
+    CASE WHEN {_FITS_AT.format(s='((lo + hi) // 2)')} THEN (lo + hi) // 2 ELSE best END FROM halves WHERE lo <= hi),
+fit AS (SELECT n, w, h, area, cap, best FROM halves WHERE lo > hi),
+tries AS (SELECT page_num, ord, 0 AS try, most AS cap FROM caps WHERE forced = 0
+  UNION ALL SELECT t.page_num, t.ord, try + 1, greatest(9, f.best - 2) FROM tries t JOIN caps c USING (page_num, ord) JOIN fit f ON f.n = c.n AND f.w = c.w AND f.h = c.h AND f.area = c.area AND f.cap = t.cap WHERE f.best > 9 AND try < 29),
+options AS (SELECT page_num, ord, try, f.best AS size FROM tries t JOIN caps c USING (page_num, ord) JOIN fit f ON f.n = c.n AND f.w = c.w AND f.h = c.h AND f.area = c.area AND f.cap = t.cap UNION ALL SELECT page_num, ord, 0, forced FROM caps WHERE forced > 0),
+spots AS (SELECT o.page_num, o.ord, try, size, forced, least(greatest(n, 1), greatest(1, w // size)) * size AS wide, ceil(greatest(n, 1) / greatest(1, w // size)) * size * 1.25::DOUBLE AS tall, x0, y0, bw, bh FROM options o JOIN caps c USING (page_num, ord)),
+rects AS (SELECT page_num, ord, list({{'ord': ord, 'size': size, 'l': x0 + (bw - wide) / 2, 't': y0 + greatest(0.0, (bh - tall) / 2), 'r': x0 + (bw - wide) / 2 + wide, 'b': y0 + greatest(0.0, (bh - tall) / 2) + tall, 'f': forced > 0 OR size <= 9}} ORDER BY try) AS c FROM spots GROUP BY 1, 2),
+lists AS (SELECT page_num, list(c ORDER BY ord) AS l FROM rects GROUP BY 1),
+folds AS (SELECT page_num, list_reduce(list_concat([l[1][:0]], l), lambda s, p: list_concat(s, [coalesce(list_filter(p, lambda x: x.f OR len(list_filter(s, lambda y: x.l < y.r + 2 AND y.l < x.r + 2 AND x.t < y.b + 2 AND y.t < x.b + 2)) = 0)[1], p[-1])])) AS m FROM lists)
+SELECT page_num, m.ord AS ord, m.size AS size, CAST(m.l AS DOUBLE) AS left, CAST(m.t AS DOUBLE) AS top, CAST(m.r AS DOUBLE) AS right, CAST(m.b AS DOUBLE) AS bottom FROM (SELECT page_num, unnest(m) AS m FROM folds)"""

@@ -811,3 +811,10 @@ def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.when(F.col("event_id") % 29 == 0, "complete").when(F.col("event_id") % 31 == 0, "failed").when(F.col("event_id") % 5 < 2, "review").otherwise("processing")
     rows = e.select(F.col("user_id").alias("task"), n.cast("long").alias("n"), F.floor(n / 3).cast("long").alias("percent"), state.alias("status"))
     return Q.progress_events(rows)
+
+
+@query
+def placed_lettering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("conf")
+    boxes = R.boxes(spark, sf_dir).withColumns({"n_chars": m % 23, "most": F.when(m % 3 == 0, m % 40).otherwise(0), "forced": F.when(m % 19 == 0, 14).otherwise(0)})
+    return Y.place(boxes)

@@ -49,6 +49,11 @@ def split_pages(documents: DataFrame, splitter: Callable[[bytes, list[int] | Non
     return documents.select("path", "content").mapInPandas(run, f"path string, page_num int, error string, {schema}")
 
 
+def split_masks(documents: DataFrame, splitter: Callable[[bytes, list[int] | None], Iterator[tuple[int, object]]], pages: list[int] | None = None) -> DataFrame:
+    """path, page_num, error, page_width, page_height, mask of pages whose text is known already: nothing is recognised."""
+    return split_pages(documents, splitter, "page_width double, page_height double, mask binary", pages)
+
+
 def good_and_failed(split: DataFrame) -> tuple[DataFrame, DataFrame]:
     return split.filter("error IS NULL").drop("error"), split.filter("error IS NOT NULL").select("path", "page_num", "error")
 

@@ -341,3 +341,21 @@ def test_what_a_client_is_told(spark):
     states = [(0, "queued"), (0, "queued"), (5, "processing"), (5, "review"), (5, "review"), (5, "processing"), (5, "processing"), (9, "complete"), (10, "processing")]
     rows = spark.createDataFrame([(1, k, p, s) for k, (p, s) in enumerate(states)] + [(2, 0, 0, "failed"), (2, 1, 1, "complete")], "task long, n long, percent long, status string")
     assert sorted(map(tuple, Q.progress_events(rows).collect())) == [(1, 0, "progress", 0), (1, 2, "progress", 5), (1, 3, "review", 5), (1, 5, "progress", 5), (1, 7, "complete", 9), (2, 0, "error", 0)]
+
+
+def test_lettering_is_placed_clear_of_what_stands(spark):
+    rows = [(1, 1, (0, 0, 100, 100), 4, 0, 0), (1, 2, (40, 40, 140, 140), 4, 0, 0), (1, 3, (0, 0, 100, 100), 4, 0, 14), (1, 4, (300, 300, 340, 340), 0, 0, 0), (None, 1, (0, 0, 100, 100), 4, 12, 0)]
+    frame = spark.createDataFrame(rows, "page_num long, ord long, box struct<x0:int,y0:int,x1:int,y1:int>, n_chars int, most int, forced int")
+    got = {(r.page_num, r.ord): r for r in Y.place(frame).collect()}
+    first = got[1, 1]
+    # 85 usable of 100: two lines of two characters of 34 are 85 high; the rest of the way up, 35 and more, doesn't fit
+    assert (first.size, first.left, first.top, first.right, first.bottom) == (34, 16.0, 7.5, 84.0, 92.5)
+    second = got[1, 2]
+    assert second.size < 34 and not (second.left < first.right + 2 and second.top < first.bottom + 2) or second.size <= 9
+    assert got[1, 3].size == 14 and got[None, 1].size == 12 and got[1, 4].size == 27
+
+
+def test_masks_of_pages(spark):
+    docs = spark.createDataFrame([("a", b"xy")], "path string, content binary")
+    split = lambda content, pages: ((k, [{"page_width": 1.0 * k, "page_height": 2.0, "mask": content[:k]}]) for k in (1, 2) if pages is None or k in pages)
+    assert [(r.page_num, r.page_width, bytes(r.mask)) for r in S.split_masks(docs, split, [2]).collect()] == [(2, 2.0, b"xy")]
