@@ -73,7 +73,7 @@ def join_classes(rows: DataFrame, classes: DataFrame, key: str, size: str, how:
     their rows; the rest meet in a shuffle join.  Class rows that hold whole texts belong in join_salted.
     """
     total = classes.agg(F.sum(size)).first()[0] or 0
-    bar = max(total // 500, 1000)
+    bar = max(total // 500, 100)
     hot, cold = (classes.filter(c).drop(size) for c in (F.col(size) > bar, F.col(size) <= bar))
     if total <= bar:
         return rows.join(cold, key, how)
@@ -88,7 +88,7 @@ def join_salted(rows: DataFrame, classes: DataFrame, key: str, size: str) -> Dat
     and each of its rows goes to one of them by a hash of its other columns.
     """
     total = classes.agg(F.sum(size)).first()[0] or 0
-    bar = max(total // 500, 1000)
+    bar = max(total // 500, 100)
     parts, salt = (fresh(c, [*rows.columns, *classes.columns]) for c in ("salt_parts", "salt"))
     hot = classes.filter(F.col(size) > bar).select(key, F.ceil(F.col(size) / bar).cast("int").alias(parts))
     each = F.xxhash64(*[c for c in rows.columns if c != key])
