@@ -170,6 +170,19 @@ def test_every_piece_comes_of_its_own_pair():
     assert [bpe.rank_of(bpe.sign(r))[0] for r in (0, 50_255, 0xD7FF, 0xD800, 100_000)] == [0, 50_255, 0xD7FF, 0xD800, 100_000]
 
 
+def test_most_frequent_words(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"w{k}", int(n)) for k, n in enumerate(rng.zipf(1.5, 3000).clip(1, 10**7))]
+    counts = spark.createDataFrame(rows, "word string, n long")
+    order = sorted((n for _, n in rows), reverse=True)
+    for most in (5, 300, 1500, 5000):
+        got = [r.word for r in bpe.most_frequent(counts, most).collect()]
+        assert abs(len(got) - min(most, 3000)) <= 0.1 * most + 5 and len(set(got)) == len(got)
+        least = min(dict(rows)[w] for w in got)
+        assert least * 1.02 >= order[min(most, 3000) - 1] and all(w in got for w, n in rows if n > 1.02 * order[min(most, 3000) - 1])
+    assert bpe.most_frequent(counts.limit(0), 10).collect() == []
+
+
 @pytest.mark.parametrize("rows", [1, 8])
 def test_words_beyond_the_vocabulary_are_the_same(spark, monkeypatch, encoder, rows):
     monkeypatch.setattr(bpe, "VOCABULARY_ROWS", rows)
