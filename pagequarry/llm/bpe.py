@@ -165,8 +165,9 @@ def vocabulary(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> dict[s
     counts = written(word_counts(docs, pattern), "counts")
     common = most_frequent(counts, VOCABULARY_ROWS)
     spread = common.repartition(max(2, common.sparkSession.sparkContext.defaultParallelism * 2))
-    memo = {r["word"]: np.asarray(r["ids"], "<u4").tobytes() for r in fold_words(spread, ranks).toLocalIterator()}
-    discard(counts)
+    folded = written(fold_words(spread, ranks), "folded")  # by all cores: an iterator would run one partition after another
+    memo = {r["word"]: np.asarray(r["ids"], "<u4").tobytes() for r in folded.toLocalIterator()}
+    discard(counts, folded)
     return memo
 
 
