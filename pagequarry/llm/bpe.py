@@ -113,30 +113,37 @@ def fold_words(words: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
     The bytes of a word are a string of signs.  The substrings that the rank map holds are its possible merges; folded
     in the order of their ranks, each replaces its pair of signs, from left to right, by its own.
+
+    Spark puts the text of literals into each description of a plan, copied once more by every level of nesting, and
+    describes adaptive plans at each change.  So the maps are bound at the root, once; words had better be a written table.
     """
-    table, longest = rank_map(ranks), max(map(len, ranks))
+    longest = max(map(len, ranks))
     made = {r: "".join(sign(ranks[x]) for x in pair_of(p, ranks)) for p, r in ranks.items() if len(p) > 1}
-    pairs = F.split(F.lit(_PIECE.join(made.get(r, "") for r in range(max(ranks.values()) + 1))), _PIECE)
+    made_of = F.split(F.lit(_PIECE.join(made.get(r, "") for r in range(max(ranks.values()) + 1))), _PIECE)
     substrings = lambda x, starts: F.flatten(F.transform(
         starts, lambda i: F.transform(F.sequence(F.lit(2), F.least(F.length(x) - i + 1, F.lit(longest))), lambda n: F.substring(x, i, n))))
-    found = lambda subs: F.array_distinct(F.transform(subs, lambda p: look_up(table, p)))
-
-    def in_spans(w: Column) -> Column:
-        """The signs found in a long word, a span of its bytes at a time; spans reach into the next as far as a piece may."""
-        span = lambda k: F.substring(w, k * SPAN + 1, F.lit(SPAN + longest - 1))
-        one = lambda x: found(F.array_distinct(substrings(x, F.sequence(F.lit(1), F.least(F.lit(SPAN), F.length(x) - 1)))))
-        spans = F.sequence(F.lit(0), F.floor((F.length(w) - 2) / SPAN).cast("int"))
-        return F.array_distinct(F.flatten(F.transform(spans, lambda k: let(span(k), one))))
-
     w, n = F.col("latin"), F.length("latin")
     signs = F.translate(w, "".join(map(chr, range(256))), "".join(sign(ranks[bytes([b])]) for b in range(256)))
-    every = F.when(n <= SPAN, found(substrings(w, F.sequence(F.lit(1), n - 1)))).otherwise(in_spans(w))
-    merges = F.filter(F.array_sort(every), lambda c: ~c.isin("", _PIECE))
     at = lambda c: let(F.ascii(c), lambda k: F.when(k < 0xD800, k).otherwise(k - 0x2000) - 256)
-    folded = F.when(n < 2, signs).otherwise(F.aggregate(merges, signs, lambda s, c: F.replace(s, F.get(pairs, at(c)), c)))
+
+    def fold(maps: Column) -> Column:
+        table, pairs = F.get(maps, 0), F.get(maps, 1)
+        found = lambda subs: F.array_distinct(F.transform(subs, lambda p: look_up(table, p)))
+
+        def in_spans(w: Column) -> Column:
+            """The signs found in a long word, a span of its bytes at a time; spans reach into the next as far as a piece may."""
+            span = lambda k: F.substring(w, k * SPAN + 1, F.lit(SPAN + longest - 1))
+            one = lambda x: found(F.array_distinct(substrings(x, F.sequence(F.lit(1), F.least(F.lit(SPAN), F.length(x) - 1)))))
+            spans = F.sequence(F.lit(0), F.floor((F.length(w) - 2) / SPAN).cast("int"))
+            return F.array_distinct(F.flatten(F.transform(spans, lambda k: let(span(k), one))))
+
+        every = F.when(n <= SPAN, found(substrings(w, F.sequence(F.lit(1), n - 1)))).otherwise(in_spans(w))
+        merges = F.filter(F.array_sort(every), lambda c: ~c.isin("", _PIECE))
+        folded = F.when(n < 2, signs).otherwise(F.aggregate(merges, signs, lambda s, c: F.replace(s, F.get(pairs, at(c)), c)))
+        return F.when(n > 0, F.transform(F.split(folded, ""), at)).otherwise(F.array().cast("array<int>"))
+
     base = words.select("word", F.decode(F.encode("word", "UTF-8"), "ISO-8859-1").alias("latin"))  # a character for each byte
-    ids = F.when(n > 0, F.transform(F.split(folded, ""), at)).otherwise(F.array().cast("array<int>"))
-    return base.select("word", ids.alias("ids"))
+    return base.select("word", let(F.array(rank_map(ranks), made_of), fold).alias("ids"))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -164,10 +171,11 @@ def vocabulary(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> dict[s
     """The ids of the words that occur most, as little-endian 32-bit bytes: VOCABULARY_ROWS of them, or hardly more."""
     counts = written(word_counts(docs, pattern), "counts")
     common = most_frequent(counts, VOCABULARY_ROWS)
-    spread = common.repartition(max(2, common.sparkSession.sparkContext.defaultParallelism * 2))
+    cores = common.sparkSession.sparkContext.defaultParallelism
+    spread = written(common.repartition(max(2, cores * 2)), "common")  # the fold by itself has no exchange, so its plan never changes
     folded = written(fold_words(spread, ranks), "folded")  # by all cores: an iterator would run one partition after another
     memo = {r["word"]: np.asarray(r["ids"], "<u4").tobytes() for r in folded.toLocalIterator()}
-    discard(counts, folded)
+    discard(counts, spread, folded)
     return memo
 
 

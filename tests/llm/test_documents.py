@@ -192,6 +192,30 @@ def test_words_beyond_the_vocabulary_are_the_same(spark, monkeypatch, encoder, r
         assert np.frombuffer(r.ids, "<u4").tolist() == encoder.encode_ordinary(r.text) and bytes(r.decoded) == r.text.encode()
 
 
+def test_the_fold_is_described_briefly(spark, monkeypatch):
+    """Spark copies the text of literals at each level of nesting, whenever it describes a plan: on each change, if it is adaptive."""
+    plans, written = {}, bpe.written
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan()
+        return written(df, name)
+
+    monkeypatch.setattr(bpe, "written", seen)
+    ranks, texts = bpe.load_ranks(PATH), ["the cat sat on the mat", "Zebrastreifen überall"]
+    memo = bpe.vocabulary(spark.createDataFrame([(t,) for t in texts], "text string"), ranks, public_tokenizers.PATTERN)
+    assert all(np.frombuffer(ids, "<u4").tolist() == bpe.merge(w.encode(), ranks) for w, ids in memo.items()) and len(memo) == 8
+    text, maps = plans["folded"].toString(), sum(len(p.decode("latin-1")) for p in ranks)
+    assert not text.startswith("AdaptiveSparkPlan") and maps < len(text) < 3 * maps
+
+    def copies(e):
+        inner = e.children()
+        own = len(e.toString())
+        return own + (sum(copies(inner.apply(k)) for k in range(inner.size())) if own > maps else 0)
+
+    found = plans["folded"].expressions()
+    assert sum(copies(found.apply(k)) for k in range(found.size())) < 16 * maps
+
+
 def test_bpe_of_nothing(nothing):
     assert bpe.round_trip(nothing, PATH, public_tokenizers.PATTERN).collect() == []
 
