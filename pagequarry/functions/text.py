@@ -133,6 +133,16 @@ def worth_polishing(raw: Text, draft: Text) -> Column:
     return ~(digits | (F.coalesce(capitals / F.nullif(F.size(all_words), F.lit(0)), F.lit(0)) > 0.5) | short)
 
 
+def holds_cjk(key: str) -> bool:
+    return bool(re.search(r"[一-鿿぀-ヿ가-힣]", key))
+
+
+def bounded(key: str) -> str:
+    """The pattern of a key that doesn't stand inside a longer ASCII word; it begins with the key, which is found fast."""
+    k = re.escape(key)
+    return rf"{k}(?<![A-Za-z0-9]{k})(?![A-Za-z0-9])"
+
+
 def term_pattern(key: str) -> str:
     """A term's pattern: keys with CJK match anywhere, others not inside a longer ASCII word."""
     exact = r"\Q" + key + r"\E"

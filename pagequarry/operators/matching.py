@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed as X, geometry as G, text as T
+from ..runtime import written
 
 
 def iou_pairs(blocks: DataFrame, rows: DataFrame, least: float = X.IOU_MATCH) -> DataFrame:
@@ -78,39 +79,67 @@ def exact_terms(blocks: DataFrame, terms: DataFrame) -> DataFrame:
 def term_hits(texts: DataFrame, terms: list[tuple[str, str]], ignore_case: bool = False) -> DataFrame:
     """The rows of texts (text) once for each term that occurs in them, as src.
 
-    terms is a validated dictionary held by the driver.  Its patterns are tested in one pass over each text, so
-    nothing is joined and a text is read once however many terms there are.
+    terms is a validated dictionary held by the driver.  Its patterns are tested in one pass over each text, each only
+    where its key occurs at all, so nothing is joined and a text is read once however many terms there are.
     """
+    low = F.lower("text") if ignore_case else F.col("text")
+
     def found(key: str) -> Column:
-        pattern = T.term_pattern(key)
-        return F.when(F.col("text").rlike(f"(?iu){pattern}" if ignore_case and pattern.startswith("(?<!") else pattern), F.lit(key))
+        if T.holds_cjk(key):
+            return F.when(F.col("text").contains(key), F.lit(key))
+        k = key.lower() if ignore_case else key
+        return F.when(F.col("term_text").contains(k) & F.col("term_text").rlike(T.bounded(k)), F.lit(key))
 
     hits = F.array_compact(F.array(*[found(k) for k, _ in terms]))
-    return texts.withColumn("src", F.explode(hits))
+    return texts.withColumn("term_text", low).withColumn("src", F.explode_outer(hits)).filter("src IS NOT NULL").drop("term_text")
+
+
+#: Terms whose patterns are held by the driver; terms, and MB of them, that are broadcast at once.
+FEW_TERMS, TERMS_AT_ONCE, TERMS_MB = 64, 100_000, 32
+_WIDE = r"[^\x00-\x7f]"
+_WIDE_PAIR = rf"(?s){_WIDE}.|.{_WIDE}"
+
+
+def _wide_pairs(text: Column) -> Column:
+    """Every two neighbouring characters that aren't both ASCII."""
+    pairs = F.regexp_extract_all(text, F.lit(rf"(?s)(?=({_WIDE}.|.{_WIDE}))"), F.lit(1))
+    return F.when(text.rlike(_WIDE), pairs).otherwise(F.array().cast("array<string>"))
 
 
 def term_join(texts: DataFrame, terms: DataFrame, ignore_case: bool = False) -> DataFrame:
     """The rows of texts (text) once for each term (src, ...) that occurs in them, with the term's columns.
 
     term_hits() for dictionaries of any size: a term is looked up by the first run of ASCII letters and digits in it,
-    which stands whole in any text that holds the term, or by its first two characters; then it is verified.  With
-    ignore_case, keys without CJK match in either case.
+    which stands whole in any text that holds the term, or by its first two neighbouring characters that aren't both
+    ASCII; then it is verified.  With ignore_case, keys without CJK match in either case.  The terms are counted: a few
+    are tested by term_hits(), others broadcast in as many parts as they need, so no text is ever shuffled.  Of one src
+    one row counts.
     """
-    names = texts.columns
+    if len(few := terms.select("src").distinct().limit(FEW_TERMS + 1).collect()) <= FEW_TERMS:
+        hits = term_hits(texts, [(r.src, "") for r in few if r.src], ignore_case)
+        return hits.join(F.broadcast(terms.dropDuplicates(["src"])), "src")
     fold = (lambda c: F.lower(c)) if ignore_case else (lambda c: c)
-    run = F.regexp_extract(F.col("src"), "[A-Za-z0-9]+", 0)
-    cjk = T.has_cjk(F.col("src"))
-    anchor = F.when(cjk | (run == ""), F.substring("src", 1, 2)).otherwise(run)
-    folded = F.when(cjk, F.col("src")).otherwise(fold(F.col("src")))
-    keyed = terms.withColumns({"term_key": folded, "term_cjk": cjk, "anchor": F.when(cjk, anchor).otherwise(fold(anchor))})
-    t = F.col("text")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))
-    seen = F.array_distinct(F.concat(F.regexp_extract_all(t, F.lit("([A-Za-z0-9]+)"), F.lit(1)), F.filter(pairs, lambda p: p.rlike(r"[^\x00-\x7f]"))))
-    both = F.array_distinct(F.concat(seen, F.transform(seen, F.lower))) if ignore_case else seen
-    found = texts.withColumn("anchor", F.explode(both)).join(keyed, "anchor")
+    src, t = F.col("src"), F.col("text")
+    cjk = T.has_cjk(src)
+    key = F.when(cjk, src).otherwise(fold(src))
+    run, pair = F.regexp_extract(key, "[A-Za-z0-9]+", 0), F.regexp_extract(key, _WIDE_PAIR, 0)
+    anchor = F.when(cjk | (run == ""), F.when(pair != "", pair).otherwise(F.substring(key, 1, 2))).otherwise(run)
+    keyed = terms.dropDuplicates(["src"]).withColumns({"term_key": key, "term_cjk": cjk, "anchor": anchor})
+    runs = F.regexp_extract_all(fold(t), F.lit("([A-Za-z0-9]+)"), F.lit(1))
+    pairs = [_wide_pairs(t), _wide_pairs(fold(t))] if ignore_case else [_wide_pairs(t)]
+    seen = texts.withColumn("anchor", F.explode_outer(F.array_distinct(F.concat(runs, *pairs))))  # outer: else computed twice
     pattern = F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), "term_key", F.lit(r"\E(?![A-Za-z0-9])"))
-    holds = F.when(F.col("term_cjk"), t.contains(F.col("term_key"))).otherwise(F.regexp_like(fold(t), pattern))
-    return found.filter(holds).drop("anchor", "term_key", "term_cjk").dropDuplicates([*names, "src"])
+    whole = F.col("term_key") == F.col("anchor")  # a run is bounded by what it is
+    holds = F.when(F.col("term_cjk"), t.contains(F.col("term_key"))).when(whole & F.col("anchor").rlike(r"^[A-Za-z0-9]+\z"), True).otherwise(F.regexp_like(fold(t), pattern))
+    n, size = terms.agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    parts = max(1, -(-n // TERMS_AT_ONCE), -(-size // (TERMS_MB << 20)))
+    keyed = keyed if parts == 1 else written(keyed.withColumn("part", F.pmod(F.xxhash64("src"), F.lit(parts))), "terms")
+    found = None
+    for k in range(parts):
+        some = keyed if parts == 1 else keyed.filter(F.col("part") == k).drop("part")
+        hits = seen.join(F.broadcast(some), "anchor").filter(holds).drop("anchor", "term_key", "term_cjk")
+        found = hits if found is None else found.unionByName(hits)
+    return found
 
 
 def hints(texts: DataFrame, terms: DataFrame) -> DataFrame:

@@ -127,6 +127,20 @@ def test_terms_of_a_table_are_found_as_by_patterns(spark):
     assert sorted((r.k, r.tgt) for r in M.hints(texts, tiers).collect()) == [(1, "西奥"), (3, "西奥"), (5, "西奥"), (11, "左")]
 
 
+def test_texts_are_not_shuffled_to_find_terms(spark, monkeypatch):
+    rows = [(1, "Theo and Rose"), (1, "Theo and Rose"), (2, "xab魔法 Kelvin \u212aelvin"), (3, "rose"), (4, None)]
+    texts = spark.createDataFrame(rows, "k long, text string")
+    terms = spark.createDataFrame([("Theo", "西奥"), ("Rose", "罗斯"), ("ab魔", "甲"), ("\u212aelvin", "乙"), ("Mary Sue", "丙")], "src string, tgt string")
+    want = [(1, "Rose"), (1, "Rose"), (1, "Theo"), (1, "Theo"), (2, "ab魔")]
+    for at_once in (100_000, 2):
+        monkeypatch.setattr(M, "TERMS_AT_ONCE", at_once)
+        found = M.term_join(texts, terms)
+        assert sorted((r.k, r.src) for r in found.filter("tgt <> '乙'").collect()) == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 1
+        assert sorted((r.k, r.src) for r in M.term_join(texts, terms, ignore_case=True).collect()) == sorted([*want, (2, "\u212aelvin"), (3, "Rose")])
+
+
 LINES = "page_num long, id long, raw string, text string"
 
 
