@@ -1,9 +1,12 @@
 """Literal cases of the text, check and box rules."""
 
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from pagequarry.functions import check as K, geometry as G, text as T
+from pagequarry.functions import check as K, fixed as X, geometry as G, text as T
 from pagequarry.operators import batching as B, cascade as C, layout as L, lettering as Y, matching as M, policy as Q, review as V
 from pagequarry.sources import files as S, replies as P
 
@@ -31,6 +34,37 @@ def test_noise(spark):
     cases(spark, T.is_gibberish, [("RMMBBL", True), ("tmp", False), ("a|b c d", True), ("Bcdfg hello", False), ("Bcdfg ###", True)])
 
 
+def test_rules_cost_a_few_scans_of_a_text(spark):
+    """Each in multiples of one scan by pattern; binding cheap tests first took them down from 20 to 60."""
+    lines = spark.range(4000, numPartitions=4).select(F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(300)), lambda k: F.substring(F.md5((F.col("id") + k).cast("string")), 1, 7))).alias("text"))
+    lines = lines.select(F.translate("text", "0123456789", "aeioulmnst").alias("text")).cache()
+
+    def seconds(c):
+        def once():
+            began = time.perf_counter()
+            lines.select(F.xxhash64(c)).write.format("noop").mode("overwrite").save()
+            return time.perf_counter() - began
+        return min(once() for _ in range(4))
+
+    text = F.col("text")
+    scan = seconds(F.regexp_replace(text, r"[^\p{L}]", ""))
+    terms = [(k, "译") for k in ("Theo", "The", "Thing", "der", "tion")]
+    for rule in (T.clean_output(text), T.clean_input(text, terms), T.is_gibberish(text), T.noise_reason(text), T.strip(text)):
+        assert seconds(rule) < 10 * scan
+    lines.unpersist()
+
+
+def test_odd_white_space_and_words(spark):
+    assert [chr(k) for k in range(0x110000) if re.match(re.sub(r"\\x\{?([0-9a-f]+)\}?", lambda m: f"\\U{int(m[1], 16):08x}", X.WHITE), chr(k))] == list(T.WHITE_CHARS)
+    spaced = [a + w + b for w in T.WHITE_CHARS for a, b in (("a", "b"), ("", "b"), ("a", ""), ("a ", " b"))]
+    cases(spark, T.squeezed, [(s, " ".join(s.split())) for s in spaced])
+    cases(spark, T.strip, [(s, s.strip()) for s in spaced])
+    cases(spark, T.clean_input, [("O.O.M here", "here"), ("o-o-m x", "x"), ("\u0131t\u0131 a", "a"), ("it\u0131s a", "it\u0131s a"), ("tm1p tmpa", "tmpa"), ("b1c2d 日bcd bc e", "日bcd bc e"), ("für é", "é"), ("@@ 12,3", "aa 12,3"), ("", ""), (None, None)])
+    cases(spark, T.clean_output, [("好 . , ", "好"), ("好 @ ", "好"), (" ,_ 好（注：x", "好"), ("a (b-c d) e", "a e"), ("好  的", "好 的"), ("好~!?,、", "好～！？"), ("。。。。好......", "……好……")])
+    cases(spark, T.is_gibberish, [("##/ a/b", False), ("###/ #/", True), ("zwölf fünf", True), ("bcdf日 gfds x a", False), ("bc1d2f3g hello", False), ("bc1d2f3g xkcd9", True)])
+    cases(spark, T.noise_reason, [("BAM bam bam bam", None), ("b-a.m! hello you", "effect"), ("1 2 3 a", "symbols"), ("ab/cd/ef/gh ijklmnop", "path"), ("ab/cd/ef ghijklmnopa", None)])
+
+
 def test_titles_and_names(spark):
     key = lambda c: T.series_key(T.without_extension(c))
     cases(spark, key, [("図書館の大魔術師 第5巻.pdf", "図書館の大魔術師"), ("One_Piece_Vol.12.pdf", "One Piece"), ("Title 05.pdf", "Title"), ("1984.pdf", "")])
@@ -141,6 +175,7 @@ def test_texts_are_not_shuffled_to_find_terms(spark, monkeypatch):
         assert sorted((r.k, r.src) for r in M.term_join(texts, terms, ignore_case=True).collect()) == sorted([*want, (2, "\u212aelvin"), (3, "Rose")])
 
 
+
 LINES = "page_num long, id long, raw string, text string"
 
 
