@@ -375,11 +375,15 @@ def pack_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pack_stream as a stream over the same files."""
-    turns = W.page_stream(spark, sf_dir, "conv_id long, turn long, role string, text string", "conversations.parquet")
+    """pack_stream as a stream over the same files: the pages of a document may come in any of them, in any order."""
+    source = "conv_id long, turn long, role string, text string"
     n = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(F.split("text", " ")) % 9)
-    pages = turns.select(F.col("conv_id").alias("doc"), F.col("turn").alias("page_num"), n.cast("long").alias("lines"))
-    return W.drain(W.packed(pages), "stream_batches", W.BATCHES).select("doc", "page_num", "lines", "batch")
+    come = W.page_stream(spark, sf_dir, source, "conversations.parquet").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page_num"), n.cast("long").alias("lines"))
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("page_num", "lines")).cast("long")
+    numbered = written(W.drain(come, "stream_come", "doc long, page_num long, lines long").withColumn("place", place), "numbered")
+    pages = W.page_stream(spark, numbered.path, "doc long, page_num long, lines long, place long").select("doc", F.col("place").alias("page_num"), "lines")
+    batches = W.drain(W.packed_in_order(pages), "stream_batches", W.BATCHES).select(F.col("doc").alias("of"), F.col("page_num").alias("at"), "batch")
+    return numbered.join(batches, F.col("doc").eqNullSafe(F.col("of")) & (F.col("place") == F.col("at"))).select("doc", "page_num", "lines", "batch")
 
 
 @query
@@ -766,7 +770,8 @@ def stream_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("doc").orderBy("page_num", "lines"))
     pages = R.turns(spark, sf_dir).select("doc", place.cast("long").alias("page_num"), "lines")
     path = new_path(spark, "arriving")
-    pages.repartition(8, F.xxhash64("doc", "page_num")).write.option("maxRecordsPerFile", 200).parquet(path)
+    rows = max(200, pages.count() // 500)  # a file, so that there are many files, but not the more the larger the table
+    pages.repartition(8, F.xxhash64("doc", "page_num")).write.option("maxRecordsPerFile", rows).parquet(path)
     schema = "doc long, page_num long, lines long"
     stages = [
         ("counted", lambda: W.page_stream(spark, path, schema).select("doc", "page_num", (F.col("lines") + 1).alias("lines")), schema),

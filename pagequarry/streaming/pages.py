@@ -14,10 +14,24 @@ from ..runtime import new_path
 BATCHES = "doc long, page_num long, lines long, batch long"
 
 
-def page_stream(spark: SparkSession, path: str, schema: str, name: str | None = None, files_at_once: int = 4) -> DataFrame:
-    """A stream of Parquet files, few of them in each micro-batch, so that a slow consumer isn't flooded."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once)
-    return (reader.option("pathGlobFilter", name) if name else reader).parquet(path)
+#: What a micro-batch takes of the files that have come, unless their number is given.
+BYTES_AT_ONCE = 64 << 20
+
+
+def page_stream(spark: SparkSession, path: str, schema: str, name: str | None = None, files_at_once: int | None = None) -> DataFrame:
+    """A stream of Parquet files, a bounded share of them in each micro-batch, so that a slow consumer isn't flooded.
+
+    The share is one of bytes: many small files make no more micro-batches than few large ones.  With a name, the stream
+    is of the table of that name in path, be it one file or a folder of files.
+    """
+    limit = ("maxFilesPerTrigger", files_at_once) if files_at_once else ("maxBytesPerTrigger", BYTES_AT_ONCE)
+    reader = spark.readStream.schema(schema).option(*limit)
+    if not name:
+        return reader.parquet(path)
+    table = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    if table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(table).isDirectory():
+        return reader.parquet(f"{path}/{name}")
+    return reader.option("pathGlobFilter", name).parquet(path)
 
 
 def packed(pages: DataFrame, least: int = X.CHUNK_LINES) -> DataFrame:
