@@ -11,6 +11,10 @@ from pyspark.sql.types import ArrayType, DataType, StructType
 from ..functions import fixed as X, text as T
 
 
+#: What a frame of rows that Python makes holds at most, but for its last row.
+FRAME_ROWS, FRAME_BYTES = 10_000, 4 << 20
+
+
 def binary_documents(spark: SparkSession, path: str) -> DataFrame:
     """path, md5, content of each document file."""
     files = spark.read.format("binaryFile").load(path)
@@ -34,17 +38,29 @@ def split_pages(documents: DataFrame, splitter: Callable[[bytes, list[int] | Non
         except Exception as e:  # a bad page must not stop the others
             return [{"path": path, "page_num": page, "error": f"{type(e).__name__}: {e}"}]
 
+    columns = ["path", "page_num", "error", *names]
+
+    def rows_of(path: str, content: bytes) -> Iterator[dict]:
+        try:
+            for page, blocks in splitter(content, pages):
+                yield from of_page(path, page, blocks)
+        except Exception as e:  # a bad document must not stop the others
+            yield {"path": path, "error": f"{type(e).__name__}: {e}"}
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                rows: list[dict] = []
-                try:
-                    for page, blocks in splitter(content, pages):
-                        rows += of_page(path, page, blocks)
-                except Exception as e:  # a bad document must not stop the others
-                    rows.append({"path": path, "error": f"{type(e).__name__}: {e}"})
-                columns = ["path", "page_num", "error", *names]
-                yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in columns})
+        """Frames hold the rows of many small documents, or a part of a large one."""
+        frame = lambda rows: pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in columns})
+        rows, size = [], 0
+        for each in frames:
+            for path, content in zip(each["path"], each["content"], strict=True):
+                for row in rows_of(path, content):
+                    rows.append(row)
+                    size += sum(len(v) for v in row.values() if isinstance(v, (str, bytes, bytearray, list)))
+                    if len(rows) >= FRAME_ROWS or size >= FRAME_BYTES:
+                        yield frame(rows)
+                        rows, size = [], 0
+        if rows:
+            yield frame(rows)
 
     return documents.select("path", "content").mapInPandas(run, f"path string, page_num int, error string, {schema}")
 

@@ -322,6 +322,30 @@ def test_pages_after_a_bad_one_go_on(spark):
     assert sorted((r.path, r.page_num, r.error) for r in failed.collect()) == [("a", 2, "ValueError: broken"), ("a", 4, "ZeroDivisionError: division by zero")]
 
 
+def test_small_documents_share_a_frame(spark, monkeypatch):
+    """One frame a document cost a millisecond each; a large document's rows are not held together either."""
+    docs = spark.createDataFrame([(str(k), b"x|y") for k in range(500)] + [("long", b"|".join([b"z" * 50] * 900))], "path string, content binary").coalesce(1)
+    made = []
+
+    class Documents:
+        def select(self, *names):
+            return self
+
+        def mapInPandas(self, run, schema):
+            made.extend(run(iter([docs.toPandas()])))
+
+    def split(content, pages):
+        for k, t in enumerate(content.decode().split("|"), 1):
+            yield k, [{"text": t}]
+
+    S.split_pages(Documents(), split, "text string")
+    assert len(made) == 1 and len(made[0]) == 1900
+    monkeypatch.setattr(S, "FRAME_ROWS", 100)
+    made.clear()
+    S.split_pages(Documents(), split, "text string")
+    assert {len(f) for f in made} == {100} and len(made) == 19
+
+
 def test_packing_of_null_documents_and_lines(spark):
     frame = spark.createDataFrame([(None, 1, 7), (None, 2, 7), (2**60 + 1, 1, None), (2**60 + 1, 2, 12)], "doc long, page_num long, lines long")
     assert sorted(((r.doc or 0, r.page_num, r.lines, r.batch) for r in B.pack_before(frame).collect())) == [(0, 1, 7, 0), (0, 2, 7, 1), (2**60 + 1, 1, 0, 0), (2**60 + 1, 2, 12, 0)]
