@@ -230,7 +230,7 @@ def lettering_marks(text: Text) -> Text:
 def clean_output(text: Text, terms: Sequence[tuple[str, str]] = ()) -> Text:
     """A translator's reply without notes, bracketed English, stray marks and known mistakes."""
     t = strip(gated(ellipses(text), lambda x: x.contains("注"), lambda x: F.regexp_replace(x, X.NOTE, "")))
-    bracketed = rf"{WHITE}*\([A-Za-z](?:[A-Za-z\-]|{WHITE})*\)"
+    bracketed = rf"{WHITE}*\([A-Za-z][A-Za-z\-{WHITE[1:-1]}]*\)"
     t = strip(gated(t, lambda x: x.contains("("), lambda x: F.regexp_replace(x, bracketed, "")))
     t = replaced(t, [("；", "，"), (";", "，"), ("@", "")])
     t = strip(F.rtrim(t, F.lit("。.，,_—-:：" + WHITE_CHARS)))

@@ -112,9 +112,9 @@ def check_and_fix(lines: DataFrame, retry: Callable[[DataFrame], DataFrame] | No
     retry that raises or replies nothing ends the retries.  Nothing is checked unless the target is Chinese.
     """
     low = target.lower()
-    now = lines.withColumns({"retries": F.lit(0), "before": F.col("text")})
+    now = lines.withColumn("retries", F.lit(0))
     if not ("chinese" in low or low.startswith("zh") or "中文" in low):
-        return now.withColumn("action", F.lit(None).cast("string")).drop("before")
+        return now.withColumn("action", F.lit(None).cast("string"))
     hard = lambda: T.let(K.issues(F.col("text"), F.col("raw")), lambda f: F.size(f["hard"]) > 0)
     for k in range(1, rounds + 1 if retry else 1):
         bad = written(now.filter(hard()), "bad_lines")
@@ -131,14 +131,15 @@ def check_and_fix(lines: DataFrame, retry: Callable[[DataFrame], DataFrame] | No
         better = F.coalesce(F.col("reply").rlike(X.WIDE_HAN), F.lit(False))
         again = bad.join(replies, ["page_num", "id"], "left").withColumns({"text": F.when(better, F.col("reply")).otherwise(F.col("text")), "retries": F.lit(k)}).drop("reply")
         now = written(now.join(bad.select("page_num", "id"), ["page_num", "id"], "left_anti").unionByName(again.select(*now.columns)), "lines")
-    wrong = lambda c: T.let(K.issues(F.col(c), F.col("raw")), lambda x: (F.size(x["hard"]) > 0) | (F.size(x["soft"]) > 0))
-    left = F.struct(wrong("before").alias("had"), wrong("text").alias("has"), K.sanitized(F.col("text"), F.col("raw")).alias("clean"))
-    now = now.withColumn("x", F.explode(F.array(left)))  # explode: each computed once
+    wrong = T.let(K.issues(F.col("text"), F.col("raw")), lambda x: (F.size(x["hard"]) > 0) | (F.size(x["soft"]) > 0))
+    now = now.withColumn("has", F.explode(F.array(wrong)))  # explode: each computed once
+    now = now.withColumn("clean", F.explode(F.array(F.when(F.col("has"), K.sanitized(F.col("text"), F.col("raw"))))))
+    had = F.col("has") | (F.col("retries") > 0)  # what was tried again was wrong before
     action = (
-        F.when(~F.col("x.had"), F.lit(None)).when(F.col("x.has"), F.when(F.col("x.clean") == "", "emptied").otherwise("cleaned"))
+        F.when(~had, F.lit(None)).when(F.col("has"), F.when(F.col("clean") == "", "emptied").otherwise("cleaned"))
         .when(F.col("retries") > 0, "retranslated").otherwise("cleaned")
     )
-    return now.withColumns({"action": action, "text": F.when(F.col("x.has"), F.col("x.clean")).otherwise(F.col("text"))}).drop("before", "x")
+    return now.withColumns({"action": action, "text": F.when(F.col("has"), F.col("clean")).otherwise(F.col("text"))}).drop("has", "clean")
 
 
 def retry_hint(bad: DataFrame, most: int = X.HINT_CHARS) -> str:

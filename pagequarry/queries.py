@@ -586,8 +586,11 @@ def text_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many tokens of each script the blocks of a language have."""
-    tokens = R.blocks(spark, sf_dir).select("lang", F.explode(K.tokens(F.col("text"))).alias("t"))
-    return tokens.groupBy("lang", K.script(F.col("t")).alias("script")).agg(F.count("*").alias("n_tokens"))
+    names = [*(n for n, _ in K.SCRIPTS), "symbol"]
+    each = R.blocks(spark, sf_dir).select("lang", F.explode(F.array(K.script_counts(F.col("text")))).alias("n"))  # explode: computed once
+    sums = each.groupBy("lang").agg(*[F.sum(f"n.{c}").alias(c) for c in names])
+    one = F.explode(F.array(*[F.struct(F.lit(c).alias("script"), F.col(c).alias("n_tokens")) for c in names])).alias("x")
+    return sums.select("lang", one).select("lang", "x.script", "x.n_tokens").filter("n_tokens > 0")
 
 
 @query

@@ -97,6 +97,29 @@ def test_language_check(spark, text, source, hard, soft, clean):
     assert again == clean
 
 
+def test_odd_characters_in_their_places(spark):
+    lines = [
+        ("1%2 a% 3+ +b 4×5 ×", "a b", "", "%+×", ""), ("好1.5 1. .5 a.b 1,2,3 10:30-40 -x", "a b x", "", "", "好1.5 1。 。5 a。b 1,2,3 10:30-40 —x"),
+        ("好Жab", "ab", "Ж", "", "好ab"), ("好abЖcd", "abcd", "abЖcd", "", "好"), ("好abЖcd", "ab cd", "Ж", "", "好abcd"), ("好\u212a k", "K", "", "", "好\u212a k"), ("好\u212a k", "x", "\u212ak", "", "好"),
+        ("好#$&*<=>@[]^_{|}`", "", "", "#$&*<=>@[]^_{|}`", "好"), ("好don't Don't can't", "don't", "cant", "", "好don’t Don’t ’"), ("好\x01\x7f\U0001D538", "", "\U0001D538", "\x01\x7f", "好"), ("。，好、，", "", "", "", "好"), ("好。。、、x" + "y" * 9000, "", "xy", "", "好。"),
+    ]
+    frame = spark.createDataFrame([(k, t, s) for k, (t, s, *_) in enumerate(lines)], "k int, t string, s string")
+    found = K.issues(F.col("t"), F.col("s"))
+    got = frame.select("k", F.array_join(found["hard"], "").alias("h"), F.array_join(found["soft"], "").alias("s"), K.sanitized(F.col("t"), F.col("s")).alias("c")).orderBy("k").collect()
+    assert [(r.h, r.s) for r in got] == [(h, s) for _, _, h, s, _ in lines]
+    assert [r.c for r in got] == [c for *_, c in lines]
+
+
+def test_scripts_are_counted_as_tokens(spark):
+    texts = ["Don't 'quote' été ²3٣", "あゝ漢ー ㄱ한 K\u212a Ж\t\n\u3000!?", "", "''a'b''", "\U00020000\U0001F600", "a b " * 5000]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    got = frame.select("k", F.explode(F.array(K.script_counts(F.col("text")))).alias("n")).select("k", "n.*").orderBy("k").collect()
+    assert [{c: r[c] for c in r.__fields__ if c != "k" and r[c]} for r in got] == [
+        {"latin": 5, "space": 3, "symbol": 1, "digit": 3}, {"hangul": 2, "kana": 3, "cjk": 1, "script": 1, "symbol": 2, "space": 6, "latin": 2}, {}, {"latin": 1, "symbol": 2},
+        {"cjk": 1, "symbol": 1}, {"latin": 10000, "space": 10000},
+    ]
+
+
 def test_check_and_fix_retries_hard_lines_only(spark):
     rows = [(1, 1, "", "好"), (1, 2, "", "好カ"), (1, 3, "", "カ"), (1, 4, "", "好※")]
     seen = []
