@@ -663,7 +663,7 @@ def read_again(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two engines in a row and the strings that overlap."""
-    boxes = R.boxes(spark, sf_dir)
+    boxes = written(R.boxes(spark, sf_dir), "boxes")  # each step reads them again
     first = lambda b: b.select("page_num", "ord", F.when(F.col("box.x0") % 3 == 0, F.concat(F.lit("word "), F.col("box.y0") % 9)).otherwise("").alias("text"))
     second = lambda b: b.select("page_num", "ord", F.when(F.col("box.x0") % 3 == 1, F.when(F.col("box.y0") % 2 == 0, "=|=|").otherwise(F.concat(F.lit("line "), "ord"))).alias("text"))
     strings = R.moved_boxes(boxes).select("page_num", F.col("was").alias("n"), "box", F.concat(F.lit("s"), F.col("was")).alias("text"))
