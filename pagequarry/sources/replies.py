@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed as X, geometry as G
 
@@ -61,13 +61,14 @@ def editor_rows(documents: DataFrame) -> DataFrame:
     pages = documents.select("doc", F.from_json("body", _EDITOR)["pages"].alias("pages"))
     entries = F.when(F.size("pages") > 0, F.map_entries("pages"))
     page = pages.select("doc", F.explode_outer(entries).alias("e"))
-    row = page.select("doc", "e", F.explode_outer("e.value").alias("r"))
+    named, listed = F.col("e").isNotNull().alias("named"), F.col("e.value").isNotNull().alias("listed")
+    row = page.select("doc", named, listed, F.col("e.key").alias("key"), F.explode_outer("e.value").alias("r"))  # no row carries its page
     size = F.size("r.bbox")
     finite = F.forall("r.bbox", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     w, h = F.get("r.bbox", F.lit(2)) - F.get("r.bbox", F.lit(0)), F.get("r.bbox", F.lit(3)) - F.get("r.bbox", F.lit(1))
-    number, id_ = F.col("e.key").try_cast("int"), F.col("r.id").try_cast("long")
+    number, id_ = F.col("key").try_cast("int"), F.col("r.id").try_cast("long")
     problem = (
-        F.when(F.col("e").isNull(), "no pages").when(number.isNull() | (number < 1), "page").when(F.col("e.value").isNull(), "rows")
+        F.when(~F.col("named"), "no pages").when(number.isNull() | (number < 1), "page").when(~F.col("listed"), "rows")
         .when(F.col("r").isNull(), F.lit(None)).when(id_.isNull() | F.col("r.bbox").isNull(), "incomplete")
         .when((size != 4) | ~finite | (w < 1) | (h < 1), "box").when(F.length("r.text") > X.EDITOR_TEXT, "text too long")
     )
@@ -81,12 +82,21 @@ def editor_rows(documents: DataFrame) -> DataFrame:
 
 
 def violations(rows: DataFrame) -> DataFrame:
-    """doc, page_num, id, problem: broken rows, ids that repeat on a page, documents with too many rows."""
-    broken = rows.filter("problem IS NOT NULL").select("doc", "page_num", "id", "problem")
-    twice = rows.filter("id IS NOT NULL").groupBy("doc", "page_num", "id").agg(F.count("*").alias("n")).filter("n > 1").select("doc", "page_num", "id", F.lit("id repeats").alias("problem"))
+    """doc, page_num, id, problem: broken rows, ids that repeat on a page, documents with too many rows.
+
+    The rows are read once: one shuffle by document and one sort serve all counts.
+    """
+    document, same = Window.partitionBy("doc"), Window.partitionBy("doc", "page_num", "id")
+    k = rows.select("doc", "page_num", "id", "problem").repartition("doc")
+    k = k.withColumns({"turn": F.row_number().over(same.orderBy("problem")), "n": F.count(F.lit(1)).over(same)})
+    k = k.withColumns({"first": F.row_number().over(document.orderBy("page_num", "id")), "of_doc": F.count("id").over(document)})
     none = F.lit(None)
-    many = rows.filter("id IS NOT NULL").groupBy("doc").agg(F.count("*").alias("n")).filter(F.col("n") > X.EDITOR_ROWS).select("doc", none.cast("int").alias("page_num"), none.cast("long").alias("id"), F.lit("too many rows").alias("problem"))
-    return broken.unionByName(twice).unionByName(many)
+    say = lambda when, problem, page=F.col("page_num"), id_=F.col("id"): F.when(when, F.struct(page.cast("int").alias("page_num"), id_.cast("long").alias("id"), problem.alias("problem")))
+    found = F.array_compact(F.array(
+        say(F.col("problem").isNotNull(), F.col("problem")), say(F.col("id").isNotNull() & (F.col("n") > 1) & (F.col("turn") == 1), F.lit("id repeats")),
+        say((F.col("of_doc") > X.EDITOR_ROWS) & (F.col("first") == 1), F.lit("too many rows"), none, none),
+    ))
+    return k.select("doc", F.explode_outer(found).alias("x")).filter("x IS NOT NULL").select("doc", "x.page_num", "x.id", "x.problem")
 
 
 def blocks_of_rows(rows: DataFrame) -> DataFrame:

@@ -374,6 +374,15 @@ def test_packing_of_null_documents_and_lines(spark):
     assert sorted(((r.doc or 0, r.page_num, r.lines, r.batch) for r in B.pack_before(frame).collect())) == [(0, 1, 7, 0), (0, 2, 7, 1), (2**60 + 1, 1, 0, 0), (2**60 + 1, 2, 12, 0)]
 
 
+def test_violations_read_the_rows_once(spark, monkeypatch):
+    monkeypatch.setattr(X, "EDITOR_ROWS", 3)
+    rows = [(1, 1, 1, None), (1, 1, 1, "box"), (1, 1, 2, "box"), (1, 1, 2, "box"), (1, 2, None, "incomplete"), (2, 1, 1, None), (2, 1, 2, None), (2, 1, 3, None), (2, 1, None, None), (None, 1, 5, None), (None, 1, 5, None), (3, None, None, "no pages")]
+    found = P.violations(spark.createDataFrame(rows, "doc long, page_num int, id long, problem string"))
+    want = [(1, 1, 1, "box"), (1, 1, 1, "id repeats"), (1, 1, 2, "box"), (1, 1, 2, "box"), (1, 1, 2, "id repeats"), (1, 2, None, "incomplete"), (1, None, None, "too many rows"), (None, 1, 5, "id repeats"), (3, None, None, "no pages")]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
 def test_model_replies(spark):
     items = lambda c: F.to_json(P.reply_items(c))
     cases(spark, items, [('```json\n[{"id": 1}]\n```', '[{"id":"1"}]'), ('{"b": [{"id": 2}]}', '[{"id":"2"}]'), ('{"id": 3}', '[{"id":"3"}]'), ("no", "[]"), ("", "[]")])
